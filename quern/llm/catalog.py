@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import records
+from quern.llm import packing, pieces, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_packing": packing.op1_packing,
+        "op5_pieces": pieces.op5_pieces,
         "op10_records": records.op10_records,
     }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import packing, pieces, records
+from quern.llm import packing, pieces, records, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +15,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_packing": packing.op1_packing,
         "op5_pieces": pieces.op5_pieces,
+        "op8_host_rules": rules.op8_host_rules,
         "op10_records": records.op10_records,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_host_rules": rules.SQL,
+    }

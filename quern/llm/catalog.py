@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import packing, pieces, records, rules
+from quern.llm import packing, pieces, records, rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_warc": warc.op2_warc,
         "op5_pieces": pieces.op5_pieces,
         "op8_host_rules": rules.op8_host_rules,
         "op10_records": records.op10_records,
@@ -22,5 +23,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": warc.SQL,
         "op8_host_rules": rules.SQL,
     }

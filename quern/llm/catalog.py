@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import packing, pieces, records, rules, warc
+from quern.llm import packing, pieces, records, rules, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_warc": warc.op2_warc,
         "op5_pieces": pieces.op5_pieces,
         "op8_host_rules": rules.op8_host_rules,
+        "op9_topk": topk.op9_topk,
         "op10_records": records.op10_records,
     }
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": warc.SQL,
         "op8_host_rules": rules.SQL,
+        "op9_topk": topk.SQL,
     }

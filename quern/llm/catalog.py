@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import packing, pieces, records, rules, topk, warc
+from quern.llm import packing, pieces, quality, records, rules, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_packing": packing.op1_packing,
         "op2_warc": warc.op2_warc,
+        "op4_quality": quality.op4_quality,
         "op5_pieces": pieces.op5_pieces,
         "op8_host_rules": rules.op8_host_rules,
         "op9_topk": topk.op9_topk,

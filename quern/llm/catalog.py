@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import packing, pieces, quality, records, rules, secrets, topk, warc
+from quern.llm import jaccard, packing, pieces, quality, records, rules, secrets, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_warc": warc.op2_warc,
         "op4_quality": quality.op4_quality,
         "op5_pieces": pieces.op5_pieces,
+        "op6_jaccard": jaccard.op6_jaccard,
         "op7_secrets": secrets.op7_secrets,
         "op8_host_rules": rules.op8_host_rules,
         "op9_topk": topk.op9_topk,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import jaccard, packing, pieces, quality, records, rules, secrets, topk, warc
+from quern.llm import jaccard, licenses, packing, pieces, quality, records, rules, secrets, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_packing": packing.op1_packing,
         "op2_warc": warc.op2_warc,
+        "op3_licenses": licenses.op3_licenses,
         "op4_quality": quality.op4_quality,
         "op5_pieces": pieces.op5_pieces,
         "op6_jaccard": jaccard.op6_jaccard,

@@ -182,13 +182,14 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_
     return [x["text"].encode("utf-8") for x in got], np.array([x["label"] for x in got], dtype=np.float32)
 
 
-def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], held, at: int, drop: bool) -> Iterator[pa.RecordBatch]:
     net = held.value
     for batch in batches:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
+        texts = [t or "" for t in batch.column(at).to_pylist()]
         for a, b in slices(texts, 500_000):
             got = net.scores([t.encode("utf-8") for t in texts[a:b]])
-            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[1:]), pa.array(got)], names=[*batch.schema.names[1:], "score"])
+            cols = [(n, c[a:b]) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if not (drop and i == at)]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in cols), pa.array(got)], names=[*(n for n, _ in cols), "score"])
 
 
 def train(docs: DataFrame, labels: DataFrame, **bounds: int) -> Net:
@@ -201,9 +202,11 @@ def score(docs: DataFrame, net: Net, text_col: str = "text", carry: tuple[str, .
     ship(spark)
     batch_bytes(spark)
     held = spark.sparkContext.broadcast(net)
-    rows = docs.select(F.col(text_col).alias("text_to_score"), *carry)
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:])
-    return rows.mapInArrow(lambda batches: _score(batches, held), f"{fields}, score double")
+    extra = [] if text_col in carry else [text_col]
+    rows = docs.select(*extra, *carry)
+    at = rows.columns.index(text_col)
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[len(extra) :])
+    return rows.mapInArrow(lambda batches: _score(batches, held, at, bool(extra)), f"{fields}, score double")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,13 +82,16 @@ def repeated_words(words: Column) -> Column:
     return F.when(size < WINDOW + 1, F.lit(0).cast("long")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), found))
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One narrow row per document: its counts and what it fails."""
+def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: bool = False) -> DataFrame:
+    """One narrow row per document: its counts and what it fails; ``carry`` adds the whole row as ``doc``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    whole = [F.struct(*docs.columns).alias("doc")] if carry else []
+    kept = ["doc"] if carry else []
+    base = docs.select(*whole, F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
     symbols = F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))
     got = base.select(
+        *kept,
         "doc_id",
         "host",
         F.size("words").cast("long").alias("n_words"),
@@ -116,9 +119,9 @@ def hosts(found: DataFrame) -> DataFrame:
     return by.withColumn("shrunk_rate", (F.col("k") + F.lit(m * weight)) / (F.col("n") + F.lit(weight)))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: bool = False) -> DataFrame:
     """Counts, failures, the host's shrunk rate and the verdict of every document."""
-    found = materialize(counts(docs, id_col, text_col, host_col), "rules-counts")
+    found = materialize(counts(docs, id_col, text_col, host_col, carry), "rules-counts")
     by = materialize(hosts(found).select(F.coalesce("host", F.lit("")).alias("host_key"), F.col("host").isNull().alias("host_null"), "shrunk_rate"), "rules-hosts")
     left = found.withColumn("host_key", F.coalesce("host", F.lit(""))).withColumn("host_null", F.col("host").isNull())
     keys = ["host_key", "host_null"]

@@ -258,6 +258,34 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str
     return rows.mapInArrow(lambda batches: _scan(batches, held), f"{fields}, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
 
 
+def _redact(batches: Iterator[pa.RecordBatch], held, at: int) -> Iterator[pa.RecordBatch]:
+    model = held.value
+    for batch in batches:
+        out = []
+        for t in batch.column(at).to_pylist():
+            spans = model.spans(t) if t else []
+            if not spans:
+                out.append(t)
+                continue
+            parts, end = [], 0
+            for a, k, b in spans:
+                if a >= end:
+                    parts += [t[end:a], f"[{KINDS[k]}]"]
+                end = max(end, b)
+            out.append("".join(parts) + t[end:])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+
+def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The same rows and columns with every run of overlapping spans replaced by its first kind's name in brackets."""
+    spark = docs.sparkSession
+    ship(spark)
+    batch_bytes(spark)
+    held = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda batches: _redact(batches, held, at), docs.schema)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return scan(docs, train(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import documents  # noqa: F401
+from quern.plans import annotations, documents, pages  # noqa: F401
 from quern.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

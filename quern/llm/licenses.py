@@ -2,9 +2,9 @@
 
 A text is its words (letters and digits, lower-cased). Every run of K words gets a hash; winnowing keeps the
 least of every window of W hashes, so a shared run of K + W - 1 words shares a fingerprint. Templates'
-fingerprints form a small inverted index (templates are a parameter, bounded by it). A document's hits vote for diagonals of a template; around each voted diagonal a banded
-Smith-Waterman alignment of words gives the matched words, their share of the template and the span in the
-text.
+fingerprints form a small inverted index (templates are a parameter, bounded by it). A document's hits
+vote for diagonals of a template; around each voted diagonal a banded Smith-Waterman alignment of words gives
+the matched words, their share of the template and the span in the text.
 
 Defined cases: a null text is an empty text and matches nothing; a null doc_id and repeated rows pass
 through; templates without words match nothing; equal spans of several templates are all reported; an empty
@@ -112,11 +112,14 @@ class Templates:
         for n, d in sorted(found):
             t = self.words[n]
             a = max(0, d * BAND - BAND)
-            some = words[a : a + len(t) + 3 * BAND]
-            got = align(t, some)
-            if got and got[2] >= coverage * len(t):
-                key = (n, places[a + got[0]][0], places[a + got[1]][1])
-                out[key] = max(out.get(key, 0), got[2] / len(t))
+            ranges = [(a, min(len(words), a + len(t) + 3 * BAND))]
+            while ranges:  # a window may hold a notice twice: what lies beside a match is looked at again
+                lo, hi = ranges.pop()
+                got = align(t, words[lo:hi]) if hi - lo >= coverage * len(t) else None
+                if got and got[2] >= coverage * len(t):
+                    key = (n, places[lo + got[0]][0], places[lo + got[1]][1])
+                    out[key] = max(out.get(key, 0), got[2] / len(t))
+                    ranges += [(lo, lo + got[0]), (lo + got[1] + 1, hi)]
         kept: list[tuple[str, int, int, float]] = []
         for (n, s, e), c in sorted(out.items(), key=lambda x: (-x[1], x[0][1], x[0][2] - x[0][1], x[0][0])):
             if not any(k[0] == n and s < k[2] and k[1] < e for k in kept):

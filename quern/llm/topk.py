@@ -3,10 +3,10 @@
 Vectors become integers floor(scale * x). They are dealt by ranges of their length, longest first, and
 each task walks its vectors in blocks of descending length. Queries are read in blocks from written
 files, never held whole. A fixed number of the longest vectors, sent to all tasks, first gives every
-query a threshold: its k-th best score among them. Then, for a block, Cauchy-Schwarz drops the queries whose length times the
-block's greatest length stays below their threshold; the rest get partial sums over the leading axes of
-an SVD rotation, to which the product of the remaining lengths is the most that can be added; only pairs
-that may still reach the threshold are scored exactly, in integers. Bounds carry a margin for rounding and
+query a threshold: its k-th best score among them. Then, for a block, Cauchy-Schwarz drops the queries
+whose length times the block's greatest length stays below their threshold; the rest get partial sums over
+the leading axes of an SVD rotation, to which the product of the remaining lengths is the most that can be
+added; only pairs that may still reach the threshold are scored exactly, in integers. Bounds carry a margin for rounding and
 ties are never pruned, so the result is exact.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, take no part; a vector
@@ -174,7 +174,7 @@ def _write_blocks(batches: Iterator[pa.RecordBatch], out: str, size: int) -> Ite
 
 
 def _search(batches: Iterator[pa.RecordBatch], names: str, dim: int, axes: np.ndarray, lead: int, k: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Hold ``many`` blocks of vectors at a time and run every query block past them."""
+    """Hold sixteen blocks of vectors at a time and run every query block past them."""
     from pyarrow import fs
 
     def past(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

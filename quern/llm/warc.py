@@ -1,7 +1,7 @@
 """WARC archives with an index first: write records, index every one, read selected ones by byte ranges.
 
-``write`` puts one record per page into WARC/1.1 files, each record a gzip member of its own, and returns their index: file, offset, length,
-URL, payload digest and record type. Of pages with equal payloads of at least ``least`` bytes the one
+``write`` puts one record per page into WARC/1.1 files, each record a gzip member of its own, and returns
+their index: file, offset, length, URL, payload digest and record type. Of pages with equal payloads of at least ``least`` bytes the one
 with the largest page_id holds the payload; the others are revisit records, which name it. ``read``
 takes any rows of an index, sorts them by file and offset, joins ranges that lie close together into one
 read, and parses the records: a response's payload is hashed again and must match its header.

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quern.functions.text import cosine
 
 MAX_K, OVERFETCH, MAX_FETCH = 100, 10, 1000
+MOST_QUERIES = 4096
 
 
 def clamp(k: int) -> int:
@@ -26,9 +27,11 @@ def topk(points: DataFrame, queries: DataFrame, k: int, same: str | None = None)
     """query_id, rank, point_id and score of each query's best points, by cosine, ties to the smaller id.
 
     ``queries`` (query_id, qvec, and the tenant column if ``same`` names one) is a stated set of bounded
-    size: it is broadcast, points are scored where they are read, and each task keeps its own best before
-    anything moves.
+    size (checked): it is broadcast, points are scored where they are read, and each task keeps its own best
+    before anything moves (the plan's window group limit).
     """
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"at most {MOST_QUERIES} queries at once; deal them into blocks")
     q = F.broadcast(queries)
     on = [points[same] == queries["tenant"]] if same else F.lit(True)
     scored = points.join(q, on, "inner").where("point_id <> query_id").select("query_id", "point_id", F.round(cosine(F.col("vec"), F.col("qvec")), 6).alias("score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.functions import text as T
 
@@ -20,25 +21,18 @@ def class_stats(rows: DataFrame, by: str, tokens: Column) -> DataFrame:
     maximum.
     """
     hist = rows.select(F.col(by), tokens.alias("v")).groupBy(by, "v").agg(F.count(F.lit(1)).alias("c"))
-    per = hist.groupBy(by).agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v") * F.col("c")).alias("total"), F.sort_array(F.collect_list(F.struct("v", "c"))).alias("h"))
-
-    def ranked(h: Column) -> Column:
-        """Lengths with how many values lie up to and with each."""
-        start = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<struct<v:bigint,s:bigint>>").alias("a"))
-        step = lambda acc, x: F.struct((acc["s"] + x["c"]).alias("s"), F.array_append(acc["a"], F.struct(x["v"].cast("long").alias("v"), (acc["s"] + x["c"]).alias("s"))).alias("a"))
-        return F.aggregate(h, start, step, lambda acc: acc["a"])
-
-    def at(a: Column, rank: Column) -> Column:
-        return F.element_at(F.filter(a, lambda x: x["s"] >= rank), 1)["v"].cast("double")
-
-    def quantile(a: Column, n: Column, p: float) -> Column:
-        pos = F.lit(p) * (n + 1)
-        j = F.greatest(F.lit(1), F.least(F.floor(pos), n - 1))
-        return at(a, j) + (pos - j) * (at(a, j + 1) - at(a, j))
-
-    with_ranks = per.withColumn("a", ranked(F.col("h")))
-    q = lambda p: F.round(F.when(F.col("n") < 4, F.col("most").cast("double")).otherwise(quantile(F.col("a"), F.col("n"), p)), 6)
-    return with_ranks.select(by, F.col("n").alias("segment_count"), F.col("least").alias("min_tokens"), F.col("most").alias("max_tokens"), F.round(F.col("total") / F.col("n"), 6).alias("mean_tokens"), q(0.5).alias("median_tokens"), q(0.75).alias("p75_tokens"), q(0.9).alias("p90_tokens"), q(0.95).alias("p95_tokens"))
+    ranked = hist.withColumn("s", F.sum("c").over(Window.partitionBy(by).orderBy("v"))).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    marks = {"median_tokens": 0.5, "p75_tokens": 0.75, "p90_tokens": 0.9, "p95_tokens": 0.95}
+    place = {k: F.greatest(F.lit(1), F.least(F.floor(F.lit(p) * (F.col("n") + 1)), F.col("n") - 1)) for k, p in marks.items()}
+    at = [F.min(F.when(F.col("s") >= place[k] + d, F.col("v"))).alias(f"{k}_{d}") for k in marks for d in (0, 1)]
+    per = ranked.groupBy(by).agg(F.first("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v") * F.col("c")).alias("total"), *at)
+
+    def quantile(k: str, p: float) -> Column:
+        low, high = F.col(f"{k}_0").cast("double"), F.col(f"{k}_1").cast("double")
+        value = low + (F.lit(p) * (F.col("n") + 1) - place[k]) * (high - low)
+        return F.round(F.when(F.col("n") < 4, F.col("most").cast("double")).otherwise(value), 6).alias(k)
+
+    return per.select(by, F.col("n").alias("segment_count"), F.col("least").alias("min_tokens"), F.col("most").alias("max_tokens"), F.round(F.col("total") / F.col("n"), 6).alias("mean_tokens"), *(quantile(k, p) for k, p in marks.items()))
 
 
 def recommend(stats: DataFrame, by: str, kind: Column) -> DataFrame:

@@ -57,6 +57,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what the operators have written below the shared folder; tables read from it are gone then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/quern")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application, for the functions that run in Python workers."""
     app = spark.sparkContext.applicationId

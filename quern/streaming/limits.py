@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,18 +44,27 @@ def token_bucket(events: DataFrame, rate: float, burst: int = BURST) -> DataFram
     return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def token_bucket_batch(events: DataFrame, rate: float, burst: int = BURST) -> DataFrame:
-    """The same in one pass: a fold over each user's ordered times; a state of two numbers, no Python."""
-    capacity = float(rate * burst)
-    rows = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_id"))).alias("x"))
-    start = F.struct(F.lit(capacity).alias("tokens"), F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
+def _fold(batches: Iterator[pa.RecordBatch], rate: float, capacity: float) -> Iterator[pa.RecordBatch]:
+    """Users' events in order of time; what is held between batches is one bucket."""
+    user, tokens, last = None, capacity, None
+    for batch in batches:
+        ok = []
+        for u, now in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if u != user or last is None:
+                user, tokens, last = u, capacity, None
+            tokens, passes = refill(tokens, last, now, rate, capacity)
+            last = now
+            ok.append(passes)
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(ok, pa.bool_())], names=["event_id", "user_id", "allowed"])
 
-    def step(acc, e):
-        have = F.when(acc["last"].isNull(), F.lit(capacity)).otherwise(F.least(F.lit(capacity), acc["tokens"] + (e["t"] - acc["last"]) * rate))
-        ok = have >= 1.0
-        return F.struct(F.when(ok, have - 1.0).otherwise(have).alias("tokens"), e["t"].alias("last"), F.array_append(acc["out"], F.struct(e["event_id"].alias("event_id"), ok.alias("allowed"))).alias("out"))
 
-    return rows.select("user_id", F.explode(F.aggregate("x", start, step, lambda acc: acc["out"])).alias("o")).select("o.event_id", "user_id", "o.allowed")
+def token_bucket_batch(events: DataFrame, rate: float, burst: int = BURST) -> DataFrame:
+    """The same in one pass. A user's events are taken in order by one task, as they must be, but never held together."""
+    ship(events.sparkSession)
+    capacity = float(rate * burst)
+    rows = events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
+    return ordered.mapInArrow(lambda b: _fold(b, rate, capacity), "event_id long, user_id long, allowed boolean")
 
 
 def ledger(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -28,9 +28,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def primaries(docs: DataFrame) -> DataFrame:
-    """One row per distinct text: its smallest doc_id and hash."""
-    h = ids.content_hash(F.col("text")).alias("content_hash")
-    return docs.select("doc_id", "text", h).groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    """Rows of distinct texts: of equal ones the smallest doc_id stays.
+
+    Only ids and hashes are grouped; the texts meet the ids that go, which Spark broadcasts while they are few.
+    """
+    hashed = docs.select("doc_id", ids.content_hash(F.col("text")).alias("content_hash"))
+    groups = hashed.groupBy("content_hash").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = hashed.join(groups, "content_hash").where("doc_id <> first_doc").select("doc_id")
+    return docs.select("doc_id", "text").join(gone, "doc_id", "left_anti").withColumn("content_hash", ids.content_hash(F.col("text")))
 
 
 def shingle_counts(docs: DataFrame) -> DataFrame:
@@ -119,7 +124,7 @@ def boilerplate(docs: DataFrame, fraction: float = 0.30, small_fraction: float =
 
     Rows combine per document and block first; the number of documents is one literal.
     """
-    one = primaries(docs).select("doc_id", "text")
+    one = materialize(primaries(docs).select("doc_id", "text"), "distinct-texts")
     n = one.count()
     least = small_fraction if n < small else fraction
     per = blocks(one).groupBy("block", "doc_id").agg(F.sum((F.col("kind") == "paragraph").cast("long")).alias("as_paragraph"))

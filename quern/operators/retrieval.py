@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.text import cosine
+from quern.session import materialize
 
 MAX_K, OVERFETCH, MAX_FETCH = 100, 10, 1000
+#: Queries of one block, on average at most.
 MOST_QUERIES = 4096
 
 
@@ -26,12 +31,19 @@ def payload_filter(frame: DataFrame, conditions: dict) -> DataFrame:
 def topk(points: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """query_id, rank, point_id and score of each query's best points, by cosine, ties to the smaller id.
 
-    ``queries`` (query_id, qvec, and the tenant column if ``same`` names one) is a stated set of bounded
-    size (checked): it is broadcast, points are scored where they are read, and each task keeps its own best
-    before anything moves (the plan's window group limit).
+    ``queries`` (query_id, qvec, and the tenant column if ``same`` names one) may be of any number: a block
+    of bounded size is broadcast, points are scored where they are read, and each task keeps its own best
+    before anything moves (the plan's window group limit). More queries are dealt into blocks by a hash of
+    their id, each block's rows are written before the next one starts.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at once; deal them into blocks")
+    blocks = max(1, math.ceil(queries.count() / MOST_QUERIES))
+    if blocks == 1:
+        return _block(points, queries, k, same)
+    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [materialize(_block(points, queries.where(own == i), k, same), "topk-block") for i in range(blocks)])
+
+
+def _block(points: DataFrame, queries: DataFrame, k: int, same: str | None) -> DataFrame:
     q = F.broadcast(queries)
     on = [points[same] == queries["tenant"]] if same else F.lit(True)
     scored = points.join(q, on, "inner").where("point_id <> query_id").select("query_id", "point_id", F.round(cosine(F.col("vec"), F.col("qvec")), 6).alias("score"))

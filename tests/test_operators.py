@@ -162,3 +162,15 @@ def test_streams_equal_batch(spark):
 
     batch = {(r["event_id"], r["allowed"]) for r in QUERIES["token_bucket"](spark, "/root/testdata/sf0.001").collect()}
     assert batch == {(r["event_id"], r["allowed"]) for r in QUERIES["stream_token_bucket"](spark, "/root/testdata/sf0.001").collect()}
+
+
+@pytest.mark.parametrize("same", [None, "tenant"])
+def test_topk_takes_any_number_of_queries(spark, monkeypatch, same):
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(60)]
+    points = spark.createDataFrame(rows, "point_id long, vec array<double>, tenant long")
+    queries = points.selectExpr("point_id AS query_id", "vec AS qvec", "tenant")
+    whole = sorted(map(tuple, retrieval.topk(points, queries, 5, same).select("query_id", "rank", "point_id", "score").collect()))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 16)
+    dealt = sorted(map(tuple, retrieval.topk(points, queries, 5, same).select("query_id", "rank", "point_id", "score").collect()))
+    assert len(whole) == 300 and dealt == whole

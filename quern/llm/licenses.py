@@ -4,10 +4,14 @@ A text is its words (letters and digits, lower-cased). Every run of K words gets
 least of every window of W hashes, so a shared run of K + W - 1 words shares a fingerprint. Templates'
 fingerprints form a small inverted index (templates are a parameter, bounded by it). A document's hits
 vote for diagonals of a template; around each voted diagonal a banded Smith-Waterman alignment of words gives
-the matched words, their share of the template and the span in the text.
+the matched words, their share of the template and the span in the text. Before, a count of the template's words
+that the band holds at all leaves out diagonals that cannot reach the coverage. Of overlapping matches the one with
+the best alignment stays, so a notice within a header is the header's. The default templates are short notices,
+standard headers and full texts (``license_set``); with them, SPDX tags are read as well, each id of a tag a row.
 
 Defined cases: a null text is an empty text and matches nothing; a null doc_id and repeated rows pass
-through; templates without words match nothing; equal spans of several templates are all reported; an empty
+through; templates without words match nothing; equally good overlapping matches of several licenses are all reported; a template's
+license is its name up to a ``#``; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -22,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import license_set
 from quern.session import batch_bytes, ship
 
 K, W = 3, 2
@@ -32,7 +37,10 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"[^\W_]+")
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
-#: The notices that are scanned for when no templates are given.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*((?:[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*|[ \t]+)+)")
+SPDX_ID = re.compile(r"(\bWITH[ \t]+)?([A-Za-z0-9][A-Za-z0-9.+:-]*)")
+
+#: Short notices, which the standard set holds besides its own.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -50,10 +58,8 @@ def tokens(text: str) -> list[str]:
 _WORD: dict[str, int] = {}
 
 
-def grams(words: list[str]) -> np.ndarray:
-    """Hashes of every run of K words."""
-    if len(words) < K:
-        return np.zeros(0, np.uint64)
+def hashes(words: list[str]) -> np.ndarray:
+    """A hash of each word."""
     found: list = list(map(_WORD.get, words))
     if None in found:
         if len(_WORD) > 1_500_000:
@@ -61,11 +67,30 @@ def grams(words: list[str]) -> np.ndarray:
         for i, x in enumerate(found):
             if x is None:
                 found[i] = _WORD[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    h = np.array(found, dtype=np.uint64)
+    return np.array(found, dtype=np.uint64)
+
+
+def grams(words: list[str]) -> np.ndarray:
+    """Hashes of every run of K words."""
+    if len(words) < K:
+        return np.zeros(0, np.uint64)
+    h = hashes(words)
     n = len(h) - K + 1
     return sum((h[k : k + n] * STEPS[k] for k in range(1, K)), h[:n] * STEPS[0])
 
 
+def spdx(text: str) -> list[tuple[str, int, int, float]]:
+    """(id, start, end, 1.0) of every id of every SPDX tag; exceptions after WITH are not licenses."""
+    out = []
+    for m in SPDX.finditer(text):
+        for x in SPDX_ID.finditer(text, m.start(1), m.end(1)):
+            if x[2] in ("AND", "OR", "WITH"):
+                continue
+            if not x[1]:
+                out.append((x[2].rstrip(".:-"), m.start(), x.start(2) + len(x[2].rstrip(".:-")), 1.0))
+    return out
+
+
 def winnow(hashes: np.ndarray) -> np.ndarray:
     """Places of the rightmost least hash of every window of W hashes."""
     if len(hashes) < W:
@@ -83,6 +108,7 @@ class Templates:
 
     def __init__(self, texts: dict[str, str]):
         self.words = {n: tokens(t) for n, t in sorted(texts.items())}
+        self.hashes = {n: hashes(w) for n, w in self.words.items()}
         self.index: dict[int, list[tuple[str, int]]] = {}
         for n, w in self.words.items():
             for i, h in enumerate(grams(w).tolist()):
@@ -101,6 +127,19 @@ class Templates:
         kept[winnow(h)] = True
         return {(n, (p - i) // BAND) for p in np.flatnonzero(hit & kept).tolist() for n, i in self.index[int(h[p])]}
 
+    def fits(self, n: str, words: list[str], own: np.ndarray) -> int:
+        """How many of a template's words the band holds: no alignment in it can match more."""
+        t = self.words[n]
+        if len(t) <= 2 * BAND:
+            held = set(words)
+            return sum(w in held for w in t)
+        want, hit = self.hashes[n], np.zeros(len(t), dtype=bool)
+        for k in range(-BAND, 3 * BAND):  # word i of the template and word i + k
+            a, b = max(0, -k), min(len(t), len(own) - k)
+            if a < b:
+                hit[a:b] |= want[a:b] == own[a + k : b + k]
+        return int(hit.sum())
+
     def scan(self, text: str, coverage: float) -> list[tuple[str, int, int, float]]:
         """(template, start, end, coverage) of matches, in code points, end exclusive."""
         words = tokens(text)
@@ -108,27 +147,41 @@ class Templates:
         if not found:
             return []
         places = [m.span() for m in WORD.finditer(text)]
-        out: dict[tuple[str, int, int], float] = {}
+        own = hashes(words)
+        out: dict[tuple[str, int, int], tuple[int, float]] = {}
+        tries = []
         for n, d in sorted(found):
             t = self.words[n]
-            a = max(0, d * BAND - BAND)
-            ranges = [(a, min(len(words), a + len(t) + 3 * BAND))]
+            lo, hi = max(0, d * BAND - BAND), min(len(words), max(0, d * BAND - BAND) + len(t) + 3 * BAND)
+            if hi - lo >= coverage * len(t) and (held := self.fits(n, words[lo:hi], own[lo:hi])) >= coverage * len(t):
+                tries.append((-held, n, lo, hi))
+        seen: dict[str, list[tuple[int, int]]] = {}
+        for _, n, lo, hi in sorted(tries):
+            t = self.words[n]
+            ranges = [(lo, hi)]
             while ranges:  # a window may hold a notice twice: what lies beside a match is looked at again
                 lo, hi = ranges.pop()
-                got = align(t, words[lo:hi]) if hi - lo >= coverage * len(t) else None
-                if got and got[2] >= coverage * len(t):
-                    key = (n, places[lo + got[0]][0], places[lo + got[1]][1])
-                    out[key] = max(out.get(key, 0), got[2] / len(t))
+                least = coverage * len(t)
+                if hi - lo < least or self.fits(n, words[lo:hi], own[lo:hi]) < least:
+                    continue
+                # Of a long template: what a match leaves of the window has no room for another one.
+                if len(t) > 8 * BAND and any(x < hi and lo <= y and x - lo < least and hi - y - 1 < least for x, y in seen.get(n, ())):
+                    continue
+                got = align(t, words[lo:hi])
+                if got and got[2] >= least:
+                    seen.setdefault(n, []).append((lo + got[0], lo + got[1]))
+                    key = (n.split("#")[0], places[lo + got[0]][0], places[lo + got[1]][1])
+                    out[key] = max(out.get(key, (0, 0.0)), (got[3], got[2] / len(t)))
                     ranges += [(lo, lo + got[0]), (lo + got[1] + 1, hi)]
-        kept: list[tuple[str, int, int, float]] = []
-        for (n, s, e), c in sorted(out.items(), key=lambda x: (-x[1], x[0][1], x[0][2] - x[0][1], x[0][0])):
-            if not any(k[0] == n and s < k[2] and k[1] < e for k in kept):
-                kept.append((n, s, e, c))
-        return sorted(kept, key=lambda k: (k[1], k[0]))
+        kept: list[tuple[str, int, int, float, int]] = []
+        for (n, s, e), (score, c) in sorted(out.items(), key=lambda x: (-x[1][0], -x[1][1], x[0][1], x[0][2] - x[0][1], x[0][0])):
+            if not any((k[0] == n or k[4] > score) and s < k[2] and k[1] < e for k in kept):
+                kept.append((n, s, e, c, score))
+        return sorted((k[:4] for k in kept), key=lambda k: (k[1], k[0]))
 
 
-def align(template: list[str], words: list[str]) -> tuple[int, int, int] | None:
-    """First and last aligned word of ``words`` and the number of equal words of the best local alignment."""
+def align(template: list[str], words: list[str]) -> tuple[int, int, int, int] | None:
+    """First and last aligned word of ``words``, the number of equal words and the score of the best local alignment."""
     best, where = 0, None
     prev = [(0, 0, 0)] * (len(words) + 1)
     for i, t in enumerate(template):
@@ -143,7 +196,7 @@ def align(template: list[str], words: list[str]) -> tuple[int, int, int] | None:
             top = max(x, y, z, key=lambda c: c[0])
             row[j + 1] = top if top[0] > 0 else (0, 0, 0)
             if hit and row[j + 1][0] > best:
-                best, where = row[j + 1][0], (row[j + 1][2], j, row[j + 1][1])
+                best, where = row[j + 1][0], (row[j + 1][2], j, row[j + 1][1], row[j + 1][0])
         prev = row
     return where
 
@@ -151,10 +204,12 @@ def align(template: list[str], words: list[str]) -> tuple[int, int, int] | None:
 _HELD: dict[str, Templates] = {}
 
 
-def _scan(batches: Iterator[pa.RecordBatch], texts: dict[str, str], coverage: float) -> Iterator[pa.RecordBatch]:
-    held = _HELD.setdefault(repr(sorted(texts.items())), Templates(texts))
+def _scan(batches: Iterator[pa.RecordBatch], texts: dict[str, str], coverage: float, tags: bool) -> Iterator[pa.RecordBatch]:
+    key = repr(sorted(texts.items()))
+    if (held := _HELD.get(key)) is None:
+        held = _HELD[key] = Templates(texts)
     for batch in batches:
-        rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for m in held.scan(t, coverage)]
+        rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for m in [*held.scan(t, coverage), *(spdx(t) if tags else [])]]
         c = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c[0], batch.schema.types[0]), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.float64())], names=["doc_id", "license", "start", "end", "coverage"])
 
@@ -164,9 +219,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     spark = docs.sparkSession
     ship(spark)
     batch_bytes(spark)
-    own = dict(templates or TEMPLATES)
+    tags = not templates
+    own = dict(templates or license_set.standard(TEMPLATES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: _scan(batches, own, coverage), "doc_id long, license string, start long, end long, coverage double")
+    return rows.mapInArrow(lambda batches: _scan(batches, own, coverage, tags), "doc_id long, license string, start long, end long, coverage double")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

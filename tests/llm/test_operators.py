@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,19 @@ def test_licenses_find_planted_notices(spark):
     assert rows[0][1][one["start"] : one["end"]] == mit[:-1] and one["coverage"] == 1.0
 
 
+def test_licenses_find_the_standard_set(spark):
+    texts = dict(licenses.license_set.TEXTS) | {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    want = [(n, n) for n in texts] + [(f"{n} header", n) for n, _ in licenses.license_set.HEADERS] + [(f"{n} notice", n) for n, _ in licenses.license_set.NOTICES]
+    lines = [*texts.values(), *(t for _, t in licenses.license_set.HEADERS), *(t for _, t in licenses.license_set.NOTICES)]
+    rows = [(i, f"Some words stand before.\n# {t}\nand some after") for i, t in enumerate(lines)]
+    rows += [(1000, "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\ncode"), (1001, "Licensed under CC BY-NC 4.0."), (1002, " ".join(licenses.tokens(texts["GPL-3.0"])[:900]))]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    assert {i: got.get(i) for i in range(len(lines))} == {i: [n] for i, (_, n) in enumerate(want)}
+    assert sorted(got[1000]) == ["Apache-2.0", "GPL-2.0-only", "MIT"] and got[1001] == ["CC-BY-NC-4.0"] and 1002 not in got
+
+
 def test_quality_learns_and_covers_whole_texts():
     rng = random.Random(1)
     good = [say(rng, 60).encode() for _ in range(120)]

@@ -11,8 +11,9 @@ files of its own name and reports them; only what Spark accepts from a task ente
 so retried and speculative tasks leave no double records.
 
 Defined cases: a null text is an empty text; rows with a null doc_id come first; rows that repeat a
-doc_id stay separate records in order of their text; an empty table gives no files and no rows;
-other columns are ignored.
+doc_id stay separate records in order of a hash of their text, then of the text, and very many of them
+are dealt to several files; a very long text is one record; an empty table gives no files and no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.tokens import encoder, public_path, slices
+from quern.llm.tokens import encoder, public_path
 from quern.session import batch_bytes, materialize, scratch, ship
 
 MASK_DELTA = 0xA282EAD8
@@ -140,21 +141,21 @@ def _write_part(batches: Iterator[pa.RecordBatch], out: str, held, end_id: int |
 
     part, enc = TaskContext.get().partitionId(), encoder(held.value)
     width = np.dtype(enc.dtype).itemsize
-    end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
     name, sink, where, at, ids = f"{out}/part-{part:06d}-{uuid.uuid4().hex[:8]}", None, [], 0, 0
     for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        for a, b in slices(texts):
+        every, flat_ids, bounds = batch.column(0).to_pylist(), *enc.encode_column(batch.column(1), end_id)
+        for a in range(0, len(every), 2048):
+            keys, b = every[a : a + 2048], min(a + 2048, len(every))
             if sink is None:
                 files, path = _open(name)
                 files.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 sink = files.open_output_stream(path + ".rec")
-            ready = [payload(k, p + end, width) for k, p in zip(keys[a:b], enc.encode(texts[a:b]), strict=True)]
+            ready = [payload(k, flat_ids[x:y].tobytes(), width) for k, x, y in zip(keys, bounds[a:b].tolist(), bounds[a + 1 : b + 1].tolist(), strict=True)]
             rows = np.zeros(b - a, INDEX)
             rows["length"] = [len(p) for p in ready]
             rows["offset"] = at + np.concatenate([[0], np.cumsum(rows["length"][:-1].astype(np.int64) + 16)])
             rows["n_ids"] = [HEAD.unpack_from(p)[1] for p in ready]
-            rows["doc_id"], rows["null_id"] = [k or 0 for k in keys[a:b]], [k is None for k in keys[a:b]]
+            rows["doc_id"], rows["null_id"] = [k or 0 for k in keys], [k is None for k in keys]
             data = frames(ready)
             sink.write(data)
             at, ids = at + len(data), ids + int(rows["n_ids"].sum())
@@ -180,8 +181,9 @@ def write(df: DataFrame, out: str, blob: bytes, end_id: int | None = 2, id_col:
     held = spark.sparkContext.broadcast(blob)
     schema = "part int, data string, index string, n_records long, n_ids long, n_bytes long"
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    turn = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(tasks, *turn).sortWithinPartitions(*turn, "text")
     return materialize(ordered.mapInArrow(lambda batches: _write_part(batches, out, held, end_id), schema), "records-manifest")
 
 

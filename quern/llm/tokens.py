@@ -1,10 +1,13 @@
 """Whole-text encoding by the public tokenizer files, one library call per new word.
 
 Both vocabularies split a text before they merge, and no split spans the border between a
-non-space and a following space, so a text's ids are the ids of its space-led chunks, joined.
-Chunks repeat far more than texts do: each worker keeps a bounded table from chunk to packed ids
-and asks the library only for chunks it has not met. Texts with other Unicode white space, where
-that border rule is not certain, go to the library whole.
+non-space and a following space, nor the one between a letter and a plain sign after it. A text's
+ids are therefore the ids of its chunks, joined. Chunks are cut and numbered on Arrow buffers, a
+batch at a time; each worker keeps a bounded table from chunk to ids and asks the library only for
+chunks it has not met, plain words many to a call. Texts with other white space or with a special
+string of the vocabulary, where those borders are not certain, go to the library whole; so do all
+texts of a vocabulary that fails a fixed set of probes. One text of every batch is encoded by the
+library as well and must agree.
 """
 
 from __future__ import annotations
@@ -13,127 +16,265 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space other than a space and a line end: few texts have it, and views of it differ.
 RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 RARE_WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-RUNS = ("  ", "\n\n", " \n", "\n ")
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 TAIL = ".,!?;:|#*$%&()"
-#: Keys of chunks: a bare word stands for a space and the word, these marks stand before other chunks.
-START, PLAIN = "\x00", "\x01"
+#: Bytes of a batch that are cut into chunks at a time; a longer text is cut at white space.
+BLOCK = 8 << 20
+#: Words of one library call.
+JOINED = 512
+PROBES = ["", " ", "\n", "a", " a", "a b", "a  b", "a \n b", "\n\na", "a\n\n", "It's don't, we'll.", "x1 22 3.5", "(a) b! c?? d... #e", "Éa é. İ. İa, ß; ſ.", "日本 語。 a", "🙂 a🙂.", "é. áb,", "a.́ b", "ab,cd;ef|g", "A|B *c* $5 100%", "ﬁ. Ω, ς."]
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 10]] = True
+_TAIL = np.zeros(256, bool)
+_TAIL[[ord(c) for c in TAIL]] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Bytes that a text with rare white space holds: control signs, or the first byte of a wide space.
+_SUSPECT = np.zeros(256, bool)
+_SUSPECT[[*(ord(c) for c in RARE_SPACE), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def rare(text: str) -> bool:
     return any(c in text for c in RARE_SPACE) or not text.isascii() and any(c in text for c in RARE_WIDE_SPACE)
 
 
+#: Words of letters of which each stays one letter in lower case and composes with nothing before it.
+_PLAIN = "[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u017f]+"
+SPACED, BARE = re.compile(" " + _PLAIN), re.compile("[ \\n]*" + _PLAIN)
+
+
+def starts_of(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where chunks begin: texts, runs of white space, and a plain sign after a Latin letter."""
+    space = _SPACE[data]
+    start = space.copy()
+    start[1:] &= ~space[:-1]
+    sign = np.flatnonzero(_TAIL[data])
+    sign = sign[sign > 0]
+    before = data[sign - 1]
+    wide = np.flatnonzero(before >= 0x80)
+    good = _ASCII_LETTER[before]
+    if len(wide):
+        at = sign[wide]
+        last, lead = before[wide], data[np.maximum(at - 2, 0)]
+        good[wide] = (at > 1) & ((lead == 0xC3) & (last != 0x97) & (last != 0xB7) | (lead == 0xC4) & (last != 0xB0) | (lead == 0xC5))
+    start[sign[good]] = True
+    start[firsts] = True
+    return np.flatnonzero(start)
+
+
+def joined(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all elements of the ranges, one range after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 class ChunkEncoder:
-    """ids of texts as packed little-endian integers (2 bytes where the vocabulary allows, else 4).
+    """ids of texts, flat, in the narrowest type that holds the vocabulary (2 bytes or 4).
 
     ``most`` bounds the chunks that a worker keeps; the table is emptied when it is full, which
     changes no result.
     """
 
-    def __init__(self, blob: bytes, most: int = 1_500_000):
+    def __init__(self, blob: bytes, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(blob.decode("utf-8"))
         spec = json.loads(blob)
-        self.vocab = max(self.lib.get_vocab(with_added_tokens=True).values()) + 1
-        self.code = "H" if self.vocab <= 1 << 16 else "I"
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.vocab = max(vocab.values()) + 1
         self.dtype = "<u2" if self.vocab <= 1 << 16 else "<u4"
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.drops_space = (spec.get("pre_tokenizer") or {}).get("type") == "Sequence"
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.border = np.zeros(self.vocab, bool)
+        self.border[[i for t, i in vocab.items() if (t.endswith(suffix) if suffix else t.startswith("Ġ"))]] = True
+        self.border_ends = bool(suffix)
         self.most = most
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def keys(self, text: str) -> list[str] | None:
-        """The text's chunks as keys of ``known``, or None where only the whole text is safe."""
-        if rare(text) or START in text or PLAIN in text:
-            return None
-        if self.drops_space:
-            return text.split()
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(r in text for r in RUNS):
-            return [PLAIN + c for c in CHUNK.findall(text)]
-        out = text.replace("\n", " \n").split(" ")
-        out[0] = START + out[0]
-        return out
-
-    def chunk(self, key: str) -> str:
-        if self.drops_space or key[0] == "\n":
-            return key
-        return key[1:] if key[0] in (START, PLAIN) else " " + key
-
-    def learn(self, new: set[str]) -> None:
-        """Ask the library for chunks that are not known. A word and the plain signs after it never merge."""
-        known, parts, ask = self.known, [], {}
-        for k in new:
-            c = self.chunk(k)
-            core = c.rstrip(TAIL)
-            if len(core) < len(c) and (core[1:] if core[:1] == " " else core).isalpha():
-                ck = core if self.drops_space else core[1:] if core[0] == " " else PLAIN + core
-                tk = c[len(core) :] if self.drops_space else PLAIN + c[len(core) :]
-                parts.append((k, ck, tk))
-                if ck not in known:
-                    ask[ck] = core
-                if tk not in known:
-                    ask[tk] = c[len(core) :]
+        self._forget()
+        self.safe = True
+        want = [x.ids for x in self.lib.encode_batch_fast(PROBES, add_special_tokens=False)]
+        self.safe = [x.tolist() for x in self._split(self._known(PROBES))] == want
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, self.dtype)
+        self.at = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int32)
+        self.end = 0
+
+    def _hold(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.place), len(chunks)
+        while n + m > len(self.at):
+            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while self.end + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.end : self.end + len(ids)] = ids
+        self.size[n : n + m] = sizes
+        self.at[n : n + m] = self.end + np.cumsum(sizes) - sizes
+        self.end += len(ids)
+        self.place.update(zip(chunks, range(n, n + m), strict=True))
+
+    def learn(self, new: list[str]) -> None:
+        """Ask the library for chunks that are not known: plain words many to a call, the rest each."""
+        fits = (BARE if self.drops_space else SPACED).fullmatch
+        words, rest = [], []
+        for c in new:
+            (words if fits(c) else rest).append(c)
+        for a in range(0, len(words), JOINED * 64):
+            some = words[a : a + JOINED * 64]
+            lead = [c if c[0] == " " else " " + c.lstrip("\n") for c in some] if self.drops_space else some
+            lines = ["".join(lead[i : i + JOINED]) for i in range(0, len(some), JOINED)]
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.lib.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.border[ids]) + 1 if self.border_ends else np.append(np.flatnonzero(self.border[ids])[1:], len(ids))
+            if len(ends) == len(some) and ends[-1] == len(ids) and (self.border_ends or self.border[ids[0]]):
+                self._hold(some, ids, np.diff(ends, prepend=0))
             else:
-                ask[k] = c
-        every = list(ask.items())
-        for at in range(0, len(every), 4096):
-            some = every[at : at + 4096]
-            got = self.lib.encode_batch_fast([c for _, c in some], add_special_tokens=False)
-            for (k, _), e in zip(some, got, strict=True):
-                known[k] = array(self.code, e.ids).tobytes()
-        for k, ck, tk in parts:
-            known[k] = known[ck] + known[tk]
+                rest += some
+        for a in range(0, len(rest), 4096):
+            got = [e.ids for e in self.lib.encode_batch_fast(rest[a : a + 4096], add_special_tokens=False)]
+            self._hold(rest[a : a + 4096], np.array([i for x in got for i in x], self.dtype), np.array([len(x) for x in got], np.int64))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        get, out, late, new = self.known.get, [], [], set()
-        for i, t in enumerate(texts):
-            keys = self.keys(t)
-            if keys is None:
-                out.append(self.whole(t))
+    def _known(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes of texts by their chunks."""
+        col = pa.array(texts, pa.string())
+        off = np.frombuffer(col.buffers()[1], "<i4")[: len(col) + 1].astype(np.int64)
+        data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[: off[-1]]
+        return self._ranges(data, off[:-1], np.diff(off))
+
+    def _ranges(self, data: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids, and how many each text has, of texts that stand one after another in ``data``."""
+        sizes = np.zeros(len(first), np.int64)
+        full = np.flatnonzero(length)
+        if not len(full):
+            return np.zeros(0, self.dtype), sizes
+        starts = starts_of(data, first[full])
+        bounds = np.append(starts, len(data)).astype("<i4")
+        chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        words = chunks.dictionary.to_pylist()
+        if len(self.place) > self.most:
+            self._forget()
+        found = list(map(self.place.get, words))
+        if None in found:
+            self.learn([w for w, f in zip(words, found, strict=True) if f is None])
+            found = list(map(self.place.__getitem__, words))
+        place = np.array(found, np.int64)[chunks.indices.to_numpy()]
+        n = self.size[place].astype(np.int64)
+        ids = self.ids[joined(self.at[place], n)]
+        sizes[full] = np.add.reduceat(n, np.searchsorted(starts, first[full]))
+        return ids, sizes
+
+    @staticmethod
+    def _split(got: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        ids, sizes = got
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+    def _unsure(self, col: pa.StringArray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Places of the texts that only the library may encode."""
+        if not self.safe:
+            return np.arange(len(col))
+        at = np.unique(np.searchsorted(off, np.flatnonzero(_SUSPECT[data]) + off[0], "right") - 1)
+        out = [i for i in at.tolist() if rare(col[i].as_py())]
+        for s in self.special:
+            out += np.flatnonzero(pc.match_substring(col, s).to_numpy(zero_copy_only=False)).tolist()
+        return np.unique(np.array(out, np.int64))
+
+    def encode_column(self, col: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of a column of texts (null: empty) and where each text's begin and end; ``end_id`` follows each."""
+        col = pa.concat_arrays([pc.fill_null(col.cast(pa.large_string()), "")])
+        if not len(col):
+            return np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        off = np.frombuffer(col.buffers()[1], "<i8")[: len(col) + 1]
+        data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+        off = off - off[0]
+        unsure = self._unsure(col, data, off)
+        parts: list[np.ndarray] = []
+        sizes = np.zeros(len(col), np.int64)
+        take = np.ones(len(col), bool)
+        take[unsure] = False
+        row = 0
+        while row < len(col):
+            if not take[row]:
+                ids = np.array(self.lib.encode(col[row].as_py(), add_special_tokens=False).ids, self.dtype)
+                parts.append(ids)
+                sizes[row] = len(ids)
+                row += 1
                 continue
-            found = list(map(get, keys))
-            if None in found:
-                gaps = [j for j, v in enumerate(found) if v is None]
-                new.update(keys[j] for j in gaps)
-                late.append((i, found, [(j, keys[j]) for j in gaps]))
-                out.append(b"")
+            last = row + 1
+            while last < len(col) and take[last] and off[last + 1] - off[row] <= BLOCK:
+                last += 1
+            if last == row + 1 and off[last] - off[row] > BLOCK:
+                for a, b in _cuts(data, int(off[row]), int(off[last])):
+                    ids, _ = self._ranges(data[a:b], np.zeros(1, np.int64), np.array([b - a]))
+                    parts.append(ids)
+                    sizes[row] += len(ids)
             else:
-                out.append(b"".join(found))
-        if new:
-            self.learn(new)
-            for i, found, gaps in late:
-                for j, k in gaps:
-                    found[j] = self.known[k]
-                out[i] = b"".join(found)
-        return out
+                ids, n = self._ranges(data[off[row] : off[last]], off[row:last] - off[row], np.diff(off[row : last + 1]))
+                parts.append(ids)
+                sizes[row:last] = n
+            row = last
+        ids = np.concatenate(parts)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        look = int(np.argmax(take)) if take.any() else 0
+        if take[look] and off[look + 1] - off[look] <= 1 << 20 and self.lib.encode(col[look].as_py(), add_special_tokens=False).ids != ids[bounds[look] : bounds[look + 1]].tolist():
+            raise ValueError("this vocabulary does not split texts as its chunks assume")
+        if end_id is not None:
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+        return ids, bounds
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed little-endian ids of each text."""
+        ids, bounds = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def count(self, packed: bytes) -> int:
         return len(packed) // np.dtype(self.dtype).itemsize
 
 
+def _cuts(data: np.ndarray, a: int, b: int) -> Iterable[tuple[int, int]]:
+    """Ranges of about BLOCK bytes of one text that begin where white space does."""
+    while b - a > BLOCK:
+        at = a + BLOCK
+        cut = None
+        while at < b and cut is None:
+            space = _SPACE[data[at - 1 : min(at + BLOCK, b)]]
+            hit = np.flatnonzero(space[1:] & ~space[:-1])
+            cut = at + int(hit[0]) if len(hit) else None
+            at += BLOCK
+        if cut is None:
+            break
+        yield a, cut
+        a = cut
+    yield a, b
+
+
+def packed_column(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Flat ids as one binary value for each text, without a copy for each."""
+    width = ids.dtype.itemsize
+    if len(ids) * width < 1 << 31:
+        return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype("<i4")), pa.py_buffer(ids)])
+    return pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def encoder(blob: bytes) -> ChunkEncoder:
-    """This worker's encoder for a vocabulary file; it outlives a task."""
+    """This worker's encoder for a vocabulary file; it outlives a task, and another file's one is let go."""
     key = hashlib.sha1(blob).hexdigest()
     if key not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[key] = ChunkEncoder(blob)
     return _ENCODERS[key]
 

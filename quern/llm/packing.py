@@ -1,93 +1,240 @@
 """Lexical retrieval packing: documents that share rare terms fill a training window together.
 
-Documents are dealt to shards of bounded size by a hash of id and text. A shard holds a BM25 inverted
-index over its documents' token ids. A seed, the longest document left, asks the index with its most
-telling terms; unused neighbours follow in score order until the window is full. The piece that does
-not fit goes on as the seed of the next window, so every window but a shard's last is exactly full,
-and each id lies in exactly one piece. The last one is cut into powers of two and a short rest.
+Terms are token ids. Their document frequencies, the number of documents and the mean length are counted
+over the whole table. A row's two rarest terms that another row has too deal it to a shard: rows that
+share their rarest term stand together, wherever they lie in the table, ordered by the second one. Shards
+hold ``shard_tokens`` ids each, in expectation; a term, a pair of terms or a text that very many rows
+share is spread over as many shards as it fills. A shard holds a BM25 inverted index of its rows, with
+the whole table's statistics. A seed, the longest document left, asks the index with its terms; unused
+neighbours follow in score order until the window is full. The piece that does not fit goes on as the
+seed of the next window, so every window but a shard's last is exactly full, and each id lies in exactly
+one piece. The last one is cut into powers of two, down to ``least``, and a rest.
+
+A seed's neighbours are those of its own shard: the README states the measured share of the whole
+table's best neighbours that this finds.
 
 Defined cases: a null text is an empty text (its only id is the end id); a null doc_id is kept as it
-is; repeated rows are packed once each; equal scores go to the smaller row number of the shard, where
-rows stand by doc_id, nulls first, then by ids; an empty table gives no rows; other columns are ignored.
+is; repeated rows are packed once each; a very long text fills window after window and makes its shard
+longer by itself; equal scores go to the smaller row number of the shard, where rows stand by doc_id,
+nulls first, then by ids; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.tokens import encoder, public_path, slices
-from quern.session import batch_bytes, ship
+from quern.llm.tokens import encoder, joined, packed_column, public_path
+from quern.session import batch_bytes, materialize, ship
 
 WINDOW = 4096
-#: Rows that a shard holds on average; the number of shards grows with the table.
-SHARD_ROWS = 2048
-#: Terms of a seed that ask the index, and the usual BM25 constants.
-QUERY_TERMS = 12
+#: Ids that a shard holds in expectation; the number of shards grows with the table.
+SHARD_TOKENS = 3_000_000
+#: Bins by which rows are dealt, at most, and sub-bins of one rarest term.
+MOST_BINS, SUB_BINS = 1 << 20, 1024
+#: The usual BM25 constants, and the least length to which a shard's last sequence is cut.
 K1, B = 1.2, 0.75
+LEAST = 256
+#: A term that more than one in so many rows of a shard have is held for all its rows.
+DENSE = 16
+#: Count vectors that one task adds up.
+FAN_IN = 128
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long, seed boolean"
 
 
+def _flat(col: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column as flat ids and where each value's begin and end."""
+    col = pa.concat_arrays([col.cast(pa.large_binary())])
+    width = np.dtype(dtype).itemsize
+    off = np.frombuffer(col.buffers()[1], "<i8")[: len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    return np.frombuffer(data.tobytes() if data.ctypes.data % width else data, dtype), (off - off[0]) // width
+
+
+def distinct_terms(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and count of each term of each row, by row and term."""
+    key = ids.astype(np.int64) | (np.repeat(np.arange(len(bounds) - 1, dtype=np.int64), np.diff(bounds)) << 32)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first] >> 32, key[first] & 0xFFFFFFFF, np.diff(np.append(first, len(key)))
+
+
 def _encode(batches: Iterator[pa.RecordBatch], held, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ids, and at the end of a task one row that holds its counts: by term, rows; then rows and ids in all."""
     enc = encoder(held.value)
-    end = np.array([end_id], enc.dtype).tobytes()
+    counts = np.zeros(max(enc.vocab, end_id + 1) + 2, np.int64)
     for batch in batches:
-        texts = [t or "" for t in batch.column(2).to_pylist()]
-        for a, b in slices(texts):
-            ids = [p + end for p in enc.encode(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+        ids, bounds = enc.encode_column(batch.column(1), end_id)
+        seen = np.zeros(len(counts) - 2, np.int64)
+        for a in range(0, len(bounds) - 1, 1024):
+            b = min(a + 1024, len(bounds) - 1)
+            _, term, _ = distinct_terms(ids[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+            seen += np.bincount(term, minlength=len(seen))
+        counts[:-2] += seen
+        counts[-2:] += len(bounds) - 1, len(ids)
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed_column(ids, bounds), pa.nulls(len(bounds) - 1, pa.binary())], names=["doc_id", "ids", "counts"])
+    if counts[-2]:
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["doc_id", "ids", "counts"])
+
+
+def _add(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
+    return pa.table({"counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _totals(ids: DataFrame) -> np.ndarray | None:
+    """The counts of all tasks, added up in rounds of ``FAN_IN``; one vector comes to the driver."""
+    rows = ids.where("counts is not null").select("counts")
+    n = rows.count()
+    while n > FAN_IN:
+        groups = -(-n // FAN_IN)
+        rows = materialize(rows.withColumn("g", F.pmod(F.xxhash64("counts"), F.lit(groups))).groupBy("g").applyInArrow(_add, "counts binary"), "packing-counts")
+        n = rows.count()
+    found = [np.frombuffer(r["counts"], np.int64) for r in rows.collect()]
+    return sum(found) if found else None
+
+
+def rarest(ids: np.ndarray, bounds: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of each row's rarest and second rarest term; terms of no other row rank last."""
+    r = rank[ids]
+    first = np.minimum.reduceat(r, bounds[:-1])
+    r = np.where(r == np.repeat(first, np.diff(bounds)), rank.max(), r)
+    return first.astype(np.int64), np.minimum.reduceat(r, bounds[:-1]).astype(np.int64)
+
+
+def ranks(df: np.ndarray) -> np.ndarray:
+    """Place of each term by document frequency; those that fewer than two rows have share the last place."""
+    out = np.full(len(df), len(df), np.int32)
+    order = np.lexsort((np.arange(len(df)), df))
+    order = order[df[order] > 1]
+    out[order] = np.arange(len(order))
+    return out
+
+
+def _sub(second: np.ndarray) -> np.ndarray:
+    return (second * np.int64(0x9E3779B1) >> np.int64(7)) % SUB_BINS
+
+
+def _weigh(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.RecordBatch]:
+    """Ids by rarest term and sub-bin, added up within the task."""
+    rank = held.value
+    size: dict[int, int] = {}
+    for batch in batches:
+        ids, bounds = _flat(batch.column(0), dtype)
+        if len(bounds) < 2:
+            continue
+        first, second = rarest(ids, bounds, rank)
+        key, at = np.unique(first * SUB_BINS + _sub(second), return_inverse=True)
+        for k, n in zip(key.tolist(), np.bincount(at, weights=np.diff(bounds)).astype(np.int64).tolist(), strict=True):
+            size[k] = size.get(k, 0) + n
+    keys = np.array(sorted(size), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(keys // SUB_BINS), pa.array(keys % SUB_BINS), pa.array([size[k] for k in keys.tolist()], pa.int64())], names=["first", "sub", "n"])
+
+
+class Deal:
+    """Where rows go: bins in order of their rarest term, each a stretch of the ids of the table."""
+
+    def __init__(self, terms: int, total: int, by_first: dict[int, int], shard_tokens: int):
+        self.shard_tokens = max(1, shard_tokens)
+        fine = max(self.shard_tokens // 8, 2 * total // MOST_BINS, 1)
+        self.subs = np.ones(terms + 1, np.int64)
+        for k, n in by_first.items():
+            self.subs[k] = min(SUB_BINS, 1 << max(0, -(-n // fine) - 1).bit_length())
+        self.firsts = np.concatenate([[0], np.cumsum(self.subs)])
+        self.base = self.width = np.zeros(0, np.int64)
+
+    def bins(self, size: dict[int, int]) -> None:
+        width = np.zeros(self.firsts[-1], np.int64)
+        for k, n in size.items():
+            width[k] = n
+        self.width, self.base = width, np.cumsum(width) - width
+
+    def shards(self, first: np.ndarray, second: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """``share``: a number from 0 to 1 of each row, by which the rows of a bin lie in its stretch."""
+        at = self.firsts[first] + _sub(second) % self.subs[first]
+        return ((self.base[at] + share * self.width[at]) // self.shard_tokens).astype(np.int64)
+
+
+def _deal(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.RecordBatch]:
+    rank, deal = held.value
+    times: dict[int, int] = {}
+    for batch in batches:
+        ids, bounds = _flat(batch.column(1), dtype)
+        if len(bounds) < 2:
+            continue
+        raw = ids.view(np.uint8)
+        width, share = ids.dtype.itemsize, np.zeros(len(bounds) - 1)
+        for i, (k, a, b) in enumerate(zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            h = xxhash.xxh64_intdigest(raw[a * width : b * width], (k or 0) & 0xFFFFFFFFFFFFFFFF)
+            times[h] = t = times.get(h, 0) + 1
+            share[i] = (h if t == 1 else xxhash.xxh64_intdigest(struct.pack("<QQ", h, t))) / (1 << 64)
+        shard = deal.shards(*rarest(ids, bounds, rank), np.minimum(share, 1 - 1e-9))
+        yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns[:2]], names=["shard", "doc_id", "ids"])
 
 
 class Index:
-    """BM25 postings of one shard: by term, the rows that have it and what it adds to their score."""
+    """BM25 postings of one shard: by term, the rows that have it and what it adds to their score.
 
-    def __init__(self, docs: list[np.ndarray]):
+    ``df``, ``n`` and ``mean`` are those of the whole table; left out, the shard's own.
+    """
+
+    def __init__(self, docs: list[np.ndarray], df: np.ndarray | None = None, n: int | None = None, mean: float | None = None):
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
-        keys = np.concatenate([d.astype(np.int64) for d in docs]) | (np.repeat(np.arange(len(docs), dtype=np.int64), lengths) << 32)
-        keys.sort()
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        tf = np.diff(np.append(first, len(keys)))
-        row, term = keys[first] >> 32, keys[first] & 0xFFFFFFFF
-        df = np.bincount(term)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / max(1.0, lengths.mean())))
+        row, term, tf = distinct_terms(np.concatenate(docs), np.concatenate([[0], np.cumsum(lengths)]))
+        own = np.bincount(term)
+        df, n = (own, len(docs)) if df is None else (df, n)
+        idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
+        gain = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / max(1.0, lengths.mean() if mean is None else mean)))
         self.n = len(docs)
         self.bounds = np.searchsorted(row, np.arange(len(docs) + 1))
-        self.terms, self.weight, rare = term, gain, df[term] > 1
-        order = np.argsort(term, kind="stable")
-        self.rows, self.gains = row[order], gain[order]
-        self.starts = np.concatenate([[0], np.cumsum(df)])
-        self.shared = rare
-
-    def query(self, row: int) -> np.ndarray:
-        """The terms of a row that add most to its own score, among those that any other row has."""
+        self.terms, self.weight, self.shared = term, gain, own[term] > 1
+        # Terms that many rows have stand as rows of a table, the others as lists of the rows that have them.
+        many = np.flatnonzero(own > max(16, self.n // DENSE))
+        self.dense = np.full(len(own), -1, np.int32)
+        self.dense[many] = np.arange(len(many))
+        self.table = np.zeros((len(many), self.n), np.float32)
+        at = self.dense[term]
+        self.table[at[at >= 0], row[at >= 0]] = gain[at >= 0]
+        few = at < 0
+        order = np.argsort(term[few].astype(np.uint16) if len(own) <= 1 << 16 else term[few], kind="stable")
+        self.rows, self.gains = row[few][order].astype(np.int32), gain[few][order].astype(np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.where(self.dense < 0, own, 0))])
+
+    def query(self, row: int, most: int | None) -> np.ndarray:
+        """The terms of a row that another row of the shard has; of them the ``most`` with the highest weight."""
         a, b = self.bounds[row], self.bounds[row + 1]
-        w = np.where(self.shared[a:b], self.weight[a:b], -1.0)
-        if len(w) > QUERY_TERMS:
-            top = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]
-        else:
-            top = np.arange(len(w))
-        return self.terms[a:b][top[w[top] > 0]]
-
-    def neighbours(self, row: int, used: np.ndarray) -> np.ndarray:
+        terms, w = self.terms[a:b][self.shared[a:b]], self.weight[a:b][self.shared[a:b]]
+        return terms if most is None or len(terms) <= most else terms[np.argsort(-w, kind="stable")[:most]]
+
+    def neighbours(self, row: int, used: np.ndarray, most: int | None = None) -> Iterator[int]:
         """Unused rows that share a query term, best first."""
-        scores = np.zeros(self.n)
-        for t in self.query(row):
-            a, b = self.starts[t], self.starts[t + 1]
-            scores[self.rows[a:b]] += self.gains[a:b]
+        t = self.query(row, most)
+        at = joined(self.starts[t], self.starts[t + 1] - self.starts[t])
+        scores = np.bincount(self.rows[at], weights=self.gains[at], minlength=self.n).astype(np.float64)
+        scores += self.table[self.dense[t][self.dense[t] >= 0]].sum(0)
         scores[used] = 0
-        found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        held = 32
+        while True:
+            found = np.flatnonzero(scores)
+            if len(found) > held:
+                found = found[scores[found] >= -np.partition(-scores[found], held)[held]]
+            if not len(found):
+                return
+            yield from found[np.argsort(-scores[found], kind="stable")].tolist()
+            scores[found] = 0
+            held *= 4
 
 
-def plan(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int, bool]]:
+def plan(docs: list[np.ndarray], window: int = WINDOW, index: Index | None = None, query_terms: int | None = None) -> list[tuple[int, int, int, int, int, bool]]:
     """(row, start, length, sequence, offset, whether it leads its sequence) of every piece of a shard."""
-    index, used = Index(docs), np.zeros(len(docs), dtype=bool)
+    index, used = index or Index(docs), np.zeros(len(docs), dtype=bool)
     waiting = np.argsort([-len(d) for d in docs], kind="stable")
     out, seq, room, lead, at = [], 0, window, True, 0
 
@@ -113,9 +260,9 @@ def plan(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
             if lead:
                 break
             row_next = None
-            for n in index.neighbours(row, used):
+            for n in index.neighbours(row, used, query_terms):
                 used[n] = True
-                row_next, start = int(n), place(int(n), 0)
+                row_next, start = n, place(n, 0)
                 if start < len(docs[row_next]) or lead:
                     break
             row = row_next
@@ -145,11 +292,12 @@ def _tail(pieces: list[tuple], window: int, least: int) -> list[tuple]:
     return out
 
 
-def _pack(table: pa.Table, dtype: str, window: int, least: int) -> pa.Table:
+def _pack(table: pa.Table, dtype: str, window: int, least: int, held, query_terms: int | None) -> pa.Table:
     rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     docs = [np.frombuffer(b, dtype) for _, b in rows]
     shard = table.column("shard")[0].as_py()
-    pieces = _tail(plan(docs, window), window, least)
+    df, n, mean = held.value
+    pieces = _tail(plan(docs, window, Index(docs, df, n, mean), query_terms), window, least)
     length: dict[int, int] = {}
     for p in pieces:
         length[p[3]] = length.get(p[3], 0) + p[2]
@@ -167,21 +315,35 @@ def _pack(table: pa.Table, dtype: str, window: int, least: int) -> pa.Table:
     return pa.table(cols)
 
 
-def pack(docs: DataFrame, blob: bytes, window: int = WINDOW, end_id: int = 2, shard_rows: int = SHARD_ROWS, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, blob: bytes, window: int = WINDOW, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, least: int = LEAST, query_terms: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document; one row per piece, its sequence and its place there.
 
-    A shard's task holds its rows' ids (2 bytes each), not their texts: the texts do not move.
+    ``query_terms`` bounds the terms with which a seed asks; None asks with all. Texts do not move: their
+    ids are written once, read to weigh the bins and once more to deal them to the shards.
     """
     spark = docs.sparkSession
     ship(spark)
     batch_bytes(spark)
-    shards = max(1, -(-docs.count() // shard_rows))
     held = spark.sparkContext.broadcast(blob)
     dtype = encoder(blob).dtype
-    key, text = F.col(id_col).cast("long"), F.col(text_col)
-    rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(shards)).alias("shard"), key.alias("doc_id"), text.alias("text"))
-    ids = rows.mapInArrow(lambda batches: _encode(batches, held, end_id), "shard long, doc_id long, ids binary")
-    return ids.groupBy("shard").applyInArrow(lambda t: _pack(t, dtype, window, least), PIECES)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    every = materialize(rows.mapInArrow(lambda batches: _encode(batches, held, end_id), "doc_id long, ids binary, counts binary"), "packing-ids")
+    total = _totals(every)
+    if total is None:
+        return spark.createDataFrame([], PIECES)
+    df, n, n_ids = total[:-2], int(total[-2]), int(total[-1])
+    ids = every.where("counts is null").select("doc_id", "ids")
+    order = ranks(df)
+    known = spark.sparkContext.broadcast(order)
+    fine = materialize(ids.select("ids").mapInArrow(lambda batches: _weigh(batches, known, dtype), "first long, sub long, n long").groupBy("first", "sub").agg(F.sum("n").alias("n")), "packing-bins")
+    # At most one row for each term, then at most MOST_BINS and one more for each term, come to the driver.
+    deal = Deal(len(df), n_ids, {r["first"]: r["n"] for r in fine.groupBy("first").agg(F.sum("n").alias("n")).collect()}, shard_tokens)
+    subs = spark.createDataFrame([(i, int(k)) for i, k in enumerate(deal.subs) if k > 1] or [(-1, 1)], "first long, subs long")
+    bins = fine.join(F.broadcast(subs), "first", "left").groupBy("first", F.expr("sub % coalesce(subs, 1)").alias("sub")).agg(F.sum("n").alias("n"))
+    deal.bins({int(deal.firsts[r["first"]]) + r["sub"]: r["n"] for r in bins.collect()})
+    dealing, stats = spark.sparkContext.broadcast((order, deal)), spark.sparkContext.broadcast((df, n, n_ids / n))
+    dealt = ids.mapInArrow(lambda batches: _deal(batches, dealing, dtype), "shard long, doc_id long, ids binary")
+    return dealt.groupBy("shard").applyInArrow(lambda t: _pack(t, dtype, window, least, stats, query_terms), PIECES)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ TAIL = ".,!?;:|#*$%&()"
 BLOCK = 8 << 20
 #: Words of one library call.
 JOINED = 512
-PROBES = ["", " ", "\n", "a", " a", "a b", "a  b", "a \n b", "\n\na", "a\n\n", "It's don't, we'll.", "x1 22 3.5", "(a) b! c?? d... #e", "Éa é. İ. İa, ß; ſ.", "日本 語。 a", "🙂 a🙂.", "é. áb,", "a.́ b", "ab,cd;ef|g", "A|B *c* $5 100%", "ﬁ. Ω, ς."]
+PROBES = ["", " ", "\n", "a", " a", "a b", "a  b", "a \n b", "\n\na", "a\n\n", "It's don't, we'll.", "x1 22 3.5", "(a) b! c?? d... #e", "Éa é. İ. İa, ß; ſ.", "日本 語。 a", "🙂 a🙂.", "é. áb,", "a.́ b", "ab,cd;ef|g", "A|B *c* $5 100%", "plain Words in Église façade naïveté ŒUVRE ŀ ĸ", "ﬁ. Ω, ς."]
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 10]] = True
@@ -54,6 +54,20 @@ _PLAIN = "[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u017f]+"
 SPACED, BARE = re.compile(" " + _PLAIN), re.compile("[ \\n]*" + _PLAIN)
 
 
+def _byte_signs() -> dict[int, str]:
+    """Latin letters as the signs that stand for their bytes in a byte-level vocabulary.
+
+    There, printable Latin-1 signs stand for themselves and the other bytes for the signs from 256 on, in order.
+    """
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    sign = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
+
+
+_AS_BYTES = _byte_signs()
+
+
 def starts_of(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Where chunks begin: texts, runs of white space, and a plain sign after a Latin letter."""
     space = _SPACE[data]
@@ -76,7 +90,9 @@ def starts_of(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 def joined(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places of all elements of the ranges, one range after another."""
     ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if n < 1 << 31 and (not n or int(starts.max()) < 1 << 31) else np.int64
+    return np.arange(n, dtype=kind) + np.repeat((starts - ends + lengths).astype(kind), lengths)
 
 
 class ChunkEncoder:
@@ -100,6 +116,9 @@ class ChunkEncoder:
         self.border = np.zeros(self.vocab, bool)
         self.border[[i for t, i in vocab.items() if (t.endswith(suffix) if suffix else t.startswith("Ġ"))]] = True
         self.border_ends = bool(suffix)
+        # The same merges without the steps that plain words do not need.
+        bare = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(spec | bare))
         self.most = most
         self._forget()
         self.safe = True
@@ -128,23 +147,33 @@ class ChunkEncoder:
     def learn(self, new: list[str]) -> None:
         """Ask the library for chunks that are not known: plain words many to a call, the rest each."""
         fits = (BARE if self.drops_space else SPACED).fullmatch
-        words, rest = [], []
+        narrow, wide, rest = [], [], []
         for c in new:
-            (words if fits(c) else rest).append(c)
-        for a in range(0, len(words), JOINED * 64):
-            some = words[a : a + JOINED * 64]
-            lead = [c if c[0] == " " else " " + c.lstrip("\n") for c in some] if self.drops_space else some
-            lines = ["".join(lead[i : i + JOINED]) for i in range(0, len(some), JOINED)]
-            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.lib.encode_batch_fast(lines, add_special_tokens=False)])
-            ends = np.flatnonzero(self.border[ids]) + 1 if self.border_ends else np.append(np.flatnonzero(self.border[ids])[1:], len(ids))
-            if len(ends) == len(some) and ends[-1] == len(ids) and (self.border_ends or self.border[ids[0]]):
-                self._hold(some, ids, np.diff(ends, prepend=0))
-            else:
-                rest += some
+            (narrow if c.isascii() else wide).append(c) if fits(c) else rest.append(c)
+        for words in (narrow, wide):
+            for a in range(0, len(words), JOINED * 64):
+                some = words[a : a + JOINED * 64]
+                if not self._learn_words(some, words is wide):
+                    rest += some
         for a in range(0, len(rest), 4096):
             got = [e.ids for e in self.lib.encode_batch_fast(rest[a : a + 4096], add_special_tokens=False)]
             self._hold(rest[a : a + 4096], np.array([i for x in got for i in x], self.dtype), np.array([len(x) for x in got], np.int64))
 
+    def _learn_words(self, words: list[str], wide: bool) -> bool:
+        """Ids of plain words by their merges; False where they cannot be told apart."""
+        runs = range(0, len(words), JOINED)
+        lines = [" ".join([c.lstrip(" \n") for c in words[i : i + JOINED]]).lower() for i in runs] if self.drops_space else ["".join(words[i : i + JOINED]) for i in runs]
+        if wide:
+            lines = [x.translate(_AS_BYTES) for x in lines]
+        if not self.drops_space:
+            lines = [x.replace(" ", " Ġ") for x in lines]
+        ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)])
+        ends = np.flatnonzero(self.border[ids]) + 1 if self.border_ends else np.append(np.flatnonzero(self.border[ids])[1:], len(ids))
+        if not len(ids) or len(ends) != len(words) or ends[-1] != len(ids) or not (self.border_ends or self.border[ids[0]]):
+            return False
+        self._hold(words, ids, np.diff(ends, prepend=0))
+        return True
+
     def _known(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and sizes of texts by their chunks."""
         col = pa.array(texts, pa.string())
@@ -161,13 +190,15 @@ class ChunkEncoder:
         starts = starts_of(data, first[full])
         bounds = np.append(starts, len(data)).astype("<i4")
         chunks = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        words = chunks.dictionary.to_pylist()
+        words = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.place) > self.most:
             self._forget()
         found = list(map(self.place.get, words))
         if None in found:
-            self.learn([w for w, f in zip(words, found, strict=True) if f is None])
-            found = list(map(self.place.__getitem__, words))
+            gaps = [i for i, f in enumerate(found) if f is None]
+            self.learn([words[i] for i in gaps])
+            for i in gaps:
+                found[i] = self.place[words[i]]
         place = np.array(found, np.int64)[chunks.indices.to_numpy()]
         n = self.size[place].astype(np.int64)
         ids = self.ids[joined(self.at[place], n)]

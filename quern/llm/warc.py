@@ -11,8 +11,8 @@ retried tasks leave no double records.
 
 Defined cases: null html is an empty payload; rows that repeat the page_id of their group's holder are
 responses too; a page with a null page_id is a response unless another page of its group has an id; a
-null url is written as an empty target; an empty table gives no files and no rows; other columns are
-ignored.
+null url is written as an empty target; a very long payload is one record, held whole while it is written
+or read; an empty table gives no files and no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ DATE = "2000-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long, payload_bytes long"
 ROLL = 256 << 20
 SPAN, GAP = 8 << 20, 64 << 10
+#: Payload groups (about 100 bytes each) up to which they are broadcast, and archive bytes that a reading task gets.
+BROADCAST_GROUPS, READ_EACH = 500_000, 32 << 20
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, serial: str) -> bytes:
@@ -109,8 +111,9 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def write(pages: DataFrame, out: str, least: int = LEAST_REVISIT, roll: int = ROLL, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write all pages below ``out``; returns the index, already written.
 
-    Only ids and digests are grouped; the pages meet the few payload groups of more than one page by
-    digest, a join that Spark splits where one payload is very common.
+    Only ids and digests are grouped. The payload groups of more than one page are counted and, up to
+    ``BROADCAST_GROUPS``, broadcast, so the pages themselves do not move; beyond, they meet by digest, a
+    join that Spark splits where one payload is very common.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -118,7 +121,8 @@ def write(pages: DataFrame, out: str, least: int = LEAST_REVISIT, roll: int = RO
     html = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("bytes"))
     groups = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1 and holder is not null").select("digest", "holder")
-    joined = rows.join(groups, "digest", "left")
+    groups = materialize(groups, "warc-groups")
+    joined = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "digest", "left")
     refers = F.when(F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder"))
     ready = joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
     return materialize(ready.mapInArrow(lambda batches: _write(batches, out, roll), INDEX), "warc-index")
@@ -154,12 +158,16 @@ def _read(batches: Iterator[pa.RecordBatch], span: int, gap: int, schema: str) -
 def read(index: DataFrame, payloads: bool = True, span: int = SPAN, gap: int = GAP) -> DataFrame:
     """The records that ``index`` names, with their payloads (null for revisits) if wanted.
 
-    Rows are dealt by ranges of file and offset, so a task reads neighbouring records in order.
+    Rows are dealt by ranges of file and offset, so a task reads neighbouring records in order; the number
+    of tasks follows the bytes of the records, not those of the index.
     """
-    ship(index.sparkSession)
+    spark = index.sparkSession
+    ship(spark)
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else "")
     wanted = index.select("file", "offset", "length")
-    dealt = wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    held = wanted.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // READ_EACH))
+    dealt = wanted.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(lambda batches: _read(batches, span, gap, schema), schema)
 
 

@@ -4,12 +4,14 @@ Three base rules find secrets by pattern. Their matches over all documents, in o
 most ``most`` distinct strings of each kind, are the labelled credentials (a table of one's own may be
 given instead). Each kind's strings form a prefix tree over character classes; states whose outgoing
 shares agree within Hoeffding's bound are merged, red states first, until every state is kept or merged.
-The same is learned from ordinary tokens of a bounded sample of documents. Every token of twelve or more
+Ordinary tokens, of which there is no bound, are counted over all documents: by what follows each run of at
+most ``CONTEXT`` classes, which is the prefix tree with all states merged that agree in their last classes,
+and so has a bounded number of states. Every token of twelve or more
 credential characters is then scored by the best kind's log-likelihood against the ordinary one, and those
 above the threshold, clear of base spans, are added as spans of kind ``format``.
 
 Defined cases: a null text is an empty text; a null doc_id and repeated rows pass through; with no
-labelled credentials no span is added; strings of over ``LONGEST`` characters are not trained on but are
+labelled credentials no span is added; very long texts are scanned whole; strings of over ``LONGEST`` characters are not trained on but are
 scored; an empty table gives no rows; other columns are ignored.
 """
 
@@ -35,7 +37,8 @@ TOKEN_RE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 WORDS = ("passw", "secret", "token", "api")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 LONGEST = 128
-MOST, MOST_DOCS = 1500, 2000
+#: Labelled strings of each kind that are learned from, and classes that a state of ordinary tokens remembers.
+MOST, CONTEXT = 1500, 3
 #: Bits in favour of a credential, in all and for each character, from which a token is a span.
 BITS, BITS_EACH = 24.0, 1.0
 ALPHA = 0.01
@@ -80,6 +83,24 @@ class Automaton:
             self._merge_states()
         self._finish()
 
+    @classmethod
+    def of_counts(cls, counts: dict[tuple[str, str], int]) -> Automaton:
+        """From how often each class (or the end) follows each run of at most ``CONTEXT`` classes."""
+        out = cls([])
+        place = {"": 0}
+        for run, c in sorted(counts):
+            for r in (run, (run + c)[-CONTEXT:]) if c != END else (run,):
+                if r not in place:
+                    place[r] = len(place)
+                    out.next.append({})
+                    out.count.append({})
+            q = place[run]
+            out.count[q][c] = out.count[q].get(c, 0) + counts[run, c]
+            if c != END:
+                out.next[q][c] = place[(run + c)[-CONTEXT:]]
+        out._finish()
+        return out
+
     def _differ(self, a: int, b: int) -> bool:
         x, y = self.count[a], self.count[b]
         n, m = sum(x.values()), sum(y.values())
@@ -153,9 +174,9 @@ class Automaton:
 
 
 class Model:
-    def __init__(self, credentials: dict[str, list[str]], ordinary: list[str]):
+    def __init__(self, credentials: dict[str, list[str]], ordinary: dict[tuple[str, str], int] | list[str]):
         self.kinds = {k: a for k, v in credentials.items() if (a := Automaton(v)).live}
-        self.ordinary = Automaton(ordinary)
+        self.ordinary = Automaton.of_counts(ordinary) if isinstance(ordinary, dict) else Automaton(ordinary)
         self.seen: dict[str, float] = {}
 
     def bits(self, token: str) -> float:
@@ -215,14 +236,39 @@ def labelled(docs: DataFrame, most: int = MOST, text_col: str = "text") -> dict[
     return out
 
 
-def ordinary(docs: DataFrame, most: int = MOST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """Credential-like tokens, clear of base matches, of at most ``most`` ids' documents (in order of a hash)."""
-    key = F.col(id_col).cast("long")
-    ids = docs.select(key.alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = docs.select(key.alias("doc_id"), text.alias("text")).join(F.broadcast(ids), "doc_id").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_.=-]{12,}"), F.lit(0))).alias("s")).where(F.length("s") <= LONGEST)
-    got = tokens.groupBy("s").count().orderBy(F.xxhash64("s"), "s").limit(4 * MOST_DOCS).collect()
-    return [s for r in sorted(got) if not base_spans(s := r["s"]) for _ in range(min(r["count"], 4))]
+def _follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What follows each run of classes in the ordinary tokens of a task: as many rows as there are such pairs, at most."""
+    total: dict[tuple[str, str], int] = {}
+    for batch in batches:
+        seen: dict[str, int] = {}
+        for text in batch.column(0).to_pylist():
+            base = None
+            for m in TOKEN_RE.finditer(text or ""):
+                a, b = m.span()
+                if base is None:
+                    base = base_spans(text)
+                if not any(x[0] < b and a < x[2] for x in base):
+                    c = m.group().translate(TO_CLASS)
+                    seen[c] = seen.get(c, 0) + 1
+        for c, n in seen.items():
+            c += END
+            for i in range(len(c)):
+                k = (c[max(0, i - CONTEXT) : i], c[i])
+                total[k] = total.get(k, 0) + n
+    keys = sorted(total)
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], names=["run", "follows", "n"])
+
+
+def ordinary(docs: DataFrame, text_col: str = "text") -> dict[tuple[str, str], int]:
+    """How often each class follows each run of classes in credential-like tokens clear of base matches, over all documents.
+
+    At most (classes + 1) ** (CONTEXT + 1) rows come to the driver, whatever the table holds.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    batch_bytes(spark)
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_follows, "run string, follows string, n long")
+    return {(r["run"], r["follows"]): r["n"] for r in rows.groupBy("run", "follows").agg(F.sum("n").alias("n")).collect()}
 
 
 def _scan(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:

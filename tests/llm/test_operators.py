@@ -296,9 +296,10 @@ def chain_rows(seed: int) -> list[tuple[int, str]]:
     return rows
 
 
-@pytest.mark.parametrize("each", [8, 40])
-def test_jaccard_blocks_of_large_components_lose_no_link(spark, monkeypatch, each):
+@pytest.mark.parametrize(("each", "edges"), [(8, 0), (40, 1_000_000)])
+def test_jaccard_blocks_of_large_components_lose_no_link(spark, monkeypatch, each, edges):
     monkeypatch.setattr(jaccard, "SETS_EACH", each)
+    monkeypatch.setattr(jaccard, "LOCAL_EDGES", edges)
     monkeypatch.setattr(jaccard, "TASK_SHINGLES", 2000)
     rows = chain_rows(each)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)

@@ -32,6 +32,8 @@ from quern.session import batch_bytes, materialize, scratch, ship
 SCALE = 1024
 #: The longest vectors that set first thresholds, vectors in a block, queries in a block.
 HEAD, BLOCK, QUERIES = 4096, 4096, 1024
+#: Bytes of vectors that a searching task reads on average.
+TASK_BYTES = 64 << 20
 #: Share of the squared lengths that the leading axes hold.
 ENERGY = 0.8
 #: Integers of up to this size are exact in float64 sums.
@@ -245,7 +247,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE
     names = listed(known, "topk-queries")
     if not names:
         return spark.createDataFrame([], schema)
-    dealt = rows.repartitionByRange(F.desc("norm"), "vec_id").select("vec_id", "v", "norm")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * dim * 8 // TASK_BYTES))
+    dealt = rows.repartitionByRange(tasks, F.desc("norm"), "vec_id").select("vec_id", "v", "norm")
     found = dealt.mapInArrow(lambda b: _search(b, names, dim, axes, lead, k, BLOCK), "query_id long, vec_id long, score long")
     return _best(found, k).select("query_id", "rank", "vec_id", "score")
 

@@ -18,15 +18,15 @@ SCRIPTS = [
 ]
 SCRIPT_SHARE, SCRIPT_CHARS = 0.30, 500
 
-#: Function words by language, in order of precedence; a longer lexicon may be given instead.
+# Function words by language, in order of precedence; another lexicon may be given instead.
 LEXICON = {
-    "en": "the a an of in to and or is are was were be been have has had it its this that these with for from by not on at as",
-    "es": "el la los las un una de del en y o que es son por para con se su al como no más pero",
-    "fr": "le la les un une des de du en et ou que qui est sont pour par avec dans sur pas au aux ce cette",
-    "de": "der die das ein eine und oder ist sind von zu mit für auf den dem des im nicht auch sich als",
-    "pt": "o os um uma de do da dos das em no na e ou que é são por para com não ao",
-    "it": "il lo gli un una di del della in nel e o che è sono per con non al si",
-    "nl": "de het een van in op en of is zijn was voor met niet aan dat die te er om",
+    "en": "the a an of in to and or is are was were be been have has had do does did will would can could should may might shall it its this that these those for on at by with from as but not if so no he she we they you i my your our their his her",
+    "es": "el la los las un una unos unas de del en con por para que se le les no es son está han hay pero si como ya más también cuando donde porque aunque sin sobre muy todo su sus este esta estos estas ese esa al lo me mi nos yo él ella",
+    "fr": "le la les un une des de du en et à au aux que qui se ne pas plus est sont était ont par sur dans avec pour mais ou si bien tout très aussi même il elle ils elles nous vous je mon ma mes son sa ses ce ces cet cette",
+    "de": "der die das ein eine und in von zu den des dem mit ist sind war wurde werden hat haben nicht aber auch als dass an auf für noch oder bei im sich er sie es wir ihr ich mein sein ihre dieser diese diesem dieses",
+    "pt": "o a os as um uma de do da em no na por para que se não é são foi tem com mas ou também mais quando como sobre ele ela eles nós seu sua este esta isso aqui já ainda muito",
+    "it": "il la lo i le gli un una di del della in nel nella da per con su che è sono ha hanno non ma o se anche come più molto questo questa questi queste lui lei loro noi voi io mi",
+    "nl": "de het een van in is dat op te aan met hij zijn ze niet ook maar en of als er bij dit uit naar om worden was waren heeft hebben hun zij wij ik mijn ons onze door over",
 }
 MIN_WORDS, RATIO = 4, 0.10
 EDGE = r""".,!?;:"'()\-\[\]{}/<>|"""
@@ -56,9 +56,11 @@ DELIMITERS = r"""[\s,;:"'\[\]{}()]+"""
 MOJIBAKE = "â€|Ã"
 CONTROL = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}]"
 
+# How a numbered heading begins, and the bounds of headings.
 HEADING = r"(?i)^(?:\d+\.|\d+\.\d+|\d+\.\d+\.\d+|[A-Z]\.|Section\s+\d+|§\s*\d+|Appendix\s+[A-Z0-9]+|Chapter\s+\d+)\s+\S"
 HEADING_CHARS, HEADING_CAPS, HEADING_FIRST = 120, 4, 60
-CROSS_REFERENCE = r"(?i)(?:see|refer to|as (?:per|defined in|described in|shown in|noted in))\s+((?:section|sect|figure|fig|table|appendix|chapter|§)\s*[\d.A-Z]+)"
+# The words of a cross reference.
+CROSS_REFERENCE = r"(?i)(?:see|refer to|as (?:per|defined in|described in|shown in|noted in))\s+(?:section|sect|fig|figure|table|appendix|chapter|§)\s*[\d.A-Z]+"
 
 # The tier that a segment type starts with.
 TIERS = {

@@ -23,6 +23,11 @@ BOUNDARIES = {
 }
 
 
+# Languages whose units are brace blocks, and how the line of such a unit begins.
+BRACES = ("c", "cpp", "c++", "java", "rust", "rs", "csharp", "cs", "swift", "kotlin")
+BRACE_UNIT = re.compile(r"^((public|private|protected|static|final|override|virtual|inline|extern)?\s*[\w:<>*&]+\s+\w+\s*\(|(pub\s+)?(async\s+)?fn\s+\w+|(pub|private|protected)?\s*(static\s+)?(void|int|bool|string|auto|var)\s+\w+)")
+
+
 class Words:
     """Word counts of any range of a text in logarithmic time, from the places of its words."""
 
@@ -61,9 +66,13 @@ def windows(text: str, most: int, overlap: int) -> list[tuple[int, int, int]]:
 def code_units(text: str, most: int, language: str) -> list[tuple[int, int, int]]:
     """Chunks that tile code at its boundary lines; too large units are cut on without overlap."""
     boundary, starts, at = BOUNDARIES.get(language), [0], 0
-    held = False
+    held, depth = False, 0
     for line in text.splitlines(keepends=True):
         hit = bool(boundary and boundary.match(line))
+        if language in BRACES:
+            opened = line.count("{") - line.count("}")
+            hit = depth == 0 and opened > 0 and bool(BRACE_UNIT.match(line.lstrip()))
+            depth = max(0, depth + opened)
         if hit and not held and at:
             starts.append(at)
         held = hit and line.startswith("@")

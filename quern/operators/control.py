@@ -6,25 +6,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.session import materialize
+
 ACTIVE = ("queued", "claimed", "running", "paused")
 
 
 def stratified_sample(docs: DataFrame, stratum: str, target: int, key: Column) -> DataFrame:
     """``target`` rows in proportion to the strata, at least one of each, largest remainders first.
 
-    Within a stratum rows go in order of a hash; ranks are counted only among rows below a cut of the
-    hash that surely holds enough, so no stratum is gathered whole.
+    No quota passes its stratum's size, and with more strata than ``target`` the first ones in order give one
+    row each. Within a stratum rows go in order of a hash (``key``, hexadecimal): only rows below a cut of it
+    that holds several times the quota are ranked, and a stratum whose cut holds too few is ranked whole.
     """
     sizes = docs.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    total = docs.count()
+    total, strata = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    if not total:
+        return docs.select("doc_id", stratum).limit(0)
     aim = min(target, total)
-    share = F.col("n") * F.lit(aim) / F.lit(max(total, 1))
-    base = sizes.withColumn("base", F.greatest(F.lit(1), F.floor(share))).withColumn("rest", share - F.floor(share))
-    spare = max(0, aim - (base.agg(F.sum("base")).first()[0] or 0))
-    quota = base.withColumn("turn", F.row_number().over(Window.orderBy(F.desc("rest"), stratum))).withColumn("quota", F.col("base") + (F.col("turn") <= spare).cast("long")).select(stratum, "quota")
+    share = F.col("n") * F.lit(aim) / F.lit(total)
+    if strata > aim:
+        quota = sizes.withColumn("turn", F.row_number().over(Window.orderBy(stratum))).select(stratum, "n", (F.col("turn") <= aim).cast("long").alias("quota"))
+    else:
+        base = sizes.withColumn("base", F.least(F.col("n"), F.greatest(F.lit(1), F.floor(share)))).withColumn("rest", share - F.floor(share)).withColumn("slack", (F.col("n") > F.col("base")).cast("long"))
+        spare = max(0, aim - base.agg(F.sum("base")).first()[0])
+        turn = F.sum("slack").over(Window.orderBy(F.desc("rest"), stratum).rowsBetween(Window.unboundedPreceding, 0))
+        quota = base.select(stratum, "n", (F.col("base") + F.when((F.col("slack") > 0) & (turn <= spare), 1).otherwise(0)).alias("quota"))
+    # The first 15 digits of the hash as a share of all values; four times the quota and 64 more lie below the cut.
+    place = F.conv(F.substring(key, 1, 15), 16, 10).cast("double") / float(16**15)
+    rows = docs.select("doc_id", stratum, key.alias("turn_key"), place.alias("place")).join(F.broadcast(quota), stratum)
+    cut = (4 * F.col("quota") + 64) / F.col("n")
     w = Window.partitionBy(stratum).orderBy("turn_key", "doc_id")
-    picked = docs.select("doc_id", stratum, key.alias("turn_key")).withColumn("k", F.row_number().over(w))
-    return picked.join(quota, stratum).where(F.col("k") <= F.col("quota")).select("doc_id", stratum)
+    early = rows.where(F.col("place") < cut).withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("quota")).select("doc_id", stratum)
+    short = early.groupBy(stratum).agg(F.count(F.lit(1)).alias("got")).join(quota, stratum, "right").where(F.coalesce("got", F.lit(0)) < F.col("quota")).select(stratum)
+    short = materialize(short, "sample-short")
+    if not short.count():
+        return early
+    whole = rows.join(F.broadcast(short), stratum, "left_semi").withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("quota")).select("doc_id", stratum)
+    return early.join(F.broadcast(short), stratum, "left_anti").unionByName(whole)
 
 
 def candidate_grid(spark: SparkSession, strategies: tuple[str, ...] = ("recursive_char", "structure_aware"), sizes: tuple[int, ...] = (256, 512, 1024), overlaps: tuple[int, ...] = (0, 64), modes: tuple[str, ...] = ("dense", "hybrid")) -> DataFrame:
@@ -134,6 +152,6 @@ def reconcile(aliases: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def fingerprint(hashes: DataFrame, column: str) -> DataFrame:
-    """One digest of a table's content hashes: digests of 4096 buckets, then a digest of those."""
-    buckets = hashes.groupBy(F.substring(column, 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(column)), "|"), 256).alias("d"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "|"), 256).alias("fingerprint"))
+    """One digest of a table's content hashes, in no order: their number and the sums of four parts of them."""
+    parts = [F.sum(F.conv(F.substring(column, 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return hashes.agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *parts), 256).alias("fingerprint"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions.text import cosine
-from quern.session import materialize
+from quern.session import materialize, ship
 
 MAX_K, OVERFETCH, MAX_FETCH = 100, 10, 1000
 #: Queries of one block, on average at most.
@@ -31,9 +33,9 @@ def payload_filter(frame: DataFrame, conditions: dict) -> DataFrame:
 def topk(points: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """query_id, rank, point_id and score of each query's best points, by cosine, ties to the smaller id.
 
-    ``queries`` (query_id, qvec, and the tenant column if ``same`` names one) may be of any number: a block
-    of bounded size is broadcast, points are scored where they are read, and each task keeps its own best
-    before anything moves (the plan's window group limit). More queries are dealt into blocks by a hash of
+    ``queries`` (query_id, qvec, and tenant if ``same`` names the points' column of it) may be of any number:
+    a block of bounded size, made unit vectors once, is broadcast, points are multiplied with it by Arrow
+    batch where they are read, and only each batch's best move. More queries are dealt into blocks by a hash of
     their id, each block's rows are written before the next one starts.
     """
     blocks = max(1, math.ceil(queries.count() / MOST_QUERIES))
@@ -43,10 +45,44 @@ def topk(points: DataFrame, queries: DataFrame, k: int, same: str | None = None)
     return reduce(DataFrame.unionByName, [materialize(_block(points, queries.where(own == i), k, same), "topk-block") for i in range(blocks)])
 
 
+def _score(batches: Iterator[pa.RecordBatch], held, k: int, same: bool) -> Iterator[pa.RecordBatch]:
+    """A task's best points of each query; points with null or empty vectors score 0 against all."""
+    ids, tenants, q = held.value
+    for batch in batches:
+        rows = batch.column(1).to_pylist()
+        dim = q.shape[1]
+        v = np.array([r if r is not None and len(r) == dim else [0.0] * dim for r in rows], np.float64).reshape(len(rows), dim)
+        length = np.sqrt((v * v).sum(1))
+        length[length == 0] = 1.0
+        points = batch.column(0).to_numpy(zero_copy_only=False)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a in range(0, len(ids), 256):
+            score = np.round((v @ q[a : a + 256].T) / length[:, None], 6) + 0.0
+            ok = points[:, None] != ids[a : a + 256][None, :]
+            if same:
+                ok &= np.array(batch.column(2).to_pylist(), object)[:, None] == tenants[a : a + 256][None, :]
+            score[~ok] = -np.inf
+            for i in range(score.shape[1]):
+                s = score[:, i]
+                at = np.flatnonzero(np.isfinite(s)) if len(s) <= k else np.flatnonzero(np.isfinite(s) & (s >= np.partition(s, len(s) - k)[len(s) - k]))
+                at = at[np.lexsort((points[at], -s[at]))][:k]
+                out.append((np.full(len(at), ids[a + i]), points[at], s[at]))
+        c = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64())], names=["query_id", "point_id", "score"])
+
+
 def _block(points: DataFrame, queries: DataFrame, k: int, same: str | None) -> DataFrame:
-    q = F.broadcast(queries)
-    on = [points[same] == queries["tenant"]] if same else F.lit(True)
-    scored = points.join(q, on, "inner").where("point_id <> query_id").select("query_id", "point_id", F.round(cosine(F.col("vec"), F.col("qvec")), 6).alias("score"))
+    spark = points.sparkSession
+    ship(spark)
+    asked = sorted(queries.collect(), key=lambda r: r["query_id"])
+    dim = max((len(r["qvec"] or []) for r in asked), default=0)
+    q = np.array([r["qvec"] if r["qvec"] is not None and len(r["qvec"]) == dim else [0.0] * dim for r in asked], np.float64).reshape(len(asked), dim)
+    norm = np.sqrt((q * q).sum(1, keepdims=True))
+    norm[norm == 0] = 1.0
+    tenants = np.array([r["tenant"] if same else None for r in asked], object)
+    held = spark.sparkContext.broadcast((np.array([r["query_id"] for r in asked], np.int64), tenants, q / norm))
+    rows = points.select(F.col("point_id").cast("long"), F.col("vec").cast("array<double>"), *([same] if same else []))
+    scored = rows.mapInArrow(lambda b: _score(b, held, k, bool(same)), "query_id long, point_id long, score double")
     local = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
     return scored.withColumn("rank", F.row_number().over(local)).where(F.col("rank") <= k)
 
@@ -80,3 +116,13 @@ def evaluate(answers: DataFrame, k: int, by: str) -> DataFrame:
     """Mean recall (over questions with a gold list) and precision by type and in all."""
     scored = answers.select(by, (F.size("gold") > 0).alias("scorable"), recall_at(F.col("retrieved"), F.col("gold"), k).alias("r"), precision_at(F.col("retrieved"), F.col("gold"), k).alias("p"))
     return scored.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("scorable"), F.col("r"))), 6).alias("recall"), F.round(F.avg("p"), 6).alias("precision"))
+
+
+def hits(asked: DataFrame, found: DataFrame, hit: Column) -> DataFrame:
+    """``asked`` (query_id, n_gold, ...) with recall and precision of what was found, hits counted by query.
+
+    Without gold, or with nothing found, the figure is 0.
+    """
+    by = asked.join(found, "query_id", "left").groupBy(*asked.columns).agg(F.count(F.col(found.columns[1])).alias("n_found"), F.coalesce(F.sum(hit.cast("long")), F.lit(0)).alias("n_hits"))
+    share = lambda n: F.when(F.col(n) == 0, 0.0).otherwise(F.col("n_hits") / F.col(n))
+    return by.select(*asked.columns, share("n_gold").alias("recall"), share("n_found").alias("precision"))

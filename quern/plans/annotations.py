@@ -116,9 +116,9 @@ def heading_lines(docs: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(A.is_heading(F.col("l")).cast("long")).alias("n_headings"))
 
 
-@query("cross_reference_candidates", "documents", f"SELECT doc_id, regexp_extract(text, '{A.CROSS_REFERENCE}', 1) AS target FROM documents WHERE regexp_matches(text, '{A.CROSS_REFERENCE}')")
+@query("cross_reference_candidates", "documents", f"SELECT doc_id, regexp_extract(text, '{A.CROSS_REFERENCE}', 0) AS target FROM documents WHERE regexp_matches(text, '{A.CROSS_REFERENCE}')")
 def cross_reference_candidates(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").rlike(A.CROSS_REFERENCE)).select("doc_id", F.regexp_extract("text", A.CROSS_REFERENCE, 1).alias("target"))
+    return docs.where(F.col("text").rlike(A.CROSS_REFERENCE)).select("doc_id", F.regexp_extract("text", A.CROSS_REFERENCE, 0).alias("target"))
 
 
 @query("salience_override", "lineitem", """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 < 0.60 THEN 'excluded' WHEN l_discount * 10 < 0.80 THEN 'supporting' ELSE 'primary' END AS salience_tier, (1 + (l_discount * 10 < 0.80)::INT)::INT AS n_signals FROM lineitem""")

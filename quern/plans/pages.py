@@ -57,10 +57,10 @@ def reassembly_digest(docs: DataFrame) -> DataFrame:
 
 @query("xrefs", "documents")
 def xrefs(docs: DataFrame) -> DataFrame:
-    """Every document's second segment asks for the label that its first word is."""
-    found = segments.of_documents(docs)
-    ask = found.where("document_order = 1").select("doc_id", F.col("segment_id").alias("source_segment"), F.upper(F.element_at(F.split("text", r"\s+"), 1)).alias("label"), F.lit(1).alias("table_no"))
-    return segments.cross_references(ask, found)
+    """References of documents in which every eleventh carries a numbered section and two mentions of sections."""
+    planted = F.concat(F.lit("4.2 Setup\n\n"), F.col("text"), F.lit("\n\nThis follows, see section 4.2 for the details.\n\nBut refer to section 9.9 as well."))
+    found = segments.of_documents(docs.withColumn("text", F.when(F.col("doc_id") % 11 == 0, planted).otherwise(F.col("text"))))
+    return segments.cross_references(segments.candidates(found), found)
 
 
 SPACED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '(?m) +$', '', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '\\A\\n+|\\n+\\z', '', 'g')"

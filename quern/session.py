@@ -28,12 +28,14 @@ def build_session(app: str = "quern", cpus: int | str = "*", **conf: str) -> Spa
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh temporary one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a fresh temporary one only where none is set and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = Path(tempfile.mkdtemp(prefix="quern-")).as_uri()
         spark.sparkContext.setCheckpointDir(root)
     jvm = spark._jvm

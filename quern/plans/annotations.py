@@ -76,27 +76,44 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", A.denylist(F.col("text")).alias("findings"))
 
 
-@query("token_entropy", "documents", """WITH t AS (SELECT doc_id, row_number() OVER () AS k, token FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\s,;:"''\\[\\]{}()]+')) AS token FROM documents) WHERE length(token) >= 20),
-c AS (SELECT k, ch, count(*) AS n FROM (SELECT k, unnest(string_split(token, '')) AS ch FROM t) WHERE ch <> '' GROUP BY 1, 2),
-e AS (SELECT k, round(-sum(n / s * log2(n / s)), 6) AS bits FROM (SELECT k, n, sum(n) OVER (PARTITION BY k) AS s FROM c) GROUP BY k)
-SELECT doc_id, token, bits FROM t JOIN e USING (k) WHERE bits >= 4.5""")
-def token_entropy(docs: DataFrame) -> DataFrame:
-    return A.suspect_tokens(docs)
 
 
+#: What few texts of the test tables hold, put at the end of some of them so that there is something to find.
+PLANTED = [" \ufffd", " \u00e2\u20acx", " \x01", " see section 4.2", " aB3dE5fG7hI9jK1lM2nO4pQ6", " as shown in Table 3", " Refer to appendix C"]
+
+
+def planted(rows: DataFrame, key: str, col: str) -> DataFrame:
+    more = F.element_at(F.array(*(F.lit(x) for x in PLANTED)), (F.col(key) % 13 + 1).cast("int"))
+    return rows.withColumn(col, F.when(F.col(key) % 13 < len(PLANTED), F.concat(F.col(col), more)).otherwise(F.col(col)))
+
+
+def sql_planted(name: str, key: str, col: str) -> str:
+    return f"(SELECT {key}, {col} || CASE {key} % 13 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(PLANTED)) + f" ELSE '' END AS {col} FROM {name})"
+
+
+DOCS_PLANTED = sql_planted("documents", "doc_id", "text")
+
 ISSUES = f"""SELECT {{0}}, 'replacement_chars' AS kind, 'medium' AS severity FROM {{1}} WHERE contains({{2}}, chr(65533))
 UNION ALL SELECT {{0}}, 'mojibake', 'low' FROM {{1}} WHERE regexp_matches({{2}}, '{A.MOJIBAKE}')
 UNION ALL SELECT {{0}}, 'control_chars', 'low' FROM {{1}} WHERE regexp_matches({{2}}, '{A.CONTROL.replace("{", "{{").replace("}", "}}")}')"""
 
 
-@query("encoding_issues", "documents", ISSUES.format("doc_id", "documents", "text"))
+@query("token_entropy", "documents", f"""WITH t AS (SELECT doc_id, row_number() OVER () AS k, token FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\s,;:"''\\[\\]{{}}()]+')) AS token FROM {DOCS_PLANTED}) WHERE length(token) >= 20),
+c AS (SELECT k, ch, count(*) AS n FROM (SELECT k, unnest(string_split(token, '')) AS ch FROM t) WHERE ch <> '' GROUP BY 1, 2),
+e AS (SELECT k, round(-sum(n / s * log2(n / s)), 6) AS bits FROM (SELECT k, n, sum(n) OVER (PARTITION BY k) AS s FROM c) GROUP BY k)
+SELECT doc_id, token, bits FROM t JOIN e USING (k) WHERE bits >= 4.5""")
+def token_entropy(docs: DataFrame) -> DataFrame:
+    return A.suspect_tokens(planted(docs, "doc_id", "text"))
+
+
+@query("encoding_issues", "documents", ISSUES.format("doc_id", DOCS_PLANTED, "text"))
 def encoding_issues(docs: DataFrame) -> DataFrame:
-    return A.encoding_issues(docs)
+    return A.encoding_issues(planted(docs, "doc_id", "text"))
 
 
-@query("page_encoding_issues", "pages", ISSUES.format("page_id", "pages", "html"))
+@query("page_encoding_issues", "pages", ISSUES.format("page_id", sql_planted("pages", "page_id", "html"), "html"))
 def page_encoding_issues(pages: DataFrame) -> DataFrame:
-    return A.encoding_issues(pages, "page_id", "html")
+    return A.encoding_issues(planted(pages, "page_id", "html"), "page_id", "html")
 
 
 @query("extraction_quality", "documents", """SELECT doc_id, n_pages, round(0.7::DOUBLE * least(1.0, mean / 200.0) + 0.3::DOUBLE * (1 - empty / n_pages) + 1e-9, 4) AS overall, round(rich / n_pages + 1e-9, 4) AS text_extraction_ratio, rich / n_pages < 0.2 AS near_empty
@@ -116,9 +133,9 @@ def heading_lines(docs: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(A.is_heading(F.col("l")).cast("long")).alias("n_headings"))
 
 
-@query("cross_reference_candidates", "documents", f"SELECT doc_id, regexp_extract(text, '{A.CROSS_REFERENCE}', 0) AS target FROM documents WHERE regexp_matches(text, '{A.CROSS_REFERENCE}')")
+@query("cross_reference_candidates", "documents", f"SELECT doc_id, regexp_extract(text, '{A.CROSS_REFERENCE}', 0) AS target FROM {DOCS_PLANTED} WHERE regexp_matches(text, '{A.CROSS_REFERENCE}')")
 def cross_reference_candidates(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").rlike(A.CROSS_REFERENCE)).select("doc_id", F.regexp_extract("text", A.CROSS_REFERENCE, 0).alias("target"))
+    return planted(docs, "doc_id", "text").where(F.col("text").rlike(A.CROSS_REFERENCE)).select("doc_id", F.regexp_extract("text", A.CROSS_REFERENCE, 0).alias("target"))
 
 
 @query("salience_override", "lineitem", """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 < 0.60 THEN 'excluded' WHEN l_discount * 10 < 0.80 THEN 'supporting' ELSE 'primary' END AS salience_tier, (1 + (l_discount * 10 < 0.80)::INT)::INT AS n_signals FROM lineitem""")

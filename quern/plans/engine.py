@@ -168,14 +168,21 @@ def scanned_regions(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.lit(True).alias("whole")).unionByName(rest.select("doc_id", F.lit(False).alias("whole")))
 
 
-@query("boilerplate_retype", "documents", f"""WITH b AS (SELECT block FROM ({SQL['boilerplate_blocks']})),
+NOTICE = "This notice is for all readers\\nKeep this page to yourself please\\nPrinted copies are not controlled"
+
+
+@query("boilerplate_retype", "documents", f"""WITH documents AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN replace('{NOTICE}', '\\n', chr(10)) || chr(10) || 'number ' || doc_id || ' of this very series' WHEN 1 THEN 'Keep this  PAGE to yourself please' ELSE text END AS text FROM main.documents),
+b AS (SELECT block FROM ({SQL['boilerplate_blocks']})),
 n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS whole FROM documents),
 l AS (SELECT doc_id, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '\\s+', ' ', 'g')) AS line FROM documents),
 h AS (SELECT doc_id, count(*) AS n, count(b.block) AS k FROM l LEFT JOIN b ON b.block = line WHERE line <> '' GROUP BY 1)
 SELECT doc_id FROM n WHERE whole IN (SELECT block FROM b) UNION SELECT doc_id FROM h WHERE n >= 3 AND k >= 0.7 * n""")
 def boilerplate_retype(docs: DataFrame) -> DataFrame:
-    own = decompose.initial(docs.select("doc_id", F.col("doc_id").alias("segment_id"), F.lit("prose").alias("segment_type"), "text"))
-    return decompose.retype_boilerplate(own, dedup.boilerplate(docs)).where("salience_tier = 'boilerplate' and segment_type = 'boilerplate'").select("doc_id")
+    """Some documents are given a notice and a line of their own, some one line of the notice."""
+    i, notice = F.col("doc_id"), NOTICE.replace("\\n", "\n")
+    own = docs.withColumn("text", F.when(i % 9 == 0, F.concat(F.lit(f"{notice}\nnumber "), i, F.lit(" of this very series"))).when(i % 9 == 1, "Keep this  PAGE to yourself please").otherwise(F.col("text")))
+    segs = decompose.initial(own.select("doc_id", F.col("doc_id").alias("segment_id"), F.lit("prose").alias("segment_type"), "text"))
+    return decompose.retype_boilerplate(segs, dedup.boilerplate(own)).where("salience_tier = 'boilerplate' and segment_type = 'boilerplate'").select("doc_id")
 
 
 def _roles(labels: DataFrame) -> DataFrame:
@@ -302,7 +309,7 @@ def build_chunks(docs: DataFrame) -> DataFrame:
 WHO = serve.Principal("p1", ("kb1",))
 _KB = "p.label % 2 = 1 AND p.label % 3 = 1"
 _FETCH = f"""pairs AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings p ON p.vec_id <> q.vec_id AND {_KB} WHERE q.vec_id % 50 = 0),
-f AS (SELECT *, point_id % 97 <> 0 AS ok FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) <= 100),
+f AS (SELECT *, point_id % 97 <> 0 AS ok FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) <= 30),
 bad AS (SELECT DISTINCT query_id FROM f WHERE NOT ok)"""
 
 
@@ -316,22 +323,22 @@ def _asked(embeddings: DataFrame) -> DataFrame:
 
 
 @query("retrieve", "embeddings", f"""WITH {_FETCH} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id)::INT AS rank, point_id, score, 'returned' AS outcome
-FROM f WHERE ok AND score >= 0.2 AND query_id NOT IN (SELECT query_id FROM bad) QUALIFY rank <= 10""")
+FROM f WHERE ok AND score >= 0.2 AND query_id NOT IN (SELECT query_id FROM bad) QUALIFY rank <= 3""")
 def retrieve(embeddings: DataFrame) -> DataFrame:
-    return serve.retrieve(_kb(embeddings), _asked(embeddings), WHO, threshold=0.2)[0]
+    return serve.retrieve(_kb(embeddings), _asked(embeddings), WHO, k=3, threshold=0.2)[0]
 
 
 @query("retrieve_status", "embeddings", f"""WITH {_FETCH}, c AS (SELECT query_id, count(*) AS n, sum((score >= 0.2)::INT)::BIGINT AS s FROM f WHERE ok AND query_id NOT IN (SELECT query_id FROM bad) GROUP BY 1)
 SELECT q.vec_id AS query_id, coalesce(n, 0) AS n_candidates, coalesce(s, 0) AS n_survivors, CASE WHEN q.vec_id IN (SELECT query_id FROM bad) THEN 'error' WHEN n IS NULL THEN 'no_matches' WHEN s = 0 THEN 'filtered_to_zero' ELSE 'matches' END AS status
 FROM embeddings q LEFT JOIN c ON c.query_id = q.vec_id WHERE q.vec_id % 50 = 0""")
 def retrieve_status(embeddings: DataFrame) -> DataFrame:
-    return serve.retrieve(_kb(embeddings), _asked(embeddings), WHO, threshold=0.2)[1]
+    return serve.retrieve(_kb(embeddings), _asked(embeddings), WHO, k=3, threshold=0.2)[1]
 
 
 @query("retrieve_explain", "embeddings", f"""WITH {_FETCH}, r AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY (score < 0.2)::INT, score DESC, point_id)::INT AS rank FROM f WHERE ok)
-SELECT *, CASE WHEN score < 0.2 THEN 'score_threshold' WHEN rank > 10 THEN 'top_k' ELSE 'returned' END AS outcome FROM r""")
+SELECT *, CASE WHEN score < 0.2 THEN 'score_threshold' WHEN rank > 3 THEN 'top_k' ELSE 'returned' END AS outcome FROM r""")
 def retrieve_explain(embeddings: DataFrame) -> DataFrame:
-    return serve.retrieve(_kb(embeddings), _asked(embeddings), WHO, threshold=0.2, explain=True)[0]
+    return serve.retrieve(_kb(embeddings), _asked(embeddings), WHO, k=3, threshold=0.2, explain=True)[0]
 
 
 @query("scratch_search", "embeddings", """SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, p.vec_id)::INT AS rank

@@ -1,10 +1,11 @@
 """Lexical retrieval packing: documents that share rare terms fill a training window together.
 
 Terms are token ids. Their document frequencies, the number of documents and the mean length are counted
-over the whole table. A row's two rarest terms that another row has too deal it to a shard: rows that
-share their rarest term stand together, wherever they lie in the table, ordered by the second one. Shards
-hold ``shard_tokens`` ids each, in expectation; a term, a pair of terms or a text that very many rows
-share is spread over as many shards as it fills. A shard holds a BM25 inverted index of its rows, with
+over the whole table. Rows are dealt to shards by content, wherever they lie in the table: first by the
+cell that their weighted terms, projected to ``DIMS`` numbers, are nearest to (cells are fitted on about
+``sample`` rows and stand in the order of a tree of halves, like beside like), then by their rarest term
+that another row has too. Shards hold ``shard_tokens`` ids each, in expectation; a cell, a term or a text
+that very many rows share is spread over as many shards as it fills. A shard holds a BM25 inverted index of its rows, with
 the whole table's statistics. A seed, the longest document left, asks the index with its terms; unused
 neighbours follow in score order until the window is full. The piece that does not fit goes on as the
 seed of the next window, so every window but a shard's last is exactly full, and each id lies in exactly
@@ -37,7 +38,9 @@ from quern.session import batch_bytes, materialize, ship
 WINDOW = 4096
 #: Ids that a shard holds in expectation; the number of shards grows with the table.
 SHARD_TOKENS = 3_000_000
-#: Bins by which rows are dealt, at most, and sub-bins of one rarest term.
+#: Rows on which the cells are fitted, numbers of a projected row, halvings to a cell.
+SAMPLE, DIMS, DEPTH = 20_000, 48, 8
+#: Bins by which rows are dealt, at most, and sub-bins of one cell.
 MOST_BINS, SUB_BINS = 1 << 20, 1024
 #: The usual BM25 constants, and the least length to which a shard's last sequence is cut.
 K1, B = 1.2, 0.75
@@ -101,12 +104,68 @@ def _totals(ids: DataFrame) -> np.ndarray | None:
     return sum(found) if found else None
 
 
-def rarest(ids: np.ndarray, bounds: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of each row's rarest and second rarest term; terms of no other row rank last."""
-    r = rank[ids]
-    first = np.minimum.reduceat(r, bounds[:-1])
-    r = np.where(r == np.repeat(first, np.diff(bounds)), rank.max(), r)
-    return first.astype(np.int64), np.minimum.reduceat(r, bounds[:-1]).astype(np.int64)
+class Cells:
+    """Where a row's content lies: signed sums of its terms' weights, and the centre that is nearest to them."""
+
+    def __init__(self, df: np.ndarray, n: int, seed: int = 3):
+        r = np.random.default_rng(seed)
+        self.coord = r.integers(0, DIMS, len(df))
+        idf = np.where(df > 1, np.log1p((n - df + 0.5) / (df + 0.5)), 0.0)
+        self.weight = np.where(r.random(len(df)) < 0.5, -idf, idf)
+        self.centres = np.zeros((1, DIMS), np.float32)
+
+    def project(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(bounds) - 1, DIMS), np.float32)
+        a = 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 20), "right")) - 1)
+            own = ids[bounds[a] : bounds[b]]
+            key = np.repeat(np.arange(b - a) * DIMS, np.diff(bounds[a : b + 1])) + self.coord[own]
+            out[a:b] = np.bincount(key, weights=self.weight[own], minlength=(b - a) * DIMS).reshape(-1, DIMS)
+            a = b
+        return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
+
+    def fit(self, rows: np.ndarray, depth: int = DEPTH, seed: int = 4) -> Cells:
+        """Centres in the order of a tree: a set of rows is halved by two means until it is small or deep enough."""
+        r, out = np.random.default_rng(seed), []
+
+        def halve(x: np.ndarray, left: int) -> None:
+            near = None
+            if left and len(x) >= 16:
+                c = x[r.choice(len(x), 2, replace=False)]
+                for _ in range(8):
+                    near = (x @ c[0]) >= (x @ c[1])
+                    if near.all() or not near.any():
+                        near = None
+                        break
+                    c = np.stack([x[near].mean(0), x[~near].mean(0)])
+                    c /= np.linalg.norm(c, axis=1, keepdims=True) + 1e-9
+            if near is None:
+                out.append(x.mean(0))
+            else:
+                halve(x[near], left - 1)
+                halve(x[~near], left - 1)
+
+        if len(rows):
+            halve(rows, depth)
+            c = np.stack(out)
+            self.centres = (c / (np.linalg.norm(c, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+        return self
+
+    def of(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return np.argmax(self.project(ids, bounds) @ self.centres.T, 1).astype(np.int64)
+
+
+def _projected(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, bounds = _flat(batch.column(0), dtype)
+        rows = held.value.project(ids, bounds)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows], pa.binary())], names=["row"])
+
+
+def rarest(ids: np.ndarray, bounds: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Rank of each row's rarest term; terms of no other row rank last."""
+    return np.minimum.reduceat(rank[ids], bounds[:-1]).astype(np.int64)
 
 
 def ranks(df: np.ndarray) -> np.ndarray:
@@ -118,20 +177,19 @@ def ranks(df: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sub(second: np.ndarray) -> np.ndarray:
-    return (second * np.int64(0x9E3779B1) >> np.int64(7)) % SUB_BINS
+def _sub(rare: np.ndarray) -> np.ndarray:
+    return (rare * np.int64(0x9E3779B1) >> np.int64(7)) % SUB_BINS
 
 
 def _weigh(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.RecordBatch]:
-    """Ids by rarest term and sub-bin, added up within the task."""
-    rank = held.value
+    """Ids by cell and sub-bin, added up within the task."""
+    rank, cells = held.value
     size: dict[int, int] = {}
     for batch in batches:
         ids, bounds = _flat(batch.column(0), dtype)
         if len(bounds) < 2:
             continue
-        first, second = rarest(ids, bounds, rank)
-        key, at = np.unique(first * SUB_BINS + _sub(second), return_inverse=True)
+        key, at = np.unique(cells.of(ids, bounds) * SUB_BINS + _sub(rarest(ids, bounds, rank)), return_inverse=True)
         for k, n in zip(key.tolist(), np.bincount(at, weights=np.diff(bounds)).astype(np.int64).tolist(), strict=True):
             size[k] = size.get(k, 0) + n
     keys = np.array(sorted(size), np.int64)
@@ -139,12 +197,12 @@ def _weigh(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.R
 
 
 class Deal:
-    """Where rows go: bins in order of their rarest term, each a stretch of the ids of the table."""
+    """Where rows go: bins in order of their cell, each a stretch of the ids of the table."""
 
-    def __init__(self, terms: int, total: int, by_first: dict[int, int], shard_tokens: int):
+    def __init__(self, cells: int, total: int, by_first: dict[int, int], shard_tokens: int):
         self.shard_tokens = max(1, shard_tokens)
         fine = max(self.shard_tokens // 8, 2 * total // MOST_BINS, 1)
-        self.subs = np.ones(terms + 1, np.int64)
+        self.subs = np.ones(cells, np.int64)
         for k, n in by_first.items():
             self.subs[k] = min(SUB_BINS, 1 << max(0, -(-n // fine) - 1).bit_length())
         self.firsts = np.concatenate([[0], np.cumsum(self.subs)])
@@ -156,14 +214,14 @@ class Deal:
             width[k] = n
         self.width, self.base = width, np.cumsum(width) - width
 
-    def shards(self, first: np.ndarray, second: np.ndarray, share: np.ndarray) -> np.ndarray:
+    def shards(self, cell: np.ndarray, rare: np.ndarray, share: np.ndarray) -> np.ndarray:
         """``share``: a number from 0 to 1 of each row, by which the rows of a bin lie in its stretch."""
-        at = self.firsts[first] + _sub(second) % self.subs[first]
+        at = self.firsts[cell] + _sub(rare) % self.subs[cell]
         return ((self.base[at] + share * self.width[at]) // self.shard_tokens).astype(np.int64)
 
 
 def _deal(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.RecordBatch]:
-    rank, deal = held.value
+    rank, cells, deal = held.value
     times: dict[int, int] = {}
     for batch in batches:
         ids, bounds = _flat(batch.column(1), dtype)
@@ -175,7 +233,7 @@ def _deal(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.Re
             h = xxhash.xxh64_intdigest(raw[a * width : b * width], (k or 0) & 0xFFFFFFFFFFFFFFFF)
             times[h] = t = times.get(h, 0) + 1
             share[i] = (h if t == 1 else xxhash.xxh64_intdigest(struct.pack("<QQ", h, t))) / (1 << 64)
-        shard = deal.shards(*rarest(ids, bounds, rank), np.minimum(share, 1 - 1e-9))
+        shard = deal.shards(cells.of(ids, bounds), rarest(ids, bounds, rank), np.minimum(share, 1 - 1e-9))
         yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns[:2]], names=["shard", "doc_id", "ids"])
 
 
@@ -315,11 +373,12 @@ def _pack(table: pa.Table, dtype: str, window: int, least: int, held, query_term
     return pa.table(cols)
 
 
-def pack(docs: DataFrame, blob: bytes, window: int = WINDOW, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, least: int = LEAST, query_terms: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, blob: bytes, window: int = WINDOW, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, least: int = LEAST, query_terms: int | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document; one row per piece, its sequence and its place there.
 
     ``query_terms`` bounds the terms with which a seed asks; None asks with all. Texts do not move: their
-    ids are written once, read to weigh the bins and once more to deal them to the shards.
+    ids are written once, read to weigh the bins and once more to deal them to the shards. ``sample`` bounds
+    the rows on which the cells are fitted; a row's cell decides only beside which others it stands.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -333,15 +392,20 @@ def pack(docs: DataFrame, blob: bytes, window: int = WINDOW, end_id: int = 2, sh
         return spark.createDataFrame([], PIECES)
     df, n, n_ids = total[:-2], int(total[-2]), int(total[-1])
     ids = every.where("counts is null").select("doc_id", "ids")
-    order = ranks(df)
-    known = spark.sparkContext.broadcast(order)
+    order, cells = ranks(df), Cells(df, n)
+    plain = spark.sparkContext.broadcast(cells)
+    # A share of the rows by a hash, each content once: about ``sample`` rows of 4 * DIMS bytes, whatever the table holds.
+    some = ids.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / n) * (1 << 30)))).select("ids")
+    fitted = sorted(r["row"] for r in some.mapInArrow(lambda batches: _projected(batches, plain, dtype), "row binary").distinct().collect())
+    cells = Cells(df, n).fit(np.frombuffer(b"".join(fitted), np.float32).reshape(-1, DIMS))
+    known = spark.sparkContext.broadcast((order, cells))
     fine = materialize(ids.select("ids").mapInArrow(lambda batches: _weigh(batches, known, dtype), "first long, sub long, n long").groupBy("first", "sub").agg(F.sum("n").alias("n")), "packing-bins")
-    # At most one row for each term, then at most MOST_BINS and one more for each term, come to the driver.
-    deal = Deal(len(df), n_ids, {r["first"]: r["n"] for r in fine.groupBy("first").agg(F.sum("n").alias("n")).collect()}, shard_tokens)
+    # At most one row for each cell, then at most MOST_BINS and one more for each cell, come to the driver.
+    deal = Deal(len(cells.centres), n_ids, {r["first"]: r["n"] for r in fine.groupBy("first").agg(F.sum("n").alias("n")).collect()}, shard_tokens)
     subs = spark.createDataFrame([(i, int(k)) for i, k in enumerate(deal.subs) if k > 1] or [(-1, 1)], "first long, subs long")
     bins = fine.join(F.broadcast(subs), "first", "left").groupBy("first", F.expr("sub % coalesce(subs, 1)").alias("sub")).agg(F.sum("n").alias("n"))
     deal.bins({int(deal.firsts[r["first"]]) + r["sub"]: r["n"] for r in bins.collect()})
-    dealing, stats = spark.sparkContext.broadcast((order, deal)), spark.sparkContext.broadcast((df, n, n_ids / n))
+    dealing, stats = spark.sparkContext.broadcast((order, cells, deal)), spark.sparkContext.broadcast((df, n, n_ids / n))
     dealt = ids.mapInArrow(lambda batches: _deal(batches, dealing, dtype), "shard long, doc_id long, ids binary")
     return dealt.groupBy("shard").applyInArrow(lambda t: _pack(t, dtype, window, least, stats, query_terms), PIECES)
 

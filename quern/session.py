@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import io
 import os
 import tempfile
@@ -97,6 +99,42 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED[app] = path
 
 
+def give_back() -> None:
+    """Hand memory that this worker no longer uses back to the system: workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(f):
+    """``f``, a function of a worker over batches or over a group, that gives memory back when it is done."""
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def over_batches(*args):
+            try:
+                yield from f(*args)
+            finally:
+                give_back()
+
+        return over_batches
+
+    @functools.wraps(f)
+    def over_group(*args):
+        try:
+            return f(*args)
+        finally:
+            give_back()
+
+    return over_group
+
+
 def batch_bytes(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bound Arrow batches by bytes where the user has not, so very long texts do not meet in one batch."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import license_set
-from quern.session import batch_bytes, ship
+from quern.session import batch_bytes, ship, tidy
 
 K, W = 3, 2
 BAND = 8
@@ -204,6 +204,7 @@ def align(template: list[str], words: list[str]) -> tuple[int, int, int, int] |
 _HELD: dict[str, Templates] = {}
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch], texts: dict[str, str], coverage: float, tags: bool) -> Iterator[pa.RecordBatch]:
     key = repr(sorted(texts.items()))
     if (held := _HELD.get(key)) is None:

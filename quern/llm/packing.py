@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.tokens import encoder, joined, packed_column, public_path
-from quern.session import batch_bytes, materialize, ship
+from quern.session import batch_bytes, materialize, ship, tidy
 
 WINDOW = 4096
 #: Ids that a shard holds in expectation; the number of shards grows with the table.
@@ -69,6 +69,7 @@ def distinct_terms(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return key[first] >> 32, key[first] & 0xFFFFFFFF, np.diff(np.append(first, len(key)))
 
 
+@tidy
 def _encode(batches: Iterator[pa.RecordBatch], held, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows of ids, and at the end of a task one row that holds its counts: by term, rows; then rows and ids in all."""
     enc = encoder(held.value)
@@ -156,6 +157,7 @@ class Cells:
         return np.argmax(self.project(ids, bounds) @ self.centres.T, 1).astype(np.int64)
 
 
+@tidy
 def _projected(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, bounds = _flat(batch.column(0), dtype)
@@ -181,6 +183,7 @@ def _sub(rare: np.ndarray) -> np.ndarray:
     return (rare * np.int64(0x9E3779B1) >> np.int64(7)) % SUB_BINS
 
 
+@tidy
 def _weigh(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.RecordBatch]:
     """Ids by cell and sub-bin, added up within the task."""
     rank, cells = held.value
@@ -220,6 +223,7 @@ class Deal:
         return ((self.base[at] + share * self.width[at]) // self.shard_tokens).astype(np.int64)
 
 
+@tidy
 def _deal(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.RecordBatch]:
     rank, cells, deal = held.value
     times: dict[int, int] = {}
@@ -350,6 +354,7 @@ def _tail(pieces: list[tuple], window: int, least: int) -> list[tuple]:
     return out
 
 
+@tidy
 def _pack(table: pa.Table, dtype: str, window: int, least: int, held, query_terms: int | None) -> pa.Table:
     rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     docs = [np.frombuffer(b, dtype) for _, b in rows]

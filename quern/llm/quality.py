@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.tokens import slices
-from quern.session import batch_bytes, materialize, ship
+from quern.session import batch_bytes, materialize, ship, tidy
 
 STEP, EMBED, FILTERS = 4, 8, 32
 BLOCK = 64
@@ -182,6 +182,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_
     return [x["text"].encode("utf-8") for x in got], np.array([x["label"] for x in got], dtype=np.float32)
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], held, at: int, drop: bool) -> Iterator[pa.RecordBatch]:
     net = held.value
     for batch in batches:

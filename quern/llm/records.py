@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.tokens import encoder, public_path
-from quern.session import batch_bytes, materialize, scratch, ship
+from quern.session import batch_bytes, materialize, scratch, ship, tidy
 
 MASK_DELTA = 0xA282EAD8
 POLY = 0x82F63B78
@@ -136,6 +136,7 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+@tidy
 def _write_part(batches: Iterator[pa.RecordBatch], out: str, held, end_id: int | None) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -208,6 +209,7 @@ def digests(spark: SparkSession, manifest: DataFrame, span: int = 16 << 20) -> D
     return _scan(spark, manifest, span, "part int, doc_id long, start long, n_tokens long, ids_crc32 long", _sums, "ids_crc32")
 
 
+@tidy
 def _read_parts(batches: Iterator[pa.RecordBatch], plan: list[tuple], span: int, made, column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in batch.column(0).to_pylist():

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import batch_bytes, materialize, ship
+from quern.session import batch_bytes, materialize, ship, tidy
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -236,6 +236,7 @@ def labelled(docs: DataFrame, most: int = MOST, text_col: str = "text") -> dict[
     return out
 
 
+@tidy
 def _follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What follows each run of classes in the ordinary tokens of a task: as many rows as there are such pairs, at most."""
     total: dict[tuple[str, str], int] = {}
@@ -271,6 +272,7 @@ def ordinary(docs: DataFrame, text_col: str = "text") -> dict[tuple[str, str], i
     return {(r["run"], r["follows"]): r["n"] for r in rows.groupBy("run", "follows").agg(F.sum("n").alias("n")).collect()}
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     model = held.value
     for batch in batches:
@@ -304,6 +306,7 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str
     return rows.mapInArrow(lambda batches: _scan(batches, held), f"{fields}, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
 
 
+@tidy
 def _redact(batches: Iterator[pa.RecordBatch], held, at: int) -> Iterator[pa.RecordBatch]:
     model = held.value
     for batch in batches:

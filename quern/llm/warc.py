@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import batch_bytes, materialize, scratch, ship
+from quern.session import batch_bytes, materialize, scratch, ship, tidy
 
 LEAST_REVISIT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -73,6 +73,7 @@ def parse(data: bytes) -> dict:
     return {"page_id": number("X-Page-ID"), "url": head["WARC-Target-URI"], "payload_bytes": length, "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"), "payload": payload if head["WARC-Type"] == "response" else None}
 
 
+@tidy
 def _write(batches: Iterator[pa.RecordBatch], out: str, roll: int) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
     from pyspark import TaskContext
@@ -137,6 +138,7 @@ def spans(rows: list[tuple[str, int, int]], span: int, gap: int) -> Iterator[tup
             a = i
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch], span: int, gap: int, schema: str) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 

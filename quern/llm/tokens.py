@@ -102,7 +102,7 @@ class ChunkEncoder:
     changes no result.
     """
 
-    def __init__(self, blob: bytes, most: int = 200_000):
+    def __init__(self, blob: bytes, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(blob.decode("utf-8"))

@@ -194,6 +194,104 @@ def test_licenses_find_the_standard_set(spark):
     assert sorted(got[1000]) == ["Apache-2.0", "GPL-2.0-only", "MIT"] and got[1001] == ["CC-BY-NC-4.0"] and 1002 not in got
 
 
+def whole_alignment(template: list[str], words: list[str]) -> tuple[int, int, int] | None:
+    """First and last word and equal words of the best local alignment, without a band or candidates."""
+    best, where = 0, None
+    prev = [(0, 0, 0)] * (len(words) + 1)
+    for t in template:
+        row = [(0, 0, 0)]
+        for j, w in enumerate(words):
+            s, n, a = prev[j]
+            x = (s + (licenses.MATCH if t == w else licenses.MISMATCH), n + (t == w), a if s else j)
+            y, z = (prev[j + 1][0] + licenses.GAP, *prev[j + 1][1:]), (row[j][0] + licenses.GAP, *row[j][1:])
+            top = max(x, y, z, key=lambda c: c[0])
+            row.append(top if top[0] > 0 else (0, 0, 0))
+            if t == w and row[-1][0] > best:
+                best, where = row[-1][0], (row[-1][2], j, row[-1][1])
+        prev = row
+    return where
+
+
+def test_licenses_equal_whole_alignment(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(400)]
+    own = {f"L{k}": " ".join(rng.choice(vocab) for _ in range(rng.randint(25, 60))) for k in range(4)}
+    rows = []
+    for i in range(60):
+        w = own[f"L{i % 4}"].split()
+        for _ in range(i % 5):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = [[], ["zz"], [w[at], "zz"]][rng.randrange(3)]
+        if i % 6 == 0:
+            w = w[: len(w) // 2]
+        fill = [f"f{rng.randrange(900)}" for _ in range(rng.randint(0, 50))]
+        cut = rng.randint(0, len(fill))
+        rows.append((i, " ".join([*fill[:cut], *w, *fill[cut:]])))
+    rows += [rows[1], (90, None), (91, ""), (92, " ".join(f"f{k % 900}" for k in range(60_000)) + " " + own["L2"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("x")).withColumn("start", F.lit(1))
+    got = sorted((r["doc_id"], r["license"], r["start"], r["end"], round(r["coverage"], 9)) for r in licenses.scan(frame, own).collect())
+    want = []
+    for i, t in rows:
+        spans = [m.span() for m in licenses.WORD.finditer(t or "")]
+        for n, x in own.items():
+            a = whole_alignment(licenses.tokens(x), licenses.tokens(t)[-200:] if i == 92 else licenses.tokens(t or ""))
+            off = len(spans) - 200 if i == 92 else 0
+            if a and a[2] >= licenses.COVERAGE * len(x.split()):
+                want.append((i, n, spans[a[0] + off][0], spans[a[1] + off][1], round(a[2] / len(x.split()), 9)))
+    assert got == sorted(want) and len(got) > 45
+
+
+def plain_score(net: quality.Net, text: bytes) -> float:
+    """The network's score of a text, chunk by chunk and place by place."""
+    p, step, tops = net.p, quality.BLOCK * quality.CHUNK_STEP, []
+    for c in range(max(1, -(-(len(text) - quality.BLOCK) // step))):
+        peak = np.zeros(quality.FILTERS)
+        for at in range(0, quality.BLOCK * quality.CHUNK_BLOCKS, quality.STEP):
+            own = [text[k] if k < len(text) else 0 for k in range(c * step + at, c * step + at + 2 * quality.STEP)]
+            x = np.concatenate([p["emb"][b].astype(float) for b in own])
+            wide = quality.STEP * quality.EMBED
+            peak = np.maximum(peak, x[:wide] @ p["w1"] + x[wide:] @ p["w2"] + p["b"])
+        tops.append(peak)
+    f = np.array(tops)
+    return float(1 / (1 + np.exp(-(np.concatenate([f.mean(0), f.max(0), f.min(0)]) @ p["out"].astype(float) + p["bias"][0]))))
+
+
+def test_quality_equals_a_plain_forward_pass():
+    rng = random.Random(13)
+    net = quality.Net(5)
+    texts = [b"", b"a", b"x" * 63, b"y" * 64, b"z" * 65, *(say(rng, n).encode() for n in (10, 40, 41, 90, 400))]
+    assert np.allclose(net.scores(texts), [plain_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_quality_learns_held_out_labels(spark):
+    data = "/root/testdata/sf0.01"
+    if not Path(data).is_dir():
+        pytest.skip("no test tables here")
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    scored = quality.score(docs, quality.train(docs, labels)).join(labels.select("doc_id", "quality"), "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
+    right = [(r["score"] >= 0.5) == bool(r["quality"]) for r in scored]
+    assert len(right) > 50 and sum(right) >= 0.85 * len(right)
+
+
+def test_operators_ignore_columns_with_their_own_names(spark):
+    names = ["shard", "ids", "counts", "set", "task", "h", "n", "proof", "label", "component", "score", "n_hex", "spans", "words", "row", "p", "license", "digest", "kept"]
+    plain = [(i, say(random.Random(i), 40)) for i in range(12)] + [(3, None), (None, "no id at all here")]
+    frame = spark.createDataFrame(plain, "doc_id long, text string")
+    odd = frame.select("*", *(F.lit(1).alias(c) for c in names))
+    model = secrets.train(frame)
+    net = quality.Net(3)
+    for f in (
+        lambda d: packing.pack(d, blob("word_bpe_49k.json")).drop("sequence_id", "offset"),
+        lambda d: licenses.scan(d),
+        lambda d: quality.score(d, net),
+        lambda d: pieces.encode(d, blob("piece_bpe_32k.model")),
+        lambda d: jaccard.join(d),
+        lambda d: secrets.scan(d, model),
+        lambda d: records.read(spark, records.write(d, scratch(spark, "t"), blob("byte_bpe_50k.json"))).drop("part"),
+    ):
+        assert sorted(map(repr, f(odd).collect())) == sorted(map(repr, f(frame).collect()))
+
+
 def test_quality_learns_and_covers_whole_texts():
     rng = random.Random(1)
     good = [say(rng, 60).encode() for _ in range(120)]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.tokens import encoder, joined, packed_column, public_path
+from quern.llm.tokens import encoder, forget, joined, packed_column, public_path
 from quern.session import batch_bytes, materialize, ship, tidy
 
 WINDOW = 4096
@@ -70,9 +70,9 @@ def distinct_terms(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 @tidy
-def _encode(batches: Iterator[pa.RecordBatch], held, end_id: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], held, end_id: int, most: int = 400_000) -> Iterator[pa.RecordBatch]:
     """Rows of ids, and at the end of a task one row that holds its counts: by term, rows; then rows and ids in all."""
-    enc = encoder(held.value)
+    enc = encoder(held.value, most)
     counts = np.zeros(max(enc.vocab, end_id + 1) + 2, np.int64)
     for batch in batches:
         ids, bounds = enc.encode_column(batch.column(1), end_id)
@@ -186,6 +186,7 @@ def _sub(rare: np.ndarray) -> np.ndarray:
 @tidy
 def _weigh(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.RecordBatch]:
     """Ids by cell and sub-bin, added up within the task."""
+    forget()
     rank, cells = held.value
     size: dict[int, int] = {}
     for batch in batches:
@@ -225,6 +226,7 @@ class Deal:
 
 @tidy
 def _deal(batches: Iterator[pa.RecordBatch], held, dtype: str) -> Iterator[pa.RecordBatch]:
+    forget()
     rank, cells, deal = held.value
     times: dict[int, int] = {}
     for batch in batches:
@@ -356,6 +358,7 @@ def _tail(pieces: list[tuple], window: int, least: int) -> list[tuple]:
 
 @tidy
 def _pack(table: pa.Table, dtype: str, window: int, least: int, held, query_terms: int | None) -> pa.Table:
+    forget()
     rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     docs = [np.frombuffer(b, dtype) for _, b in rows]
     shard = table.column("shard")[0].as_py()
@@ -378,9 +381,10 @@ def _pack(table: pa.Table, dtype: str, window: int, least: int, held, query_term
     return pa.table(cols)
 
 
-def pack(docs: DataFrame, blob: bytes, window: int = WINDOW, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, least: int = LEAST, query_terms: int | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, blob: bytes, window: int = WINDOW, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, least: int = LEAST, query_terms: int | None = None, sample: int = SAMPLE, known_chunks: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document; one row per piece, its sequence and its place there.
 
+    ``known_chunks`` bounds the chunks that a worker keeps (memory against time, same ids).
     ``query_terms`` bounds the terms with which a seed asks; None asks with all. Texts do not move: their
     ids are written once, read to weigh the bins and once more to deal them to the shards. ``sample`` bounds
     the rows on which the cells are fitted; a row's cell decides only beside which others it stands.
@@ -391,7 +395,7 @@ def pack(docs: DataFrame, blob: bytes, window: int = WINDOW, end_id: int = 2, sh
     held = spark.sparkContext.broadcast(blob)
     dtype = encoder(blob).dtype
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = materialize(rows.mapInArrow(lambda batches: _encode(batches, held, end_id), "doc_id long, ids binary, counts binary"), "packing-ids")
+    every = materialize(rows.mapInArrow(lambda batches: _encode(batches, held, end_id, known_chunks), "doc_id long, ids binary, counts binary"), "packing-ids")
     total = _totals(every)
     if total is None:
         return spark.createDataFrame([], PIECES)

@@ -183,7 +183,7 @@ class Model:
         """Bits in favour of the best kind against an ordinary token."""
         classes = token.translate(TO_CLASS)
         if (s := self.seen.get(classes)) is None:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > 50_000:
                 self.seen.clear()
             s = max(a.score(classes) for a in self.kinds.values()) - self.ordinary.score(classes)
             if len(classes) <= 64:

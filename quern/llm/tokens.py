@@ -102,7 +102,7 @@ class ChunkEncoder:
     changes no result.
     """
 
-    def __init__(self, blob: bytes, most: int = 300_000):
+    def __init__(self, blob: bytes, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(blob.decode("utf-8"))
@@ -301,15 +301,21 @@ def packed_column(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(blob: bytes) -> ChunkEncoder:
+def encoder(blob: bytes, most: int = 400_000) -> ChunkEncoder:
     """This worker's encoder for a vocabulary file; it outlives a task, and another file's one is let go."""
     key = hashlib.sha1(blob).hexdigest()
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(blob)
+        _ENCODERS[key] = ChunkEncoder(blob, most)
+    _ENCODERS[key].most = most
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Let this worker's encoder go: the stages that follow encoding have other uses for the memory."""
+    _ENCODERS.clear()
+
+
 def slices(texts: list[str], most: int = 2_000_000) -> Iterable[tuple[int, int]]:
     """Index ranges of at most ``most`` characters (a longer text is a range of its own)."""
     start, held = 0, 0

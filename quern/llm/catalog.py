@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import jaccard, licenses, packing, pieces, quality, records, rules, secrets, topk, warc
+from quern.llm import jaccard, licenses, mining, packing, pieces, quality, records, rules, secrets, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_host_rules": rules.op8_host_rules,
         "op9_topk": topk.op9_topk,
         "op10_records": records.op10_records,
+        "op11_hard_negatives": mining.op11_hard_negatives,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.SQL,
         "op8_host_rules": rules.SQL,
         "op9_topk": topk.SQL,
+        "op11_hard_negatives": mining.SQL,
     }

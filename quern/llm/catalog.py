@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import jaccard, licenses, mining, packing, pieces, quality, records, rules, secrets, topk, warc
+from quern.llm import jaccard, licenses, mining, mixing, packing, pieces, quality, quantiles, records, rules, secrets, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,8 @@ def queries() -> dict[str, Query]:
         "op9_topk": topk.op9_topk,
         "op10_records": records.op10_records,
         "op11_hard_negatives": mining.op11_hard_negatives,
+        "op12_quantiles": quantiles.op12_quantiles,
+        "op13_mixing": mixing.op13_mixing,
     }
 
 
@@ -33,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_host_rules": rules.SQL,
         "op9_topk": topk.SQL,
         "op11_hard_negatives": mining.SQL,
+        "op13_mixing": mixing.SQL,
     }

@@ -29,8 +29,8 @@ from pyspark.sql.window import Window
 
 from quern.session import materialize
 
-#: Size of sketches, values a range, units that one row feeds to a sketch.
-K, RANGE, PIECE = 280, 1 << 20, 1 << 14
+#: Size of sketches, units that one row feeds to a sketch.
+K, PIECE = 280, 1 << 14
 WHOLE = -1
 BATCHES, PARTS, LEAST, PER_MILLE = 4, 4, 20, 20
 

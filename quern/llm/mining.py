@@ -163,6 +163,7 @@ def tiles(asking: DataFrame, rows: DataFrame, same: bool) -> DataFrame:
     def strips(t: DataFrame) -> tuple[Column, int]:
         """The strip of a panel, a run of ``GRID`` blocks of one cutting task, and one more than the last strip."""
         part, last = t.agg(F.max(F.shiftright("block", 32)), F.max(F.col("block").bitwiseAND((1 << 32) - 1))).first()
+        part, last = part or 0, last or 0  # without panels one strip, in which nothing meets
         each = last // GRID + 1
         return (F.shiftright("block", 32) * each + F.floor(F.col("block").bitwiseAND((1 << 32) - 1) / GRID)).cast("long"), (part + 1) * each
 

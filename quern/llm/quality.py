@@ -33,6 +33,8 @@ CHUNK_BLOCKS, CHUNK_STEP = 4, 3
 PIECE_CHUNKS = 4096
 MOST_ROWS, MOST_BYTES = 2400, 8 << 20
 KEEP_FROM = 0.7
+#: Characters of texts that are scored at a time.
+SCORED = 128_000
 SPOTS = BLOCK // STEP
 
 
@@ -188,7 +190,7 @@ def _score(batches: Iterator[pa.RecordBatch], held, at: int, drop: bool) -> Iter
     net = held.value
     for batch in batches:
         texts = [t or "" for t in batch.column(at).to_pylist()]
-        for a, b in slices(texts, 500_000):
+        for a, b in slices(texts, SCORED):
             got = net.scores([t.encode("utf-8") for t in texts[a:b]])
             cols = [(n, c[a:b]) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if not (drop and i == at)]
             yield pa.RecordBatch.from_arrays([*(c for _, c in cols), pa.array(got)], names=[*(n for n, _ in cols), "score"])

@@ -50,6 +50,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/quern/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Parquet writers of scratch tables hold at most so much of a row group and of a page, for each open file.
+SCRATCH_FILES = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10)}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -62,7 +66,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**SCRATCH_FILES).parquet(path)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -143,5 +147,13 @@ def batch_bytes(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def lean(spark: SparkSession, batch: int = 2 << 20, rows: int = 512) -> None:
+    """Smaller Arrow batches, and fewer rows of a Parquet file at a time, where the user has not said otherwise: for long texts beside workers that hold models."""
+    batch_bytes(spark, batch)
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key)) == 4096:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

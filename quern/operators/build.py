@@ -7,12 +7,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from quern.functions import text as T
 from quern.operators import chunks
+from quern.sources import store
 
 # Names of the transforms, in the order of a rule.
 TIER1 = ("whitespace_repair", "ocr_cleanup", "table_to_markdown", "header_inference")
@@ -132,22 +133,96 @@ def primacy_flips(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("family_id", "old", "new", state.alias("state"))
 
 
+def checked(rules: DataFrame, default: dict) -> DataFrame:
+    """Rules whose missing values are the default's; sizes that cannot be kept to are an error before anything is built."""
+    full = rules.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in default.items() if k in rules.columns})
+    bad = full.where("max_tokens <= 0 OR overlap_tokens < 0 OR overlap_tokens >= max_tokens").first()
+    if bad:
+        raise ValueError(f"the rule of {bad['segment_class']} needs 0 <= overlap < most words")
+    return full
+
+
 def build(segments: DataFrame, rules: DataFrame, default: dict, provider: Provider = FAKE) -> tuple[DataFrame, DataFrame]:
     """Chunks with vectors, and skipped segments; a rule's filter by tier is applied when searching, not here.
 
-    Rules are a handful: each size and strategy of theirs is one pass over its own segments.
+    Texts are read once: each row is cut by its own rule. A segment's code_language, where there is one, names
+    the language by whose units code is cut. All columns of a segment but its text go on with its chunks.
     """
     live, skipped = skips(segments)
-    ruled = tier1(rule_for(live, rules, default))
-    out = None
-    for r in ruled.select("rule.strategy", "rule.max_tokens", "rule.overlap_tokens").distinct().collect():
-        own = ruled.where((F.col("rule.strategy") == r[0]) & (F.col("rule.max_tokens") == r[1]) & (F.col("rule.overlap_tokens") == r[2]))
-        # The chunker names its rows by a number: a row's own is its segment's place.
-        named = own.select(F.xxhash64("segment_id").alias("doc_id"), "text")
-        made = chunks.chunk(named, r[1], r[2], r[0])
-        out = made if out is None else out.unionByName(made)
-    if out is None:
-        return live.limit(0), skipped
-    back = ruled.select(F.xxhash64("segment_id").alias("segment_key"), "segment_id", F.col("doc_id").alias("of_doc"), "segment_type", "salience_tier", "transforms")
-    named = out.withColumnRenamed("doc_id", "segment_key").join(back, "segment_key").withColumnRenamed("of_doc", "doc_id").drop("segment_key")
-    return named.withColumn("vector", provider.embed(F.col("text"))), skipped
+    ruled = tier1(rule_for(live, checked(rules, default), default))
+    language = F.col("code_language") if "code_language" in segments.columns else F.lit("unknown")
+    rule = F.struct("rule.strategy", "rule.max_tokens", "rule.overlap_tokens", language.alias("language"))
+    made = chunks.by_rule(ruled.withColumn("rule", rule))
+    return made.withColumn("vector", provider.embed(F.col("text"))), skipped
+
+
+def points(segments: DataFrame, inventory: DataFrame, rules: DataFrame, default: dict, kb_id: str, build_id: str, config: str, provider: Provider = FAKE, workspace_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Points as a collection holds them, and skipped segments.
+
+    ``inventory``: doc_id, document_id, content_hash, and if known permission_principals. A segment's
+    segment_path, or else its id, is part of its chunks' ids; what it knows of its salience, language and confidence goes into their provenance.
+    """
+    made, skipped = build(segments, rules, default, provider)
+    path = F.coalesce("segment_path", "segment_id") if "segment_path" in made.columns else F.col("segment_id")
+    named = chunks.with_ids(made, inventory, config, path)
+    if "permission_principals" in inventory.columns:
+        named = named.join(inventory.select("doc_id", "permission_principals"), "doc_id")
+    told = ("segment_id", "segment_path", "segment_type", "salience_tier", "salience_basis", "salience_signals", "language", "injection_suspicion", "transforms")
+    confidence = F.coalesce(F.col("ocr_confidence"), F.lit(1.0)) if "ocr_confidence" in made.columns else F.lit(1.0)
+    full = provenance(named, kb_id, build_id, config, workspace_id)
+    more = F.struct("provenance.*", "document_id", F.col("content_hash").alias("source_document_version"), *(c for c in told if c in made.columns), confidence.alias("confidence"), F.lit("untrusted_ingested").alias("trust_level"))
+    return full.select("point_id", "chunk_id", "doc_id", "chunk_index", "token_count", "text", "vector", more.alias("provenance"), "tenancy"), skipped
+
+
+class Builds:
+    """Builds below ``root`` that stop and go on: documents are dealt to batches by their ids, and each batch is committed whole.
+
+    A batch's points and counts are written to folders of its own, over whatever a stopped run has left there;
+    then a marker is put in place by a rename. Only batches with a marker are read, so that a document's
+    points are there once, however often tasks or the whole build were tried again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, build_id: str):
+        self.spark, self.build_id, self.root = spark, build_id, f"{root.rstrip('/')}/builds/{build_id}"
+
+    def committed(self) -> list[int]:
+        return sorted(int(n.split(".")[0]) for n in store.Collections(self.spark, self.root).names("commits") if n.endswith(".json"))
+
+    def _read(self, part: str, schema: StructType) -> DataFrame:
+        done = [f"{self.root}/{part}/{b}" for b in self.committed()]
+        return self.spark.read.schema(schema).parquet(*done) if done else self.spark.createDataFrame([], schema)
+
+    def run(self, segments: DataFrame, inventory: DataFrame, rules: DataFrame, default: dict, kb_id: str, config: str, batches: int = 8, provider: Provider = FAKE, workspace_id: str | None = None, after: Callable[[int], None] = lambda b: None) -> tuple[DataFrame, DataFrame, bool]:
+        """All points, the roll-up of every document of the inventory, and whether what is there is what was built.
+
+        ``after`` is called after each commit. What was asked for is kept beside the batches: a build goes on
+        only with the same number of batches and the same configuration.
+        """
+        asked = store.canonical({"batches": batches, "config": config, "kb_id": kb_id, "provider": provider.name})
+        if not store.exists(self.spark, f"{self.root}/asked.json"):
+            store.write_text(self.spark, f"{self.root}/asked.json", asked)
+        elif store.read_text(self.spark, f"{self.root}/asked.json") != asked:
+            raise store.ArtifactError(f"build {self.build_id} was begun with another configuration")
+        if not store.exists(self.spark, f"{self.root}/dealt/_SUCCESS"):  # texts are dealt once; a batch reads its own folder
+            segments.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).write.mode("overwrite").partitionBy("batch").parquet(f"{self.root}/dealt")
+        # An empty folder of segments holds no file and so no schema.
+        dealt = self.spark.read.schema(StructType([*segments.schema.fields, StructField("batch", IntegerType())])).parquet(f"{self.root}/dealt")
+        done, schema, counts = set(self.committed()), None, "doc_id long, n_chunks long, n_skipped long"
+        for b in range(batches):
+            made, skipped = points(dealt.where(F.col("batch") == b).drop("batch"), inventory, rules, default, kb_id, self.build_id, config, provider, workspace_id)
+            schema = made.schema
+            if b in done:
+                continue
+            made.write.mode("overwrite").parquet(f"{self.root}/points/{b}")
+            own = self.spark.read.schema(schema).parquet(f"{self.root}/points/{b}")
+            n = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks")).join(skipped.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_skipped")), "doc_id", "full_outer")
+            n.select(F.col("doc_id").cast("long"), F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), F.coalesce("n_skipped", F.lit(0)).cast("long").alias("n_skipped")).write.mode("overwrite").parquet(f"{self.root}/counts/{b}")
+            store.write_text(self.spark, f"{self.root}/commits/{b}.json", store.canonical({"batch": b}))
+            after(b)
+        all_points, told = self._read("points", schema), self._read("counts", StructType.fromDDL(counts))
+        n, s = F.coalesce("n_chunks", F.lit(0)), F.coalesce("n_skipped", F.lit(0))
+        why = F.when(n == 0, F.when(s > 0, "all_segments_excluded").otherwise("no_text_segments"))
+        rolled = inventory.select("doc_id").distinct().join(told, "doc_id", "left").select("doc_id", n.alias("n_chunks"), why.alias("skip_reason"))
+        expected = told.agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0]
+        ok, strangers = validate(all_points, expected, inventory)
+        return all_points, rolled, ok and not strangers.limit(1).count()

@@ -11,18 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import ids
-from quern.session import ship
+from quern.session import batch_bytes, ship
 
 # Separators in order of preference.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
-# Lines that start a unit of code, by language.
-BOUNDARIES = {
-    "python": re.compile(r"^(?:@|class\s|def\s|async\s+def\s)"),
-    "javascript": re.compile(r"^(?:export\s|function\s|class\s|async\s+function\s|const\s+\w+\s*=\s*(?:async\s*)?\()"),
-    "go": re.compile(r"^(?:func\s|type\s)"),
-}
-
-
+# Names of languages, and how a line that starts a unit of code begins in each.
+PYTHON, SCRIPT, GO = ("python", "py"), ("javascript", "typescript", "js", "ts", "jsx", "tsx"), ("go",)
+PYTHON_UNIT = re.compile(r"^(def |class |async def )")
+SCRIPT_UNIT = re.compile(r"^(export\s+default\s+(async\s+)?function\b|export\s+(async\s+)?function\b|export\s+class\b|export\s+const\s+\w+\s*=|(async\s+)?function\b|class\b|const\s+\w+\s*=\s*(async\s+)?\(|const\s+\w+\s*=\s*(async\s+)?function\b)")
+GO_UNIT = re.compile(r"^func\b")
+BOUNDARIES = {**dict.fromkeys(PYTHON, PYTHON_UNIT), **dict.fromkeys(SCRIPT, SCRIPT_UNIT), **dict.fromkeys(GO, GO_UNIT)}
 # Languages whose units are brace blocks, and how the line of such a unit begins.
 BRACES = ("c", "cpp", "c++", "java", "rust", "rs", "csharp", "cs", "swift", "kotlin")
 BRACE_UNIT = re.compile(r"^((public|private|protected|static|final|override|virtual|inline|extern)?\s*[\w:<>*&]+\s+\w+\s*\(|(pub\s+)?(async\s+)?fn\s+\w+|(pub|private|protected)?\s*(static\s+)?(void|int|bool|string|auto|var)\s+\w+)")
@@ -65,18 +63,21 @@ def windows(text: str, most: int, overlap: int) -> list[tuple[int, int, int]]:
 
 def code_units(text: str, most: int, language: str) -> list[tuple[int, int, int]]:
     """Chunks that tile code at its boundary lines; too large units are cut on without overlap."""
+    language = language.lower().strip()
     boundary, starts, at = BOUNDARIES.get(language), [0], 0
-    held, depth = False, 0
-    for line in text.splitlines(keepends=True):
+    marks, depth = None, 0  # where the decorators right above a line of Python begin
+    for line in text.split("\n"):
         hit = bool(boundary and boundary.match(line))
         if language in BRACES:
             opened = line.count("{") - line.count("}")
             hit = depth == 0 and opened > 0 and bool(BRACE_UNIT.match(line.lstrip()))
             depth = max(0, depth + opened)
-        if hit and not held and at:
-            starts.append(at)
-        held = hit and line.startswith("@")
-        at += len(line)
+        start = at if marks is None else marks
+        if hit and start:
+            starts.append(start)
+        decorated = language in PYTHON and line.startswith("@")
+        marks = start if decorated else None
+        at += len(line) + 1
     out = []
     for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
         out += [(a + s, a + e, w) for s, e, w in windows(text[a:b], most, 0)]
@@ -103,6 +104,40 @@ def chunk(docs: DataFrame, most: int = 512, overlap: int = 64, strategy: str = "
     return rows.mapInArrow(lambda b: _chunks(b, most, overlap, strategy, language), "doc_id long, chunk_index int, char_start long, char_end long, text string, token_count long")
 
 
+#: What a row may say about how its text is cut.
+RULE = {"strategy": "string", "max_tokens": "int", "overlap_tokens": "int", "language": "string"}
+CUT = "chunk_index int, char_start long, char_end long, text string, token_count long"
+
+
+def by_rule(rows: DataFrame, rule: str = "rule") -> DataFrame:
+    """Chunks of every row's text, each by the row's own rule (a struct of ``RULE``, language may be missing), in one pass.
+
+    The row's other columns go on beside each of its chunks. Code is cut by its language's units, at unknown
+    languages like other text without overlap.
+    """
+    ship(rows.sparkSession)
+    batch_bytes(rows.sparkSession)
+    rest = [f for f in rows.schema.fields if f.name not in ("text", rule)]
+    known = rows.schema[rule].dataType.names
+    own = [F.col(f"{rule}.{n}").cast(t).alias(f"_{n}") if n in known else F.lit("unknown").alias(f"_{n}") for n, t in RULE.items()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, made = [], []
+            for i, (t, strategy, most, overlap, language) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", *(f"_{n}" for n in RULE))), strict=True)):
+                t = t or ""
+                spans = code_units(t, most, language or "unknown") if strategy == "code_syntax" else windows(t, most, overlap)
+                at += [i] * len(spans)
+                made += [(k, a, b, t[a:b], w) for k, (a, b, w) in enumerate(spans)]
+            c = list(zip(*made, strict=True)) or [[]] * 5
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            taken = batch.select([f.name for f in rest]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(x, t) for x, t in zip(c, kinds, strict=True))], names=[*taken.schema.names, "chunk_index", "char_start", "char_end", "text", "token_count"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return rows.select(*(f.name for f in rest), "text", *own).mapInArrow(cut, f"{fields}, {CUT}" if fields else CUT)
+
+
 def with_ids(chunks: DataFrame, content: DataFrame, config: str, path: Column) -> DataFrame:
     """chunk_id and point_id from document, content, configuration, path and index."""
     joined = chunks.join(content.select("doc_id", "document_id", "content_hash"), "doc_id")

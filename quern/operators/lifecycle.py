@@ -14,25 +14,26 @@ from quern.sources.store import Collections, canonical, config_version
 # The states of a build and those that may follow each.
 STATES = {
     "TRIGGERED": ("SHADOW_CREATING",),
-    "SHADOW_CREATING": ("INGESTING", "FAILED_INGESTION"),
-    "INGESTING": ("VALIDATING", "PAUSED", "FAILED_INGESTION"),
-    "PAUSED": ("INGESTING", "FAILED_INGESTION"),
-    "FAILED_INGESTION": ("INGESTING", "PURGED"),
+    "SHADOW_CREATING": ("INGESTING", "FAILED_SHADOW_CREATE"),
+    "FAILED_SHADOW_CREATE": (),
+    "INGESTING": ("INGESTING", "PAUSED", "VALIDATING", "FAILED_INGESTION"),
+    "PAUSED": ("INGESTING",),
+    "FAILED_INGESTION": ("INGESTING",),
     "VALIDATING": ("PROMOTING", "VALIDATION_FAILED"),
-    "VALIDATION_FAILED": ("VALIDATING", "PURGED"),
+    "VALIDATION_FAILED": (),
     "PROMOTING": ("LIVE", "PROMOTE_FAILED"),
-    "PROMOTE_FAILED": ("PROMOTING", "PURGED"),
-    "LIVE": ("HOT_STANDBY", "ROLLED_BACK"),
-    "ROLLED_BACK": ("RETIRING", "LIVE"),
-    "HOT_STANDBY": ("LIVE", "RETIRING"),
-    "RETIRING": ("SNAPSHOTTING", "PURGED"),
+    "PROMOTE_FAILED": ("PROMOTING",),
+    "LIVE": ("RETIRING", "ROLLED_BACK"),
+    "ROLLED_BACK": ("LIVE",),
+    "RETIRING": ("HOT_STANDBY",),
+    "HOT_STANDBY": ("SNAPSHOTTING",),
     "SNAPSHOTTING": ("COLD",),
     "COLD": ("RESTORING", "PURGED"),
     "RESTORING": ("TOMBSTONE_REPLAY",),
-    "TOMBSTONE_REPLAY": ("VALIDATING", "LIVE"),
+    "TOMBSTONE_REPLAY": ("VALIDATING",),
     "PURGED": (),
 }
-# What to do about an exclusion, in short, and the reasons that a plan calls by another name.
+# What to do about an exclusion, in short, and the reasons that a plan calls by another name.
 REMEDIES = {
     "unservable_content": "nothing: convert it to a format with text if it is needed",
     "spreadsheet_database": "nothing: rows of a database are not prose; reclassify it if it is a report",

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from quern.session import materialize, ship
 
 MAX_K, OVERFETCH, MAX_FETCH = 100, 10, 1000
+#: Decimals of a score that ranks; what is returned is rounded to six. Sums in another order differ beyond them.
+RANKED = 12
 #: Queries of one block, on average at most.
 MOST_QUERIES = 4096
 
@@ -33,6 +35,8 @@ def payload_filter(frame: DataFrame, conditions: dict) -> DataFrame:
 def topk(points: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """query_id, rank, point_id and score of each query's best points, by cosine, ties to the smaller id.
 
+    Ranks go by ``RANKED`` decimals, ``rounded`` gives the score that is shown.
+
     ``queries`` (query_id, qvec, and tenant if ``same`` names the points' column of it) may be of any number:
     a block of bounded size, made unit vectors once, is broadcast, points are multiplied with it by Arrow
     batch where they are read, and only each batch's best move. More queries are dealt into blocks by a hash of
@@ -57,7 +61,7 @@ def _score(batches: Iterator[pa.RecordBatch], held, k: int, same: bool) -> Itera
         points = batch.column(0).to_numpy(zero_copy_only=False)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a in range(0, len(ids), 256):
-            score = np.round((v @ q[a : a + 256].T) / length[:, None], 6) + 0.0
+            score = np.round((v @ q[a : a + 256].T) / length[:, None], RANKED) + 0.0
             ok = points[:, None] != ids[a : a + 256][None, :]
             if same:
                 ok &= np.array(batch.column(2).to_pylist(), object)[:, None] == tenants[a : a + 256][None, :]
@@ -87,6 +91,10 @@ def _block(points: DataFrame, queries: DataFrame, k: int, same: str | None) -> D
     return scored.withColumn("rank", F.row_number().over(local)).where(F.col("rank") <= k)
 
 
+def rounded(found: DataFrame) -> DataFrame:
+    return found.withColumn("score", F.round("score", 6))
+
+
 def respond(found: DataFrame, queries: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Results after the threshold, and one status per query: matches, no_matches or filtered_to_zero."""
     kept = found.where(F.col("score") >= threshold)
@@ -100,7 +108,7 @@ def respond(found: DataFrame, queries: DataFrame, k: int, threshold: float) -> t
 def explain(found: DataFrame, k: int, threshold: float) -> DataFrame:
     """Every candidate with the filter that left it out, if any."""
     why = F.when(F.col("score") < threshold, "score_threshold").when(F.col("rank") > k, "top_k")
-    return found.select("query_id", "point_id", "score", F.coalesce(why, F.lit("returned")).alias("outcome"))
+    return found.select("query_id", "point_id", F.round("score", 6).alias("score"), F.coalesce(why, F.lit("returned")).alias("outcome"))
 
 
 def recall_at(retrieved: Column, gold: Column, k: int) -> Column:

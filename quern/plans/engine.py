@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import annotate, build, decompose, dedup, html, lifecycle, serve, stats
+from quern.operators import annotate, build, decompose, dedup, html, lifecycle, segments, serve, stats
+from quern.plans import documents as _documents  # noqa: F401  registers boilerplate_blocks, whose SQL is used below
+from quern.plans.documents import sql_base32
 from quern.plans.pages import SPACED
 from quern.plans.planning import _points
 from quern.plans.registry import QUERIES, SQL, query
@@ -142,24 +144,28 @@ _TYPED = f"""t AS (SELECT doc_id, {sql_pick('doc_id', TYPES)} AS segment_type, t
 i AS (SELECT t.*, coalesce(tier, 'supporting') AS tier0 FROM t LEFT JOIN (VALUES {_TIERS}) x(kind, tier) ON kind = segment_type)"""
 
 
-@query("type_tiers", "documents", f"WITH {_TYPED} SELECT doc_id, tier0 AS salience_tier FROM i")
+def _signals() -> Column:
+    return F.array_join(F.transform("salience_signals", lambda s: F.concat_ws(":", s["kind"], s["implied_tier"], s["won"].cast("int").cast("string"))), "|").alias("signals")
+
+
+@query("type_tiers", "documents", f"WITH {_TYPED} SELECT doc_id, tier0 AS salience_tier, 'segment_type_prior' AS salience_basis, 'segment_type_prior:' || tier0 || ':1' AS signals FROM i")
 def type_tiers(docs: DataFrame) -> DataFrame:
-    return decompose.initial(_typed(docs)).select("doc_id", "salience_tier")
+    return decompose.initial(_typed(docs)).select("doc_id", "salience_tier", "salience_basis", _signals())
 
 
-@query("taxonomy_promotion", "documents", f"""WITH {_TYPED} SELECT doc_id, CASE WHEN segment_type IN {annotate.IMMUTABLE} THEN segment_type ELSE coalesce(h, segment_type) END AS segment_type
-FROM i LEFT JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in annotate.HINTS.items())}) y(k, h) ON k = hint""")
+@query("taxonomy_promotion", "documents", f"""WITH {_TYPED}, o AS (SELECT *, CASE WHEN c < 0.60 THEN 'ocr_confidence_floor:excluded' WHEN c < 0.80 THEN 'ocr_confidence_warn:supporting' END AS ocr FROM i),
+n AS (SELECT o.*, CASE WHEN segment_type IN {annotate.IMMUTABLE} THEN segment_type ELSE coalesce(h, segment_type) END AS now FROM o LEFT JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in annotate.HINTS.items())}) y(k, h) ON k = hint),
+m AS (SELECT n.*, coalesce(tier, 'supporting') AS tier1, now <> segment_type AND ocr IS NULL AS moved FROM n LEFT JOIN (VALUES {_TIERS}) x(kind, tier) ON kind = now)
+SELECT doc_id, now AS segment_type, CASE WHEN ocr IS NOT NULL THEN split_part(ocr, ':', 2) WHEN moved THEN tier1 ELSE tier0 END AS salience_tier, CASE WHEN ocr IS NOT NULL THEN split_part(ocr, ':', 1) ELSE 'segment_type_prior' END AS salience_basis,
+CASE WHEN ocr IS NOT NULL THEN 'segment_type_prior:' || tier0 || ':0|' || ocr || ':1' WHEN moved THEN 'segment_type_prior:' || tier0 || ':0|segment_type_prior:' || tier1 || ':1' ELSE 'segment_type_prior:' || tier0 || ':1' END AS signals FROM m""")
 def taxonomy_promotion(docs: DataFrame) -> DataFrame:
-    return decompose.promote_types(decompose.initial(_typed(docs))).select("doc_id", "segment_type")
+    return decompose.promote_types(decompose.scanned(decompose.initial(_typed(docs)))).select("doc_id", "segment_type", "salience_tier", "salience_basis", _signals())
 
 
-@query("ocr_tiers", "documents", f"WITH {_TYPED} SELECT doc_id, CASE WHEN c < 0.60 THEN 'excluded' WHEN c < 0.80 THEN 'supporting' ELSE tier0 END AS salience_tier, CASE WHEN c < 0.60 AND tier0 <> 'excluded' OR c >= 0.60 AND c < 0.80 AND tier0 <> 'supporting' THEN 2 ELSE 1 END AS n_signals FROM i")
+@query("ocr_tiers", "documents", f"""WITH {_TYPED} SELECT doc_id, CASE WHEN c < 0.60 THEN 'excluded' WHEN c < 0.80 THEN 'supporting' ELSE tier0 END AS salience_tier, CASE WHEN c < 0.60 THEN 'ocr_confidence_floor' WHEN c < 0.80 THEN 'ocr_confidence_warn' ELSE 'segment_type_prior' END AS salience_basis,
+'segment_type_prior:' || tier0 || CASE WHEN c < 0.60 THEN ':0|ocr_confidence_floor:excluded:1' WHEN c < 0.80 THEN ':0|ocr_confidence_warn:supporting:1' ELSE ':1' END AS signals FROM i""")
 def ocr_tiers(docs: DataFrame) -> DataFrame:
-    now = decompose.initial(_typed(docs))
-    c = F.col("ocr_confidence")
-    now = decompose.override(now, (c < 0.60) & (F.col("salience_tier") != "excluded"), "excluded", "ocr_confidence")
-    now = decompose.override(now, (c >= 0.60) & (c < 0.80) & (F.col("salience_tier") != "supporting"), "supporting", "ocr_confidence")
-    return now.select("doc_id", "salience_tier", F.size("salience_signals").alias("n_signals"))
+    return decompose.scanned(decompose.initial(_typed(docs))).select("doc_id", "salience_tier", "salience_basis", _signals())
 
 
 @query("scanned_regions", "documents", f"WITH {_TYPED} SELECT doc_id, c IS NOT NULL AND c < 0.85 AS whole FROM i")
@@ -205,21 +211,58 @@ def superseded_tier(docs: DataFrame, labels: DataFrame) -> DataFrame:
 CODES = [c for c, _ in decompose.EMPTY] + ["some_other"]
 
 
-@query("empty_segment_sets", "documents", f"""WITH p AS (SELECT doc_id, {sql_pick('doc_id', CODES)} AS code, {sql_pick('doc_id', ['failed', 'excluded_pre_parse', 'parsed'])} AS status FROM documents)
-SELECT doc_id, 'excl-' || substr(sha256(doc_id || ':excl:doc-level'), 1, 24) AS exclusion_id, coalesce(reason, CASE WHEN status = 'failed' THEN 'parse_failed' ELSE 'other' END) AS reason
-FROM p LEFT JOIN (VALUES {', '.join(f"('{c}', '{r}')" for c, r in decompose.EMPTY)}) v(c, reason) ON c = code WHERE status <> 'parsed'""")
+def _parsed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.array(F.lit("a_note"), pick(F.col("doc_id"), CODES)).alias("findings"), pick(F.col("doc_id"), ["failed", "excluded_pre_parse", "parsed"]).alias("parse_status"))
+
+
+def _regions(docs: DataFrame) -> DataFrame:
+    """Every fifth document has no region, the others have three: a numbered heading and the text, a table, and nothing."""
+    i = F.col("doc_id")
+    text = F.array(F.concat(F.lit("4.2 Setup\n"), F.col("text")), F.lit("| a | b |"), F.lit(" "))
+    rows = docs.where(i % 5 != 0).select("doc_id", F.posexplode(text).alias("ord", "text"))
+    conf = F.when((F.col("ord") == 0) & (i % 3 == 2), (i % 100) / 100.0)
+    return rows.select("doc_id", "ord", F.concat_ws("-", F.lit("reg"), "doc_id", "ord").alias("region_id"), F.when(F.col("ord") == 1, "table").otherwise("prose").alias("kind"), "text", F.when((F.col("ord") == 2) & (i % 2 == 0), "failed").otherwise("ok").alias("extract_status"), conf.alias("ocr_confidence"))
+
+
+@query("empty_segment_sets", "documents", f"""WITH p AS (SELECT doc_id, {sql_pick('doc_id', CODES)} AS code, {sql_pick('doc_id', ['failed', 'excluded_pre_parse', 'parsed'])} AS status FROM documents),
+g AS (SELECT doc_id, 'reg-' || doc_id || '-' || o AS region_id FROM documents, unnest([0, 1, 2]) AS u(o) WHERE doc_id % 5 <> 0)
+SELECT p.doc_id, region_id, 'excl-' || substr(sha256(p.doc_id || ':excl:' || coalesce(region_id, 'doc-level')), 1, 24) AS exclusion_id, coalesce(reason, CASE WHEN status = 'failed' THEN 'parse_failed' ELSE 'other' END) AS reason
+FROM p LEFT JOIN g ON g.doc_id = p.doc_id LEFT JOIN (VALUES {', '.join(f"('{c}', '{r}')" for c, r in decompose.EMPTY)}) v(c, reason) ON c = code WHERE status <> 'parsed'""")
 def empty_segment_sets(docs: DataFrame) -> DataFrame:
-    return decompose.empty_sets(docs.select("doc_id", F.array(F.lit("a_note"), pick(F.col("doc_id"), CODES)).alias("findings"), pick(F.col("doc_id"), ["failed", "excluded_pre_parse", "parsed"]).alias("parse_status")))
+    return decompose.empty_sets(_parsed(docs), _regions(docs))
 
 
 @query("decompose_segments", "documents labels")
 def decompose_segments(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All passes, in their order, over cut segments."""
-    from quern.operators import segments
-
     return decompose.decompose(segments.of_documents(docs).where("exclusion is null"), dedup.boilerplate(docs), _roles(labels))[0]
 
 
+@query("region_exclusions", "documents labels", f"""WITH p AS (SELECT doc_id, {sql_pick('doc_id', CODES)} AS code, {sql_pick('doc_id', ['failed', 'excluded_pre_parse', 'parsed'])} AS status FROM documents),
+g AS (SELECT doc_id, o, 'reg-' || doc_id || '-' || o AS region_id FROM documents, unnest([0, 1, 2]) AS u(o) WHERE doc_id % 5 <> 0)
+SELECT p.doc_id, region_id, coalesce(reason, CASE WHEN status = 'failed' THEN 'parse_failed' ELSE 'other' END) AS reason FROM p LEFT JOIN g ON g.doc_id = p.doc_id LEFT JOIN (VALUES {', '.join(f"('{c}', '{r}')" for c, r in decompose.EMPTY)}) v(c, reason) ON c = code WHERE status <> 'parsed'
+UNION ALL SELECT p.doc_id, region_id, CASE WHEN p.doc_id % 2 = 0 THEN 'parse_failed' ELSE 'empty_region' END FROM p JOIN g ON g.doc_id = p.doc_id WHERE status = 'parsed' AND o = 2
+UNION ALL SELECT DISTINCT doc_id, NULL, 'superseded_version' FROM labels WHERE quality = 0""")
+def region_exclusions(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every exclusion of a whole decomposition but those of spans that are too short for a segment."""
+    gone = decompose.decompose_regions(_parsed(docs), _regions(docs), dedup.boilerplate(docs), _roles(labels))[1]
+    return gone.where("reason <> 'too_short'").select("doc_id", "region_id", "reason")
+
+
+@query("region_segments", "documents labels", f"""WITH p AS (SELECT doc_id, {sql_pick('doc_id', ['failed', 'excluded_pre_parse', 'parsed'])} AS status, CASE WHEN doc_id % 3 = 2 THEN (doc_id % 100) / 100.0 END AS c FROM documents WHERE doc_id % 5 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))
+SELECT doc_id, (coalesce(c, 1) < 0.85)::INT::BIGINT AS n_scanned, (coalesce(c, 1) >= 0.85)::INT::BIGINT AS n_setup, 1::BIGINT AS n_tables, CASE WHEN c < 0.60 THEN 'ocr_confidence_floor' WHEN c < 0.80 THEN 'ocr_confidence_warn' ELSE 'segment_type_prior' END AS basis FROM p WHERE status = 'parsed'""")
+def region_segments(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of every decomposed document its scanned regions that are whole, its numbered heading, its tables, and the basis of what is first."""
+    kept = decompose.decompose_regions(_parsed(docs), _regions(docs), dedup.boilerplate(docs), _roles(labels))[0]
+    kind = lambda c: F.sum(c.cast("long"))
+    setup = (F.col("segment_type") == "heading") & (F.col("text") == "4.2 Setup")
+    # A heading that very many documents share is boilerplate by now.
+    setup |= (F.col("segment_type") == "boilerplate") & (F.col("text") == "4.2 Setup")
+    first = F.min_by(F.when(F.col("salience_basis") == "boilerplate_detection", F.lit("segment_type_prior")).otherwise(F.col("salience_basis")), "document_order")
+    table_ = (F.col("segment_type") == "table") | (F.col("text") == "| a | b |")
+    return kept.groupBy("doc_id").agg(kind(F.col("segment_type") == "scanned_region").alias("n_scanned"), kind(setup).alias("n_setup"), kind(table_).alias("n_tables"), first.alias("basis"))
+
+
 @query("invisible_flags", "documents", """WITH s AS (SELECT doc_id, 1 + doc_id % 5 AS a, 1 + doc_id % 5 + doc_id % 3 AS b FROM documents), p AS (SELECT doc_id, unnest([1, 3, 6]) AS page, unnest(['white_text', 'tiny_font', 'off_page']) AS kind FROM documents WHERE doc_id % 2 = 0)
 SELECT s.doc_id, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS flags FROM s LEFT JOIN p ON p.doc_id = s.doc_id AND page BETWEEN a AND b GROUP BY 1""")
 def invisible_flags(docs: DataFrame) -> DataFrame:
@@ -304,45 +347,59 @@ def build_chunks(docs: DataFrame) -> DataFrame:
     return made.where(F.size("vector") == 64).agg(F.countDistinct("doc_id").alias("n_documents"))
 
 
+@query("build_points", "documents", f"""WITH d AS (SELECT *, sha256(text) AS content_hash, 'DOC' || {sql_base32('sha256(sha256(text))', 16)} AS document_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words, CASE lang WHEN 'de' THEN 1024 WHEN 'fr' THEN 256 ELSE 512 END AS most FROM documents WHERE doc_id % 4 <> 0 AND trim(text) <> ''),
+h AS (SELECT *, sha256(document_id || chr(31) || content_hash || chr(31) || 'v1' || chr(31) || lang || '#0' || chr(31) || '0') AS x FROM d)
+SELECT doc_id, n_words > most AS cut, CASE WHEN n_words > most THEN 2 ELSE 1 END AS at_least, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-' || substr(x, 13, 4) || '-' || substr(x, 17, 4) || '-' || substr(x, 21, 12) AS first_point, 'kb1' AS kb_id, content_hash AS version, 64 AS dims FROM h""")
+def build_points(docs: DataFrame) -> DataFrame:
+    """A build in committed batches, to points with ids, provenance, tenancy and vectors; of each document the id of its first point and whether it was cut."""
+    spark = docs.sparkSession
+    own = docs.select("doc_id", F.concat(F.lit("s"), "doc_id").alias("segment_id"), F.concat("lang", F.lit("#0")).alias("segment_path"), F.col("lang").alias("segment_type"), F.when(F.col("doc_id") % 4 == 0, "excluded").otherwise("primary").alias("salience_tier"), "text")
+    inventory = dedup.inventory(docs).withColumn("permission_principals", F.array(F.lit("p1")))
+    made, _, ok = build.Builds(spark, scratch(spark, "builds"), "b1").run(own, inventory, _rules(spark), DEFAULT, "kb1", "v1", batches=2)
+    by = made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("point_id", "chunk_index").alias("first_point"), F.min("tenancy.kb_id").alias("kb_id"), F.min("provenance.source_document_version").alias("version"), F.min(F.size("vector")).alias("dims"))
+    return by.where(F.lit(ok)).select("doc_id", (F.col("n") > 1).alias("cut"), F.least("n", F.lit(2)).cast("int").alias("at_least"), "first_point", "kb_id", "version", "dims")
+
+
 # --- answering
 
 WHO = serve.Principal("p1", ("kb1",))
 _KB = "p.label % 2 = 1 AND p.label % 3 = 1"
-_FETCH = f"""pairs AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings p ON p.vec_id <> q.vec_id AND {_KB} WHERE q.vec_id % 50 = 0),
-f AS (SELECT *, point_id % 97 <> 0 AS ok FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) <= 30),
-bad AS (SELECT DISTINCT query_id FROM f WHERE NOT ok)"""
+# Thirty are fetched; below 0.2 a candidate is low; the first three others are kept; a damaged one among these is an error.
+_FETCH = f"""pairs AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS raw FROM embeddings q JOIN embeddings p ON p.vec_id <> q.vec_id AND {_KB} WHERE q.vec_id % 50 = 0),
+f AS (SELECT *, point_id % 7 <> 0 AS ok, raw < 0.2 AS low FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, point_id) <= 30),
+r AS (SELECT *, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY low, raw DESC, point_id)::INT AS rank FROM f),
+bad AS (SELECT DISTINCT query_id FROM r WHERE NOT low AND rank <= 3 AND NOT ok)"""
 
 
 def _kb(embeddings: DataFrame) -> serve.Collection:
     t = F.struct(F.concat(F.lit("kb"), F.col("label") % 2).alias("kb_id"), F.lit(None).cast("string").alias("workspace_id"), F.array(F.concat(F.lit("p"), F.col("label") % 3)).alias("permission_principals"))
-    return serve.Collection("kb1", _points(embeddings.where("embedding is not null")).join(embeddings.select(F.col("vec_id").alias("point_id"), t.alias("tenancy"), (F.col("vec_id") % 97 != 0).alias("payload_ok")), "point_id"))
+    return serve.Collection("kb1", _points(embeddings.where("embedding is not null")).join(embeddings.select(F.col("vec_id").alias("point_id"), t.alias("tenancy"), (F.col("vec_id") % 7 != 0).alias("payload_ok")), "point_id"))
 
 
 def _asked(embeddings: DataFrame) -> DataFrame:
     return embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
-@query("retrieve", "embeddings", f"""WITH {_FETCH} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id)::INT AS rank, point_id, score, 'returned' AS outcome
-FROM f WHERE ok AND score >= 0.2 AND query_id NOT IN (SELECT query_id FROM bad) QUALIFY rank <= 3""")
+@query("retrieve", "embeddings", f"WITH {_FETCH} SELECT query_id, rank, point_id, score, 'returned' AS outcome FROM r WHERE NOT low AND rank <= 3 AND query_id NOT IN (SELECT query_id FROM bad)")
 def retrieve(embeddings: DataFrame) -> DataFrame:
     return serve.retrieve(_kb(embeddings), _asked(embeddings), WHO, k=3, threshold=0.2)[0]
 
 
-@query("retrieve_status", "embeddings", f"""WITH {_FETCH}, c AS (SELECT query_id, count(*) AS n, sum((score >= 0.2)::INT)::BIGINT AS s FROM f WHERE ok AND query_id NOT IN (SELECT query_id FROM bad) GROUP BY 1)
-SELECT q.vec_id AS query_id, coalesce(n, 0) AS n_candidates, coalesce(s, 0) AS n_survivors, CASE WHEN q.vec_id IN (SELECT query_id FROM bad) THEN 'error' WHEN n IS NULL THEN 'no_matches' WHEN s = 0 THEN 'filtered_to_zero' ELSE 'matches' END AS status
+@query("retrieve_status", "embeddings", f"""WITH {_FETCH}, c AS (SELECT query_id, count(*) AS n, sum((NOT low)::INT)::BIGINT AS s FROM r GROUP BY 1)
+SELECT q.vec_id AS query_id, coalesce(n, 0) AS n_candidates, coalesce(s, 0) AS n_survivors, CASE WHEN n IS NULL THEN 'no_matches' WHEN s = 0 THEN 'filtered_to_zero' WHEN q.vec_id IN (SELECT query_id FROM bad) THEN 'error' ELSE 'matches' END AS status
 FROM embeddings q LEFT JOIN c ON c.query_id = q.vec_id WHERE q.vec_id % 50 = 0""")
 def retrieve_status(embeddings: DataFrame) -> DataFrame:
     return serve.retrieve(_kb(embeddings), _asked(embeddings), WHO, k=3, threshold=0.2)[1]
 
 
-@query("retrieve_explain", "embeddings", f"""WITH {_FETCH}, r AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY (score < 0.2)::INT, score DESC, point_id)::INT AS rank FROM f WHERE ok)
-SELECT *, CASE WHEN score < 0.2 THEN 'score_threshold' WHEN rank > 3 THEN 'top_k' ELSE 'returned' END AS outcome FROM r""")
+@query("retrieve_explain", "embeddings", f"""WITH {_FETCH} SELECT query_id, rank, point_id, score, CASE WHEN low THEN 'score_threshold' WHEN rank > 3 THEN 'top_k' ELSE 'returned' END AS outcome
+FROM r WHERE (low OR ok) AND query_id NOT IN (SELECT query_id FROM bad)""")
 def retrieve_explain(embeddings: DataFrame) -> DataFrame:
     return serve.retrieve(_kb(embeddings), _asked(embeddings), WHO, k=3, threshold=0.2, explain=True)[0]
 
 
-@query("scratch_search", "embeddings", """SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, p.vec_id)::INT AS rank
-FROM embeddings q JOIN embeddings p ON p.vec_id <> q.vec_id AND p.label % 2 = 1 WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10""")
+@query("scratch_search", "embeddings", """WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS raw FROM embeddings q JOIN embeddings p ON p.vec_id <> q.vec_id AND p.label % 2 = 1 WHERE q.vec_id % 50 = 0)
+SELECT query_id, point_id, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, point_id)::INT AS rank FROM s QUALIFY rank <= 10""")
 def scratch_search(embeddings: DataFrame) -> DataFrame:
     return serve.scratch_search(_kb(embeddings).points, _asked(embeddings), "kb1")
 
@@ -375,15 +432,19 @@ def shadow_gates(docs: DataFrame) -> DataFrame:
     return lifecycle.gate_table(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), "source")
 
 
-STATES = list(lifecycle.STATES)
-_MAY = ", ".join(f"('{a}', '{b}')" for a, some in lifecycle.STATES.items() for b in some)
+# All states, and each step that is allowed.
+STATES = ["TRIGGERED", "SHADOW_CREATING", "FAILED_SHADOW_CREATE", "INGESTING", "PAUSED", "FAILED_INGESTION", "VALIDATING", "VALIDATION_FAILED", "PROMOTING", "PROMOTE_FAILED", "LIVE", "ROLLED_BACK", "RETIRING", "HOT_STANDBY", "SNAPSHOTTING", "COLD", "RESTORING", "TOMBSTONE_REPLAY", "PURGED"]
+STEPS = """TRIGGERED>SHADOW_CREATING SHADOW_CREATING>INGESTING SHADOW_CREATING>FAILED_SHADOW_CREATE INGESTING>INGESTING INGESTING>PAUSED PAUSED>INGESTING INGESTING>VALIDATING INGESTING>FAILED_INGESTION FAILED_INGESTION>INGESTING
+VALIDATING>PROMOTING VALIDATING>VALIDATION_FAILED PROMOTING>LIVE PROMOTING>PROMOTE_FAILED PROMOTE_FAILED>PROMOTING LIVE>RETIRING LIVE>ROLLED_BACK ROLLED_BACK>LIVE RETIRING>HOT_STANDBY
+HOT_STANDBY>SNAPSHOTTING SNAPSHOTTING>COLD COLD>RESTORING RESTORING>TOMBSTONE_REPLAY TOMBSTONE_REPLAY>VALIDATING COLD>PURGED""".split()
+_MAY = ", ".join(f"('{s.split('>')[0]}', '{s.split('>')[1]}')" for s in STEPS)
 
 
-@query("build_states", "events", f"""WITH e AS (SELECT event_id, {sql_pick('event_id', STATES)} AS s, {sql_pick('(event_id * 7 + 1)', STATES)} AS t FROM events)
+@query("build_states", "events", f"""WITH e AS (SELECT event_id, {sql_pick('event_id', STATES)} AS s, {sql_pick('(event_id // 19)', STATES)} AS t FROM events)
 SELECT event_id, a IS NOT NULL AS accepted, CASE WHEN a IS NOT NULL THEN t ELSE s END AS state FROM e LEFT JOIN (VALUES {_MAY}) m(a, b) ON a = s AND b = t""")
 def build_states(events: DataFrame) -> DataFrame:
     i = F.col("event_id")
-    return lifecycle.step(events.select("event_id", pick(i, STATES).alias("state"), pick(i * 7 + 1, STATES).alias("asked")), F.col("asked")).select("event_id", "accepted", "state")
+    return lifecycle.step(events.select("event_id", pick(i, STATES).alias("state"), pick(F.floor(i / 19), STATES).alias("asked")), F.col("asked")).select("event_id", "accepted", "state")
 
 
 @query("document_tombstones", "documents labels", "SELECT doc_id, min(since) AS deleted_at FROM (SELECT doc_id, doc_id % 5 AS since FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 3 FROM documents WHERE doc_id % 20 = 0) GROUP BY 1")

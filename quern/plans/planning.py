@@ -70,31 +70,31 @@ def _asks(embeddings: DataFrame) -> DataFrame:
 
 
 def _sql_top(where: str, k: int = 10) -> str:
-    return f"""pairs AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings p ON p.vec_id <> q.vec_id {where} WHERE q.vec_id % 50 = 0),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id)::INT AS rank FROM pairs QUALIFY rank <= {k})"""
+    return f"""pairs AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS raw FROM embeddings q JOIN embeddings p ON p.vec_id <> q.vec_id {where} WHERE q.vec_id % 50 = 0),
+top AS (SELECT *, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, point_id)::INT AS rank FROM pairs QUALIFY rank <= {k})"""
 
 
-@query("dense_topk", "embeddings", f"WITH {_sql_top('')} SELECT * FROM top")
+@query("dense_topk", "embeddings", f"WITH {_sql_top('')} SELECT query_id, rank, point_id, score FROM top")
 def dense_topk(embeddings: DataFrame) -> DataFrame:
-    return retrieval.topk(_points(embeddings), _asks(embeddings), 10)
+    return retrieval.rounded(retrieval.topk(_points(embeddings), _asks(embeddings), 10))
 
 
-@query("dense_topk_filtered", "embeddings", f"WITH {_sql_top('AND p.label = q.label')} SELECT * FROM top")
+@query("dense_topk_filtered", "embeddings", f"WITH {_sql_top('AND p.label = q.label')} SELECT query_id, rank, point_id, score FROM top")
 def dense_topk_filtered(embeddings: DataFrame) -> DataFrame:
     """Labels stand for tenants: the filter is part of the search."""
-    return retrieval.topk(_points(embeddings), _asks(embeddings), 10, same="tenant")
+    return retrieval.rounded(retrieval.topk(_points(embeddings), _asks(embeddings), 10, same="tenant"))
 
 
 @query("threshold_status", "embeddings", f"""WITH {_sql_top('AND p.label = q.label', 100)}
-SELECT q.vec_id AS query_id, count(point_id) AS n_candidates, coalesce(sum((score >= 0.35)::INT), 0)::BIGINT AS n_survivors,
-CASE WHEN count(point_id) = 0 THEN 'no_matches' WHEN sum((score >= 0.35)::INT) = 0 THEN 'filtered_to_zero' ELSE 'matches' END AS status
+SELECT q.vec_id AS query_id, count(point_id) AS n_candidates, coalesce(sum((raw >= 0.35)::INT), 0)::BIGINT AS n_survivors,
+CASE WHEN count(point_id) = 0 THEN 'no_matches' WHEN sum((raw >= 0.35)::INT) = 0 THEN 'filtered_to_zero' ELSE 'matches' END AS status
 FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN top ON top.query_id = q.vec_id GROUP BY 1""")
 def threshold_status(embeddings: DataFrame) -> DataFrame:
     asks = _asks(embeddings)
     return retrieval.respond(retrieval.topk(_points(embeddings), asks, 100, same="tenant"), asks, 10, 0.35)[1]
 
 
-@query("explain_exclusions", "embeddings", f"WITH {_sql_top('AND p.label = q.label', 100)} SELECT query_id, point_id, score, CASE WHEN score < 0.35 THEN 'score_threshold' WHEN rank > 10 THEN 'top_k' ELSE 'returned' END AS outcome FROM top")
+@query("explain_exclusions", "embeddings", f"WITH {_sql_top('AND p.label = q.label', 100)} SELECT query_id, point_id, score, CASE WHEN raw < 0.35 THEN 'score_threshold' WHEN rank > 10 THEN 'top_k' ELSE 'returned' END AS outcome FROM top")
 def explain_exclusions(embeddings: DataFrame) -> DataFrame:
     return retrieval.explain(retrieval.topk(_points(embeddings), _asks(embeddings), 100, same="tenant"), 10, 0.35)
 

@@ -99,7 +99,8 @@ def test_gates_stop_at_the_first_failure(kwargs, last):
 
 def test_states_only_follow_the_table():
     assert lifecycle.may_follow("PROMOTING", "LIVE") and not lifecycle.may_follow("LIVE", "INGESTING")
-    assert len(lifecycle.STATES) == 18 and all(s in lifecycle.STATES for some in lifecycle.STATES.values() for s in some)
+    assert not lifecycle.may_follow("TOMBSTONE_REPLAY", "LIVE") and not lifecycle.may_follow("LIVE", "HOT_STANDBY") and lifecycle.may_follow("RETIRING", "HOT_STANDBY")
+    assert len(lifecycle.STATES) == 19 and all(s in lifecycle.STATES for some in lifecycle.STATES.values() for s in some)
 
 
 def test_configuration_layers_and_diff():
@@ -150,7 +151,7 @@ def test_retrieval_fails_closed(spark):
     assert [r["point_id"] for r in found.orderBy("rank").collect()] == [1, 3] and states.first()["status"] == "matches"
     assert serve.retrieve(collection(spark), asked, who, k=3)[1].first()["status"] == "error"
     named, _ = serve.retrieve(collection(spark), asked, who, k=2, threshold=0.9, explain=True)
-    assert {r["point_id"]: r["outcome"] for r in named.collect()} == {1: "returned", 3: "returned", 7: "score_threshold"}
+    assert {r["point_id"]: r["outcome"] for r in named.collect()} == {1: "returned", 3: "returned", 5: "score_threshold", 7: "score_threshold"}
     audit: list = []
     every, _ = serve.retrieve(collection(spark), asked, serve.Principal("a", admin=True), k=4, break_glass=True, audit=audit)
     assert {r["point_id"] for r in every.collect()} == {0, 1, 2, 3} and len(audit) == 1

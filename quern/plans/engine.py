@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import annotate, build, decompose, dedup, html, lifecycle, segments, serve, stats
+from quern.operators import annotate, build, decompose, dedup, html, lifecycle, retrieval, segments, serve, stats, vectors
 from quern.plans import documents as _documents  # noqa: F401  registers boilerplate_blocks, whose SQL is used below
 from quern.plans.documents import sql_base32
 from quern.plans.pages import SPACED
@@ -416,6 +416,32 @@ def approximate_topk(embeddings: DataFrame) -> DataFrame:
     return serve.approximate_topk(_points(embeddings), _asked(embeddings), 10)
 
 
+def _indexed(embeddings: DataFrame) -> vectors.VectorIndex:
+    return vectors.VectorIndex.build(_points(embeddings), scratch(embeddings.sparkSession, "vectors"), columns=("tenant",))
+
+
+@query("vector_index", "embeddings", SQL["dense_topk"])
+def vector_index(embeddings: DataFrame) -> DataFrame:
+    """The index with all its cells read: codes leave candidates, vectors rank them."""
+    return retrieval.rounded(_indexed(embeddings).search(_asked(embeddings), 10, probed=1.0))
+
+
+@query("vector_index_filtered", "embeddings", SQL["dense_topk_filtered"])
+def vector_index_filtered(embeddings: DataFrame) -> DataFrame:
+    """Labels stand for tenants; the filter is part of the probe."""
+    asked = _asked(embeddings).join(embeddings.select(F.col("vec_id").alias("query_id"), F.col("label").alias("tenant")), "query_id")
+    return retrieval.rounded(_indexed(embeddings).search(asked, 10, probed=1.0, same="tenant"))
+
+
+@query("vector_index_widens", "embeddings", """WITH p AS (SELECT * FROM embeddings WHERE vec_id % 97 = 3 AND embedding IS NOT NULL)
+SELECT q.vec_id AS query_id, least(10, (SELECT count(*) FROM p WHERE p.vec_id <> q.vec_id)) AS n FROM embeddings q WHERE q.vec_id % 50 = 0""")
+def vector_index_widens(embeddings: DataFrame) -> DataFrame:
+    """One point in 97 passes the filter: queries read more cells until they have ten, or have read all."""
+    index = vectors.VectorIndex.build(_points(embeddings).withColumn("rare", F.col("point_id") % 97 == 3), scratch(embeddings.sparkSession, "vectors"), columns=("rare",))
+    found = index.search(_asked(embeddings), 10, probed=0.05, where=F.col("rare"))
+    return _asked(embeddings).join(found, "query_id", "left").groupBy("query_id").agg(F.count("point_id").alias("n"))
+
+
 @query("minhash_neighbours", "documents")
 def minhash_neighbours(docs: DataFrame) -> DataFrame:
     return serve.minhash_neighbours(dedup.shingle_sets(dedup.primaries(docs).select("doc_id", "text")))

@@ -158,30 +158,6 @@ def test_retrieval_fails_closed(spark):
     assert serve.retrieve(collection(spark), asked, who, k=2, threshold=1.1, explain=True)[1].first()["status"] == "filtered_to_zero"
 
 
-def test_query_cache_expires_and_forgets():
-    now = [0.0]
-    c = serve.QueryCache(10, 2, clock=lambda: now[0])
-    c.put("m", 2, "v", " a  b ", vector=[1.0])
-    assert c.get("m", 2, "v", "a b") == [1.0] and c.get("m", 3, "v", "a b") is None
-    c.put("m", 2, "v", "c", vector=[2.0])
-    c.get("m", 2, "v", "a b")
-    c.put("m", 2, "v", "d", vector=[3.0])
-    assert c.get("m", 2, "v", "c") is None and c.get("m", 2, "v", "a b") == [1.0]
-    now[0] = 11.0
-    assert c.get("m", 2, "v", "a b") is None
-
-
-def test_approximate_neighbours_reach_nine_tenths(spark):
-    rng = random.Random(2)
-    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
-    rows = [(i, [x + rng.gauss(0, 0.15) for x in centres[i % 12]], 0) for i in range(600)]
-    points = spark.createDataFrame(rows, "point_id long, vec array<double>, tenant int")
-    asked = points.where("point_id % 50 = 0").select(F.col("point_id").alias("query_id"), F.col("vec").alias("qvec"), "tenant")
-    exact = {(r["query_id"], r["point_id"]) for r in retrieval.topk(points, asked, 10).collect()}
-    near = {(r["query_id"], r["point_id"]) for r in serve.approximate_topk(points, asked, 10).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-
-
 def test_minhash_neighbours_reach_nine_tenths(spark):
     rng = random.Random(3)
     base = [[rng.randrange(1 << 40) for _ in range(60)] for _ in range(40)]

@@ -16,7 +16,7 @@ from quern.plans.pages import SPACED
 from quern.plans.planning import _points
 from quern.plans.registry import QUERIES, SQL, query
 from quern.session import scratch, table
-from quern.sources import files, store
+from quern.sources import connectors, files, store, tree
 
 
 def pick(i: Column, values: list[str]) -> Column:
@@ -55,6 +55,50 @@ def directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["directory_scan"] = directory_scan
 
 
+def directory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder of the test tables, listed and hashed in tasks."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().replace("file:/", "file:///", 1)
+    return files.duplicates(tree.inventory(spark, base))
+
+
+QUERIES["directory_tree"] = directory_tree
+
+_FEED = """SELECT client_id::VARCHAR AS item_id, change_id AS version, coalesce(op = 'D', false) AS deleted, CASE WHEN coalesce(op = 'D', false) OR source = 'web' THEN 'listed' WHEN city IS NULL THEN 'unreadable' ELSE 'collected' END AS status,
+CASE WHEN NOT coalesce(op = 'D', false) AND source IS DISTINCT FROM 'web' THEN sha256(city) END AS content_hash FROM client_changes WHERE change_id IS NOT NULL AND client_id IS NOT NULL"""
+
+
+def _feed(changes: DataFrame) -> str:
+    """Changes of clients as a recorded feed: those by web stand for folders, cities for contents."""
+    root = scratch(changes.sparkSession, "feed").replace("file:/", "file:///", 1).replace("file://///", "file:///")
+    docs = changes.where("change_id IS NOT NULL").select(F.col("client_id").cast("string").alias("item_id"), F.col("change_id").alias("version"), F.when(F.col("source") == "web", "folder").otherwise("file").alias("kind"), F.coalesce(F.col("op") == "D", F.lit(False)).alias("deleted"), F.lit("full").alias("fidelity"), F.array(F.lit("p1")).alias("principals"), F.col("city").alias("text"))
+    connectors.record(docs, root, 500)
+    return root
+
+
+def _fed(rows: DataFrame) -> DataFrame:
+    return rows.select("item_id", "version", "deleted", "status", F.sha2("content", 256).alias("content_hash"))
+
+
+@query("connector_pages", "client_changes", _FEED)
+def connector_pages(changes: DataFrame) -> DataFrame:
+    """A feed's pages as one table: each page a task."""
+    return _fed(connectors.read(changes.sparkSession, connectors.RecordedFeed, root=_feed(changes)))
+
+
+@query("connector_stream", "client_changes", _FEED)
+def connector_stream(changes: DataFrame) -> DataFrame:
+    """The same feed as a stream whose offset is the feed's cursor."""
+    spark, out = changes.sparkSession, scratch(changes.sparkSession, "feed-stream")
+    rows = connectors.read_stream(spark, connectors.RecordedFeed, root=_feed(changes))
+    run = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return _fed(spark.read.schema(connectors.SCHEMA).parquet(f"{out}/rows"))
+
+
 @query("delta_pages", "events", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS version FROM events WHERE event_id > 100 AND event_type <> 'view' AND event_id % 10 <> 0 GROUP BY 1")
 def delta_pages(events: DataFrame) -> DataFrame:
     """Events stand for changes, views for folders."""

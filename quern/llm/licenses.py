@@ -102,8 +102,8 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
 class Templates:
     """The templates' words and the inverted index of their fingerprints.
 
-    A document's winnowing keeps one hash of every W in a row, wherever they lie; templates keep all of
-    theirs, so that a shared run of K + W - 1 words is never missed.
+    The index holds a template's winnowed fingerprints, one hash of every W in a row at least. Every hash of a
+    document asks, so a shared run of K + W - 1 words is never missed.
     """
 
     def __init__(self, texts: dict[str, str]):
@@ -111,8 +111,9 @@ class Templates:
         self.hashes = {n: hashes(w) for n, w in self.words.items()}
         self.index: dict[int, list[tuple[str, int]]] = {}
         for n, w in self.words.items():
-            for i, h in enumerate(grams(w).tolist()):
-                self.index.setdefault(h, []).append((n, i))
+            h = grams(w)
+            for i in winnow(h).tolist():
+                self.index.setdefault(int(h[i]), []).append((n, i))
         self.known = np.array(sorted(self.index), dtype=np.uint64)
 
     def candidates(self, words: list[str]) -> set[tuple[str, int]]:
@@ -121,11 +122,7 @@ class Templates:
         if not len(h) or not len(self.known):
             return set()
         hit = self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h
-        if not hit.any():
-            return set()
-        kept = np.zeros(len(h), dtype=bool)
-        kept[winnow(h)] = True
-        return {(n, (p - i) // BAND) for p in np.flatnonzero(hit & kept).tolist() for n, i in self.index[int(h[p])]}
+        return {(n, (p - i) // BAND) for p in np.flatnonzero(hit).tolist() for n, i in self.index[int(h[p])]}
 
     def fits(self, n: str, words: list[str], own: np.ndarray) -> int:
         """How many of a template's words the band holds: no alignment in it can match more."""
@@ -205,7 +202,8 @@ _HELD: dict[str, Templates] = {}
 
 
 @tidy
-def _scan(batches: Iterator[pa.RecordBatch], texts: dict[str, str], coverage: float, tags: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], shared, coverage: float, tags: bool) -> Iterator[pa.RecordBatch]:
+    texts: dict[str, str] = shared.value
     key = repr(sorted(texts.items()))
     if (held := _HELD.get(key)) is None:
         held = _HELD[key] = Templates(texts)
@@ -221,7 +219,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     ship(spark)
     batch_bytes(spark)
     tags = not templates
-    own = dict(templates or license_set.standard(TEMPLATES))
+    own = spark.sparkContext.broadcast(dict(templates or license_set.standard(TEMPLATES)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda batches: _scan(batches, own, coverage, tags), "doc_id long, license string, start long, end long, coverage double")
 

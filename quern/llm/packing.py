@@ -11,8 +11,9 @@ neighbours follow in score order until the window is full. The piece that does n
 seed of the next window, so every window but a shard's last is exactly full, and each id lies in exactly
 one piece. The last one is cut into powers of two, down to ``least``, and a rest.
 
-A seed's neighbours are those of its own shard: the README states the measured share of the whole
-table's best neighbours that this finds.
+**A seed asks its own shard only**, so its neighbours are the best of about ``SHARD_TOKENS`` ids around it, not of
+the table: of the table's ten best rows by BM25 they hold all with one shard, 0.63 with 4 shards and 0.26
+with 22 (README), and the share falls on as the table grows.
 
 Defined cases: a null text is an empty text (its only id is the end id); a null doc_id is kept as it
 is; repeated rows are packed once each; a very long text fills window after window and makes its shard

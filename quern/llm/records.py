@@ -210,10 +210,10 @@ def digests(spark: SparkSession, manifest: DataFrame, span: int = 16 << 20) -> D
 
 
 @tidy
-def _read_parts(batches: Iterator[pa.RecordBatch], plan: list[tuple], span: int, made, column: str) -> Iterator[pa.RecordBatch]:
+def _read_parts(batches: Iterator[pa.RecordBatch], plan, span: int, made, column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in batch.column(0).to_pylist():
-            part, data, index, start = plan[i]
+            part, data, index, start = plan.value[i]
             files, path = _open(data)
             with files.open_input_stream(_open(index)[1]) as f:
                 rows = np.frombuffer(f.read(), INDEX)
@@ -233,9 +233,8 @@ def _scan(spark: SparkSession, manifest: DataFrame, span: int, schema: str, made
     if not files:
         return spark.createDataFrame([], schema)
     before = np.concatenate([[0], np.cumsum([f["n_ids"] for f in files])]).tolist()
-    plan = [(f["part"], f["data"], f["index"], before[i]) for i, f in enumerate(files)]
-
-    return spark.range(0, len(plan), 1, len(plan)).mapInArrow(lambda batches: _read_parts(batches, plan, span, made, column), schema)
+    plan = spark.sparkContext.broadcast([(f["part"], f["data"], f["index"], before[i]) for i, f in enumerate(files)])
+    return spark.range(0, len(files), 1, len(files)).mapInArrow(lambda batches: _read_parts(batches, plan, span, made, column), schema)
 
 
 def _spans(rows: np.ndarray, span: int) -> Iterator[tuple[int, int]]:

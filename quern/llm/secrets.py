@@ -284,13 +284,19 @@ def _scan(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *counts, digest, pa.array([say(r) for r in rows])], names=[*batch.schema.names[1:], "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"])
 
 
-def train(docs: DataFrame, credentials: DataFrame | None = None, most: int = MOST) -> Model:
-    """``credentials``: columns kind and s, at most ``most`` of each kind are used, in order of a hash."""
+def train(docs: DataFrame, credentials: DataFrame | None = None, most: int = MOST, most_kinds: int = 64) -> Model:
+    """``credentials``: columns kind and s, at most ``most`` of each kind are used, in order of a hash.
+
+    Each kind is a model of its own; more than ``most_kinds`` of them are an error.
+    """
     if credentials is None:
         known = labelled(docs, most)
     else:
         known = {}
-        for k in [r[0] for r in credentials.select("kind").distinct().limit(64).collect()]:
+        kinds = sorted((r[0] for r in credentials.where("kind IS NOT NULL").select("kind").distinct().limit(most_kinds + 1).collect()), key=str)
+        if len(kinds) > most_kinds:
+            raise ValueError(f"more than {most_kinds} kinds of credentials; pass a larger most_kinds")
+        for k in kinds:
             known[k] = sorted(r["s"] for r in credentials.where(F.col("kind") == k).select("s").distinct().orderBy(F.xxhash64("s"), "s").limit(most).collect())
     return Model(known, ordinary(docs))
 

@@ -234,3 +234,13 @@ def test_word_counts_of_slices():
     texts = pa.array(["a b", None, "", " x\ty\n", "é　é z", "w"])
     assert mixing.word_counts(texts).tolist() == [2, 0, 0, 2, 2, 1]
     assert mixing.word_counts(texts[2:5]).tolist() == [0, 2, 2] and mixing.word_counts(texts[:0]).tolist() == []
+
+
+def test_kinds_of_credentials_are_bounded_by_a_parameter(spark):
+    from quern.llm import secrets
+
+    docs = spark.createDataFrame([(1, "some plain words here")], "doc_id long, text string")
+    known = spark.createDataFrame([(f"k{i}", f"AB-{i:04d}-XY") for i in range(6)] + [(None, "left out")], "kind string, s string")
+    assert secrets.train(docs, known, most_kinds=6)
+    with pytest.raises(ValueError, match="kinds"):
+        secrets.train(docs, known, most_kinds=5)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quern.functions import ids, text
-from quern.session import materialize
+from quern.session import materialize, ship
 
+#: Rows of one key that meet in one cell, of each side; documents of one block when pairs are compared.
+HOT, BLOCK = 1000, 512
 SHINGLE = 5
 THRESHOLD = 0.5
 MIN_CHARS = 50
@@ -50,28 +55,69 @@ def shingle_sets(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return sets.select("doc_id", F.size("s").alias("n"), "s")
 
 
+def meetings(rows: DataFrame, key: str, n: str, more: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs doc_a < doc_b of rows that share a key, where ``more`` of both aliases holds; each pair once.
+
+    ``n`` is a column with at least the number of rows of the key: a hot key's rows are dealt into parts of about
+    ``HOT``, and each pair of parts is a cell of its own, so no task sees more than two parts of a key.
+    """
+    parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col(n) / HOT))
+    own, every = F.pmod(F.xxhash64("doc_id"), parts), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    a = rows.withColumn("i", own).withColumn("j", every).alias("a")
+    b = rows.withColumn("j", own).withColumn("i", every).alias("b")
+    same = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.doc_id") < F.col("b.doc_id"))
+    return a.join(b, same & more("a", "b")).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
+
+
+def _common(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Sizes of the intersections and unions of a cell's pairs; each set is there once."""
+    held = {d: np.sort(np.array(s, np.int64)) for d, s in zip(sets.column("doc_id").to_pylist(), sets.column("s").to_pylist(), strict=True)}
+    a, b = pairs.column("doc_a").to_pylist(), pairs.column("doc_b").to_pylist()
+    both = [len(np.intersect1d(held[x], held[y], assume_unique=True)) for x, y in zip(a, b, strict=True)]
+    total = [len(held[x]) + len(held[y]) - c for x, y, c in zip(a, b, both, strict=True)]
+    return pa.table({"doc_a": pa.array(a, pa.int64()), "doc_b": pa.array(b, pa.int64()), "common": pa.array(both, pa.int64()), "total": pa.array(total, pa.int64())})
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """doc_a, doc_b, common, total and jaccard of the pairs that reach the threshold.
+
+    Documents are dealt into blocks; a pair of blocks that has candidates is a cell, which gets one copy of each of
+    its sets, however many pairs it is in.
+    """
+    ship(sets.sparkSession)
+    pairs = materialize(pairs, "candidate-pairs")
+    blocks = max(1, -(-sets.count() // BLOCK))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    dealt = pairs.withColumn("x", of("doc_a")).withColumn("y", of("doc_b"))
+    needed = dealt.select(F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct().join(sets.select("doc_id", "s"), "doc_id")
+    scored = dealt.groupBy("x", "y").cogroup(needed.groupBy("u", "v")).applyInArrow(_common, "doc_a long, doc_b long, common long, total long")
+    return scored.where(F.col("common") >= F.lit(threshold) * F.col("total")).withColumn("jaccard", F.round(F.col("common") / F.col("total"), 6))
+
+
 def edges(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs of distinct texts with Jaccard >= threshold, by an exact prefix filter.
+    """Pairs of distinct texts with Jaccard >= threshold, by exact prefix and position filters.
 
-    Shingles in one document only cannot be shared: a document whose prefix (its rarest n - ceil(t n) + 1
-    shingles) is all of those has no partner. Others send only the rest of their prefix to the join, and
-    candidates within the length bounds are verified on the sets.
+    Shingles stand in order of how many documents have them. A document whose prefix (its rarest n - ceil(t n) + 1
+    shingles) lies in no other has no partner. Others send the rest of their prefix to the join; a pair meets where the
+    sizes, and what can still follow the place at which both have a shingle, allow the threshold. Sets are compared by
+    64-bit hashes of shingles.
     """
     sets = materialize(shingle_sets(primaries(docs).select("doc_id", "text"), min_chars), "shingle-sets")
     rows = sets.select("doc_id", "n", F.explode("s").alias("h"))
     df = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per = rows.join(df, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
     prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1
-    left = F.greatest(F.lit(0), prefix - (F.col("n") - F.size("shared")))
-    asked = materialize(per.select("doc_id", "n", F.explode(F.slice("shared", F.lit(1), F.least(left, F.size("shared")))).alias("x")).select("doc_id", "n", F.col("x.h").alias("h")), "prefixes")
-    a, b = asked.alias("a"), asked.alias("b")
-    near = (F.col("a.h") == F.col("b.h")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, near).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
-    one = pairs.join(sets.select(F.col("doc_id").alias("doc_a"), F.col("s").alias("sa")), "doc_a")
-    two = one.join(sets.select(F.col("doc_id").alias("doc_b"), F.col("s").alias("sb")), "doc_b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    scored = two.select("doc_a", "doc_b", shared.alias("common"), (F.size("sa") + F.size("sb") - shared).alias("total"))
-    return scored.where(F.col("common") >= F.lit(threshold) * F.col("total")).select("doc_a", "doc_b", F.col("common").cast("long").alias("common"), F.col("total").cast("long").alias("total"), F.round(F.col("common") / F.col("total"), 6).alias("jaccard"))
+    alone = F.col("n") - F.size("shared")
+    left = F.greatest(F.lit(0), prefix - alone)
+    asked = per.select("doc_id", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.least(left, F.size("shared")))).alias("at", "x"))
+    asked = materialize(asked.select("doc_id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), "x.h", "x.df"), "prefixes")
+
+    def may(a: str, b: str) -> Column:
+        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+        return (F.least(na, nb) >= threshold * F.greatest(na, nb)) & (F.least(f"{a}.rest", f"{b}.rest") * (1 + threshold) >= threshold * (na + nb) - 1e-6)
+
+    # The first place at which two documents meet allows all that they share; later ones may be refused.
+    return verified(meetings(asked, "h", "df", may), sets, threshold)
 
 
 def components(links: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
@@ -88,11 +134,20 @@ def components(links: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
         label = new.select("u", "label")
 
 
-def families(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Near-duplicate families of distinct texts. Without dates the largest content hash is primary."""
+def members(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Rows of membership (label, node, content_hash) of near-duplicate families, and the edges behind them; written once, for whatever asks."""
     links = materialize(edges(docs, threshold), "family-edges")
-    label = components(links)
-    named = label.join(primaries(docs).select(F.col("doc_id").alias("node"), "content_hash"), "node")
+    named = components(links).join(primaries(docs).select(F.col("doc_id").alias("node"), "content_hash"), "node")
+    return materialize(named, "family-members"), links
+
+
+def families(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Near-duplicate families of distinct texts. Without dates the largest content hash is primary.
+
+    The members of a family stand in one row, as its id is a digest of them all; ``members`` has them as rows.
+    """
+    label, links = members(docs, threshold)
+    named = label
     by = named.groupBy("label").agg(F.sort_array(F.collect_list("node")).alias("members"), F.max_by("node", "content_hash").alias("primary_doc"))
     scores = links.select(F.col("doc_a").alias("p"), F.col("doc_b").alias("m"), "jaccard").unionByName(links.select(F.col("doc_b").alias("p"), F.col("doc_a").alias("m"), "jaccard"))
     worst = label.join(by.select("label", "primary_doc"), "label").where("node <> primary_doc").join(scores, (F.col("p") == F.col("primary_doc")) & (F.col("m") == F.col("node")), "left").groupBy("label").agg(F.min(F.coalesce("jaccard", F.lit(0.0))).alias("least_score"))
@@ -102,9 +157,9 @@ def families(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def roles(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """exact_duplicate, superseded, primary or unique for every document."""
-    label = components(materialize(edges(docs, threshold), "role-edges"))
+    label, _ = members(docs, threshold)
     first = primaries(docs).select(F.col("doc_id").alias("first_doc"), "content_hash")
-    best = label.join(first.select(F.col("first_doc").alias("node"), "content_hash"), "node").groupBy("label").agg(F.max_by("node", "content_hash").alias("primary_doc"))
+    best = label.groupBy("label").agg(F.max_by("node", "content_hash").alias("primary_doc"))
     known = label.join(best, "label").select(F.col("node").alias("first_doc"), "primary_doc")
     named = docs.select("doc_id", ids.content_hash(F.col("text")).alias("content_hash")).join(first, "content_hash").join(known, "first_doc", "left")
     role = F.when(F.col("doc_id") != F.col("first_doc"), "exact_duplicate").when(F.col("primary_doc").isNull(), "unique").when(F.col("primary_doc") == F.col("doc_id"), "primary").otherwise("superseded")

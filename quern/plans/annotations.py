@@ -98,10 +98,9 @@ UNION ALL SELECT {{0}}, 'mojibake', 'low' FROM {{1}} WHERE regexp_matches({{2}},
 UNION ALL SELECT {{0}}, 'control_chars', 'low' FROM {{1}} WHERE regexp_matches({{2}}, '{A.CONTROL.replace("{", "{{").replace("}", "}}")}')"""
 
 
-@query("token_entropy", "documents", f"""WITH t AS (SELECT doc_id, row_number() OVER () AS k, token FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\s,;:"''\\[\\]{{}}()]+')) AS token FROM {DOCS_PLANTED}) WHERE length(token) >= 20),
-c AS (SELECT k, ch, count(*) AS n FROM (SELECT k, unnest(string_split(token, '')) AS ch FROM t) WHERE ch <> '' GROUP BY 1, 2),
-e AS (SELECT k, round(-sum(n / s * log2(n / s)), 6) AS bits FROM (SELECT k, n, sum(n) OVER (PARTITION BY k) AS s FROM c) GROUP BY k)
-SELECT doc_id, token, bits FROM t JOIN e USING (k) WHERE bits >= 4.5""")
+@query("token_entropy", "documents", f"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[\\s,;:"''\\[\\]{{}}()]+'), lambda x: length(x) >= 20)) AS token FROM {DOCS_PLANTED}),
+h AS (SELECT doc_id, token, length(token) AS s, map_values(list_histogram(string_split(token, ''))) AS ns FROM t)
+SELECT doc_id, token, round(-list_sum(list_transform(ns, lambda n: n / s * log2(n / s))), 6) AS bits FROM h WHERE bits >= 4.5""")
 def token_entropy(docs: DataFrame) -> DataFrame:
     return A.suspect_tokens(planted(docs, "doc_id", "text"))
 

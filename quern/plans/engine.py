@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import annotate, build, decompose, dedup, html, lifecycle, retrieval, segments, serve, stats, vectors
 from quern.plans import documents as _documents  # noqa: F401  registers boilerplate_blocks, whose SQL is used below
-from quern.plans.documents import sql_base32
+from quern.plans.documents import EDGES, sql_base32
 from quern.plans.pages import SPACED
 from quern.plans.planning import _points
 from quern.plans.registry import QUERIES, SQL, query
@@ -486,7 +486,7 @@ def vector_index_widens(embeddings: DataFrame) -> DataFrame:
     return _asked(embeddings).join(found, "query_id", "left").groupBy("query_id").agg(F.count("point_id").alias("n"))
 
 
-@query("minhash_neighbours", "documents")
+@query("minhash_neighbours", "documents", f"WITH {EDGES} SELECT doc_a, doc_b, jaccard FROM edges")
 def minhash_neighbours(docs: DataFrame) -> DataFrame:
     return serve.minhash_neighbours(dedup.shingle_sets(dedup.primaries(docs).select("doc_id", "text")))
 

@@ -16,7 +16,7 @@ from quern.plans.pages import SPACED
 from quern.plans.planning import _points
 from quern.plans.registry import QUERIES, SQL, query
 from quern.session import scratch, table
-from quern.sources import connectors, files, store, tree
+from quern.sources import buckets, connectors, files, store, tree
 
 
 def pick(i: Column, values: list[str]) -> Column:
@@ -167,6 +167,20 @@ def delete_by_document(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return store.delete_documents(docs.select("doc_id", "n_chars"), labels.where("toxic = 1"))
 
 
+@query("bucket_merge", "documents labels", """WITH gone AS (SELECT doc_id FROM labels WHERE toxic = 1), live AS (SELECT doc_id, CASE WHEN lang = 'de' THEN n_chars + 1 ELSE n_chars END AS n_chars, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version FROM documents UNION ALL SELECT doc_id + 1000000, n_chars, 1 FROM documents WHERE doc_id % 10 = 0)
+SELECT 'live' AS kept, * FROM live WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT 'previous', doc_id, n_chars, 1 FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM gone)""")
+def bucket_merge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Newer and more rows for one table, then toxic documents out of both in one commit."""
+    held = buckets.BucketStore(docs.sparkSession, scratch(docs.sparkSession, "buckets"))
+    rows = docs.select("doc_id", "n_chars", F.lit(1).alias("version"))
+    held.begin().create("live", rows, "doc_id", "version").create("previous", rows.where("doc_id % 2 = 0"), "doc_id", "version").commit()
+    newer = docs.where("lang = 'de'").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"), F.lit(2).alias("version"))
+    more = docs.where("doc_id % 10 = 0").select(F.col("doc_id") + 1000000, "n_chars", F.lit(1))
+    held.begin().upsert("live", newer.union(more)).commit()
+    buckets.delete_documents(held, labels.where("toxic = 1").select("doc_id"))
+    return held.read("live").select(F.lit("live").alias("kept"), "*").unionByName(held.read("previous").select(F.lit("previous").alias("kept"), "*"))
+
+
 @query("segment_cache", "documents labels", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS hit FROM documents")
 def segment_cache(docs: DataFrame, labels: DataFrame) -> DataFrame:
     hits, rest = store.cached(labels.select("doc_id"), docs.select("doc_id"), ["doc_id"])

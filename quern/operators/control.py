@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.operators import ordered
 from quern.session import materialize
 
 ACTIVE = ("queued", "claimed", "running", "paused")
@@ -90,15 +91,14 @@ def budget_guard(accounts: DataFrame, cap: Column, projected: Column, workspace_
 
 
 def running_total(ledger: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ledger.withColumn("running", F.sum(F.col(value).cast("decimal(18,6)")).over(w))
+    return ordered.sums(ledger, by, order, {"running": F.col(value).cast("decimal(18,6)")}).drop("part")
 
 
 def streaks(rows: DataFrame, by: str, order: list[str], hit: Column, least: int = 3) -> DataFrame:
     """Runs of consecutive hits of at least ``least`` rows."""
-    w = Window.partitionBy(by).orderBy(*order)
-    marked = rows.withColumn("hit", hit).withColumn("i", F.row_number().over(w))
-    runs = marked.where("hit").withColumn("run", F.col("i") - F.row_number().over(w)).groupBy(by, "run").agg(F.min("i").alias("first_row"), F.count(F.lit(1)).alias("n"))
+    marked = ordered.sums(rows.withColumn("hit", F.coalesce(hit, F.lit(False))), by, order, {"i": F.lit(1), "k": F.col("hit").cast("int")})
+    # Among hits, the rows so far less the hits so far stay the same until a row is none.
+    runs = marked.where("hit").groupBy(by, (F.col("i") - F.col("k")).alias("run")).agg(F.min("i").cast("int").alias("first_row"), F.count(F.lit(1)).alias("n"))
     return runs.where(F.col("n") >= least).select(by, "first_row", "n")
 
 
@@ -129,9 +129,8 @@ def upsert(table: DataFrame, new: DataFrame, key: str, version: str) -> DataFram
 
 def history(scores: DataFrame, by: str, at: str, mark: str) -> DataFrame:
     """Type-2 history: the current row, and where the mark changed from the one before."""
-    w = Window.partitionBy(by).orderBy(at, "event_id")
-    rows = scores.withColumn("changed", F.coalesce(F.col(mark) != F.lag(mark).over(w), F.lit(False)))
-    return rows.withColumn("is_current", F.lead(F.lit(1)).over(w).isNull())
+    rows = ordered.neighbours(scores, by, [at, "event_id"], mark)
+    return rows.withColumn("changed", F.coalesce(F.col(mark) != F.col("before"), F.lit(False))).withColumnRenamed("last", "is_current").drop("before")
 
 
 def exclusion_report(decompose: DataFrame, confirmed: DataFrame) -> DataFrame:

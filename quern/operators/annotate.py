@@ -157,7 +157,7 @@ def salience(segments: DataFrame) -> DataFrame:
     c = F.col("ocr_confidence")
     new = F.when(c < 0.60, "excluded").when(c < 0.80, "supporting")
     wins = new.isNotNull() & (new != F.col("salience_tier"))
-    signal = F.struct(F.lit("ocr_confidence").alias("kind"), new.alias("implied_tier"), F.lit(True).alias("won"))
+    signal = F.struct(F.when(F.col("ocr_confidence") < 0.60, "ocr_confidence_floor").otherwise("ocr_confidence_warn").alias("kind"), new.alias("implied_tier"), F.lit(True).alias("won"))
     signals = F.when(wins, F.array_append(F.transform("salience_signals", lambda s: F.struct(s["kind"].alias("kind"), s["implied_tier"].alias("implied_tier"), F.lit(False).alias("won"))), signal)).otherwise(F.col("salience_signals"))
     return segments.withColumn("salience_signals", signals).withColumn("salience_tier", F.when(wins, new).otherwise(F.col("salience_tier")))
 

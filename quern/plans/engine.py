@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import annotate, build, decompose, dedup, html, lifecycle, retrieval, segments, serve, stats, vectors
+from quern.operators import annotate, build, decompose, dedup, families, html, lifecycle, retrieval, segments, serve, stats, vectors
 from quern.plans import documents as _documents  # noqa: F401  registers boilerplate_blocks, whose SQL is used below
-from quern.plans.documents import EDGES, sql_base32
+from quern.plans.documents import COMPONENTS, EDGES, sql_base32
 from quern.plans.pages import SPACED
 from quern.plans.planning import _points
 from quern.plans.registry import QUERIES, SQL, query
@@ -173,7 +173,7 @@ def bucket_merge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Newer and more rows for one table, then toxic documents out of both in one commit."""
     held = buckets.BucketStore(docs.sparkSession, scratch(docs.sparkSession, "buckets"))
     rows = docs.select("doc_id", "n_chars", F.lit(1).alias("version"))
-    held.begin().create("live", rows, "doc_id", "version").create("previous", rows.where("doc_id % 2 = 0"), "doc_id", "version").commit()
+    held.begin().create("live", rows, "doc_id", "version", buckets=8).create("previous", rows.where("doc_id % 2 = 0"), "doc_id", "version", buckets=8).commit()
     newer = docs.where("lang = 'de'").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"), F.lit(2).alias("version"))
     more = docs.where("doc_id % 10 = 0").select(F.col("doc_id") + 1000000, "n_chars", F.lit(1))
     held.begin().upsert("live", newer.union(more)).commit()
@@ -181,6 +181,15 @@ def bucket_merge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return held.read("live").select(F.lit("live").alias("kept"), "*").unionByName(held.read("previous").select(F.lit("previous").alias("kept"), "*"))
 
 
+@query("families_kept", "documents", f"WITH RECURSIVE {COMPONENTS} SELECT node AS doc_id, label FROM label")
+def families_kept(docs: DataFrame) -> DataFrame:
+    """Families after three batches, the last of which brings copies of known texts under smaller ids."""
+    kept = families.Families(docs.sparkSession, scratch(docs.sparkSession, "families"), buckets=4)
+    for i in (2, 1, 0):
+        kept.add(docs.where(F.col("doc_id") % 3 == i))
+    return kept.read()
+
+
 @query("segment_cache", "documents labels", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS hit FROM documents")
 def segment_cache(docs: DataFrame, labels: DataFrame) -> DataFrame:
     hits, rest = store.cached(labels.select("doc_id"), docs.select("doc_id"), ["doc_id"])

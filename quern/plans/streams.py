@@ -9,11 +9,17 @@ from quern.session import table
 from quern.streaming import limits
 
 RATE = 0.0005
+BURST = 4000
+#: Event after event of each user, by recursion: what is in the bucket, and whether the event passes.
+BUCKETS = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+b AS (SELECT user_id, event_id, t, i, {RATE * BURST}::DOUBLE AS held FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.event_id, e.t, e.i, least({RATE * BURST}::DOUBLE, CASE WHEN b.held >= 1 THEN b.held - 1 ELSE b.held END + (e.t - b.t) * {RATE}::DOUBLE) FROM b JOIN e ON e.user_id IS NOT DISTINCT FROM b.user_id AND e.i = b.i + 1)
+SELECT event_id, user_id, held >= 1 AS allowed FROM b"""
 
 
-@query("token_bucket", "events")
+@query("token_bucket", "events", BUCKETS)
 def token_bucket(events: DataFrame) -> DataFrame:
-    return limits.token_bucket_batch(events, RATE, 4000)
+    return limits.token_bucket_batch(events, RATE, BURST)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +28,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limits.drain(spark, limits.token_bucket(_stream(spark, sf_dir), RATE, 4000), "bucket")
+    return limits.drain(spark, limits.token_bucket(_stream(spark, sf_dir), RATE, BURST), "bucket")
 
 
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +36,6 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["stream_token_bucket"] = stream_token_bucket
+SQL["stream_token_bucket"] = BUCKETS
 QUERIES["stream_ledger"] = stream_ledger
 SQL["stream_ledger"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, sum(value::DECIMAL(18,6))::DOUBLE AS cost, count(*) AS n FROM events GROUP BY 1, 2"

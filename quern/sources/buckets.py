@@ -37,7 +37,7 @@ class Layout:
     by: str
     buckets: int = 64
     schema: dict | None = None
-    files: dict[str, str] = field(default_factory=dict)
+    files: dict[str, list[str]] = field(default_factory=dict)
 
 
 class BucketStore:
@@ -59,7 +59,7 @@ class BucketStore:
 
     def _rows(self, layout: Layout, only: list[int] | None = None) -> DataFrame:
         schema = StructType.fromJson(layout.schema)
-        files = [f for b, f in layout.files.items() if only is None or int(b) in only]
+        files = [f for b, own in layout.files.items() if only is None or int(b) in only for f in own]
         return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
 
     def begin(self) -> Change:
@@ -72,7 +72,7 @@ class BucketStore:
             if not state:
                 break
             about = json.loads(read_text(self.spark, f"{self.root}/states/{state}.json"))
-            named |= {f for t in about["tables"].values() for f in t["files"].values()}
+            named |= {f for t in about["tables"].values() for own in t["files"].values() for f in own}
             state = about["before"]
         gone = 0
         p, fs = _fs(self.spark, f"{self.root}/data")
@@ -113,6 +113,15 @@ class Change:
         touched = self._touched(gone, t)
         return self._write(t, self.store._rows(t, touched).join(gone, t.by, "left_anti"), touched)
 
+    def append(self, table: str, rows: DataFrame) -> Change:
+        """More rows beside those that are there, whatever their keys; nothing is read or written anew."""
+        return self._write(self.tables[table], rows, [])
+
+    def touched(self, table: str, rows: DataFrame) -> DataFrame:
+        """The table's rows in those buckets that ``rows`` fall into."""
+        t = self.tables[table]
+        return self.store._rows(t, self._touched(rows, t))
+
     def _touched(self, rows: DataFrame, t: Layout) -> list[int]:
         return [r[0] for r in rows.select(self._bucket(t).alias("b")).distinct().collect()]
 
@@ -128,8 +137,8 @@ class Change:
         made = {s.getPath().getName().removeprefix("bucket=") for s in fs.listStatus(p) if s.isDirectory()}
         for b in map(str, touched):
             t.files.pop(b, None)
-            if b in made:
-                t.files[b] = f"{out}/bucket={b}"
+        for b in made:
+            t.files.setdefault(b, []).append(f"{out}/bucket={b}")
         self.rewritten += len(touched)
         return self
 

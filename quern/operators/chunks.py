@@ -41,11 +41,11 @@ class Words:
         return max(0, bisect.bisect_left(self.starts, b) - bisect.bisect_right(self.ends, a))
 
 
-def windows(text: str, most: int, overlap: int) -> list[tuple[int, int, int]]:
+def windows(text: str, most: int, overlap: int, words: Words | None = None) -> list[tuple[int, int, int]]:
     """(start, end, words) of chunks that cover the text; each next one steps back by the overlap's share."""
     if most <= 0 or not 0 <= overlap < most:
         raise ValueError("needs 0 <= overlap < most words")
-    words, n, at, out = Words(text), len(text), 0, []
+    words, n, at, out = words or Words(text), len(text), 0, []
     while True:
         left = words.count(at, n)
         if left <= most:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import PY_SPACE
 from quern.functions.text import word_count as words
-from quern.operators import annotate, control, retrieval, stats
+from quern.operators import annotate, control, retrieval, stats, sweep
 from quern.plans.annotations import _script, _vote
 from quern.plans.registry import QUERIES, SQL, query
 from quern.session import table
@@ -153,6 +153,13 @@ def _scores(embeddings: DataFrame) -> DataFrame:
     return embeddings.groupBy(F.col("label").alias("candidate")).agg(at(1).alias("recall"), at(2).alias("precision"))
 
 
+@query("sweep_costs", "documents", """WITH w AS (SELECT sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::BIGINT AS n FROM documents)
+SELECT unnest([0, 1, 2])::INT AS candidate, n AS tokens FROM w""")
+def sweep_costs(docs: DataFrame) -> DataFrame:
+    """Settings without overlap cut the same words; the texts are read once for all of them."""
+    return sweep.costs(sweep.cut(docs, [sweep.Setting(n, 0) for n in (64, 256, 1024)])).select("candidate", "tokens")
+
+
 @query("sweep_rank", "embeddings", f"""WITH s AS ({SCORES}), r AS (SELECT recall AS r0, precision AS p0 FROM s WHERE candidate = 0), d AS (SELECT candidate, round(recall - r0, 6) AS d_recall, round(precision - p0, 6) AS d_precision FROM s, r),
 o AS (SELECT *, row_number() OVER (ORDER BY d_recall DESC, d_precision DESC, candidate)::INT AS place, max(d_recall) OVER () <= 0.02 AS near_optimal FROM d)
 SELECT *, CASE WHEN near_optimal THEN candidate = 0 ELSE place = 1 END AS winner FROM o""")

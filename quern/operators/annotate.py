@@ -173,9 +173,11 @@ def tier(kind: Column) -> Column:
 
 
 def invisible_flags(segments: DataFrame, pages: DataFrame) -> DataFrame:
-    """Kinds of invisible content on any page of a segment: a join by page, so that no range is compared pairwise."""
+    """Kinds of invisible content on any page of a segment, in the order of their first pages: a join by page, so that no range is compared pairwise."""
     on = segments.select("doc_id", "segment_id", F.explode(F.sequence("page_start", "page_end")).alias("page"))
-    hits = on.join(pages, ["doc_id", "page"]).groupBy("doc_id", "segment_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("flags"))
+    first = on.join(pages, ["doc_id", "page"]).groupBy("doc_id", "segment_id", "kind").agg(F.min("page").alias("page"))
+    kinds = F.transform(F.sort_array(F.collect_list(F.struct("page", "kind"))), lambda x: x["kind"])
+    hits = first.groupBy("doc_id", "segment_id").agg(F.array_join(kinds, ",").alias("flags"))
     return segments.join(hits, ["doc_id", "segment_id"], "left").select("doc_id", "segment_id", F.coalesce("flags", F.lit("")).alias("flags"))
 
 

@@ -331,7 +331,7 @@ def region_segments(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 @query("invisible_flags", "documents", """WITH s AS (SELECT doc_id, 1 + doc_id % 5 AS a, 1 + doc_id % 5 + doc_id % 3 AS b FROM documents), p AS (SELECT doc_id, unnest([1, 3, 6]) AS page, unnest(['white_text', 'tiny_font', 'off_page']) AS kind FROM documents WHERE doc_id % 2 = 0)
-SELECT s.doc_id, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS flags FROM s LEFT JOIN p ON p.doc_id = s.doc_id AND page BETWEEN a AND b GROUP BY 1""")
+SELECT s.doc_id, coalesce(string_agg(kind, ',' ORDER BY page), '') AS flags FROM s LEFT JOIN p ON p.doc_id = s.doc_id AND page BETWEEN a AND b GROUP BY 1""")
 def invisible_flags(docs: DataFrame) -> DataFrame:
     i = F.col("doc_id")
     own = docs.select("doc_id", F.lit("s").alias("segment_id"), (1 + i % 5).alias("page_start"), (1 + i % 5 + i % 3).alias("page_end"))

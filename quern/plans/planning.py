@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import PY_SPACE
 from quern.functions.text import word_count as words
-from quern.operators import annotate, control, retrieval, stats, sweep
+from quern.operators import annotate, control, retrieval, schedules, stats, sweep
 from quern.plans.annotations import _script, _vote
 from quern.plans.registry import QUERIES, SQL, query
 from quern.session import table
@@ -160,6 +160,21 @@ def sweep_costs(docs: DataFrame) -> DataFrame:
     return sweep.costs(sweep.cut(docs, [sweep.Setting(n, 0) for n in (64, 256, 1024)])).select("candidate", "tokens")
 
 
+CRONS = ["*/15 * * * *", "0 3 * * *", "30 2 * * 1-5", "0 0 1 * *", "15 6,18 1-7 * mon", "5 4 29 2 *"]
+# What each of these means, minute by minute of the years to come.
+_WHEN = ["minute(m) % 15 = 0", "hour(m) = 3 AND minute(m) = 0", "hour(m) = 2 AND minute(m) = 30 AND dayofweek(m) BETWEEN 1 AND 5", "day(m) = 1 AND hour(m) = 0 AND minute(m) = 0",
+         "hour(m) IN (6, 18) AND minute(m) = 15 AND (day(m) <= 7 OR dayofweek(m) = 1)", "month(m) = 2 AND day(m) = 29 AND hour(m) = 4 AND minute(m) = 5"]
+
+
+@query("next_runs", "events", f"""WITH m AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2028-03-01', INTERVAL 1 MINUTE)) AS m),
+w AS ({' UNION ALL '.join(f'SELECT {i} AS c, m FROM m WHERE {w}' for i, w in enumerate(_WHEN))}), e AS (SELECT event_id, event_id % 6 AS c, ts FROM events)
+SELECT event_id, w.m AS next_run FROM e ASOF JOIN w ON w.c = e.c AND w.m > e.ts""")
+def next_runs(events: DataFrame) -> DataFrame:
+    """Events stand for the last run of a schedule each."""
+    cron = F.element_at(F.array(*map(F.lit, CRONS)), (F.col("event_id") % len(CRONS) + 1).cast("int"))
+    return events.select("event_id", schedules.next_time(schedules.parsed(cron), F.col("ts")).cast("timestamp").alias("next_run"))
+
+
 @query("sweep_rank", "embeddings", f"""WITH s AS ({SCORES}), r AS (SELECT recall AS r0, precision AS p0 FROM s WHERE candidate = 0), d AS (SELECT candidate, round(recall - r0, 6) AS d_recall, round(precision - p0, 6) AS d_precision FROM s, r),
 o AS (SELECT *, row_number() OVER (ORDER BY d_recall DESC, d_precision DESC, candidate)::INT AS place, max(d_recall) OVER () <= 0.02 AS near_optimal FROM d)
 SELECT *, CASE WHEN near_optimal THEN candidate = 0 ELSE place = 1 END AS winner FROM o""")

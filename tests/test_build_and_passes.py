@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import build, chunks, decompose, segments, serve
+from quern.plans.catalog import QUERIES
 from quern.sources.store import ArtifactError
 
 SEGMENT = "doc_id long, segment_id string, segment_type string, salience_tier string, text string"
@@ -149,3 +152,9 @@ def test_damaged_payloads_count_where_they_are_kept(spark):
     bare, states = serve.retrieve(serve.Collection("kb1", points.limit(0)), asked, who)
     assert bare.count() == 0 and {r["status"] for r in states.collect()} == {"no_matches"}
     assert states.select(F.sum("n_candidates")).first()[0] == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_planted_references_end_in_all_states(spark):
+    states = {r["status"]: r["count"] for r in QUERIES["xrefs"](spark, "/root/testdata/sf0.001").groupBy("status").count().collect()}
+    assert set(states) == {"resolved", "ambiguous", "unresolved"} and len(set(states.values())) == 1

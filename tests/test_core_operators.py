@@ -84,7 +84,7 @@ def test_keys_and_headings(spark):
 def test_invisible_flags(spark):
     seg = spark.createDataFrame([("d", "s1", 1, 3), ("d", "s2", 4, 4)], "doc_id string, segment_id string, page_start int, page_end int")
     pages = spark.createDataFrame([("d", 2, "white_text"), ("d", 3, "tiny_font"), ("d", 3, "white_text")], "doc_id string, page int, kind string")
-    assert {r["segment_id"]: r["flags"] for r in annotate.invisible_flags(seg, pages).collect()} == {"s1": "tiny_font,white_text", "s2": ""}
+    assert {r["segment_id"]: r["flags"] for r in annotate.invisible_flags(seg, pages).collect()} == {"s1": "white_text,tiny_font", "s2": ""}
 
 
 def test_html_regions():

@@ -15,8 +15,8 @@ from quern.plans.documents import COMPONENTS, EDGES, sql_base32
 from quern.plans.pages import SPACED
 from quern.plans.planning import _points
 from quern.plans.registry import QUERIES, SQL, query
-from quern.session import scratch, table
-from quern.sources import buckets, connectors, files, store, tree
+from quern.session import materialize, scratch, table
+from quern.sources import buckets, connectors, files, merkle, store, tree
 
 
 def pick(i: Column, values: list[str]) -> Column:
@@ -161,6 +161,42 @@ SQL |= {
     "export_roundtrip": "SELECT doc_id, sha256(text) AS digest FROM documents",
 }
 
+# Leaves of the documents, and the levels of their tree; deeper than five only beyond sixteen million rows.
+LEAVES = """n AS (SELECT count(*) AS n FROM leaf), d AS (SELECT min(k) AS d FROM range(0, 6) t(k), n WHERE pow(16, k + 1) >= n)"""
+_LEAF = """SELECT name, sha256(coalesce(sha256(name), '-') || coalesce(content, '-') || copies) AS leaf FROM (SELECT {name} AS name, sha256(text) AS content, count(*) AS copies FROM documents GROUP BY 1, 2)"""
+_LEVELS = ",\n".join(f"n{k} AS (SELECT left(p, {k}) AS prefix, sha256(string_agg(p, '' ORDER BY p)) AS digest FROM (SELECT leaf AS p FROM leaf, d WHERE d = {k}" + (f" UNION ALL SELECT prefix || digest FROM n{k + 1}" if k < 5 else "") + ") GROUP BY 1)" for k in range(5, -1, -1))
+
+
+@query("merkle_nodes", "documents", f"WITH leaf AS ({_LEAF.format(name='doc_id::VARCHAR')}), {LEAVES}, {_LEVELS} SELECT prefix, digest FROM (" + " UNION ALL ".join(f"SELECT * FROM n{k}" for k in range(6)) + ")")
+def merkle_nodes(docs: DataFrame) -> DataFrame:
+    found = materialize(merkle.leaves(docs.select("doc_id", F.sha2("text", 256).alias("content")), "doc_id", "content"), "merkle-leaves")
+    return merkle.nodes(found, merkle.depth(found.count()))
+
+
+@query("merkle_diff", "documents", """SELECT DISTINCT doc_id::VARCHAR AS name, CASE WHEN doc_id % 10 = 3 THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE doc_id % 10 = 3 OR lang = 'de' AND text IS NOT NULL
+UNION ALL SELECT DISTINCT 'new ' || doc_id, 'extra' FROM documents WHERE doc_id % 10 = 7""")
+def merkle_diff(docs: DataFrame) -> DataFrame:
+    """A later state lacks some documents, has copies of others under new names, and German texts have changed."""
+    rows = docs.select(F.col("doc_id").cast("string").alias("name"), "doc_id", "lang", "text")
+    later = rows.where("doc_id % 10 <> 3").withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    later = later.unionByName(rows.where("doc_id % 10 = 7").withColumn("name", F.concat(F.lit("new "), "name")))
+    before, after = (materialize(merkle.leaves(t.select("name", F.sha2("text", 256).alias("content")), "name", "content"), "merkle-leaves") for t in (rows, later))
+    return merkle.diff(before, after, merkle.depth(before.count()))
+
+
+def sealed_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export whose manifest is a hash tree; what is read back is read only if every file is as it was."""
+    out = scratch(spark, "sealed")
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.option("maxRecordsPerFile", 500).json(f"{out}/chunks")
+    top = merkle.seal(spark, out, {"kb": "k"})
+    if merkle.audit(spark, out, top).count():
+        raise ValueError("the export does not match its manifest")
+    return spark.read.schema("doc_id long, text string").json(f"{out}/chunks").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+QUERIES["sealed_export"] = sealed_export
+SQL["sealed_export"] = SQL["export_roundtrip"]
+
 
 @query("delete_by_document", "documents labels", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def delete_by_document(docs: DataFrame, labels: DataFrame) -> DataFrame:

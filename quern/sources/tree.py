@@ -89,11 +89,16 @@ def files_below(spark: SparkSession, root: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each file: path within the folder, size, time, hash, ids, media type, routing and status."""
-    listed = files_below(spark, root)
+def hashed(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """Listed files with the hashes of their contents, written once."""
+    ship(spark)
     n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
     tasks = max(1, -(-n // FILES), -(-size // BYTES))
-    hashed = materialize(listed.repartition(tasks).mapInArrow(lambda b: _hash(b, root), "path string, size_bytes long, modified_ns long, status string, content_hash string"), "tree-hashes")
-    named = hashed.select(F.col("path").alias("source_path"), "size_bytes", F.timestamp_micros(F.floor(F.col("modified_ns") / 1000)).alias("source_modified_at"), "content_hash", F.when(F.col("content_hash").isNotNull(), ids.document_id(F.col("content_hash"))).alias("document_id"))
+    return materialize(listed.repartition(tasks).mapInArrow(lambda b: _hash(b, root), "path string, size_bytes long, modified_ns long, status string, content_hash string"), "tree-hashes")
+
+
+def inventory(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each file: path within the folder, size, time, hash, ids, media type, routing and status."""
+    found = hashed(spark, root, files_below(spark, root))
+    named = found.select(F.col("path").alias("source_path"), "size_bytes", F.timestamp_micros(F.floor(F.col("modified_ns") / 1000)).alias("source_modified_at"), "content_hash", F.when(F.col("content_hash").isNotNull(), ids.document_id(F.col("content_hash"))).alias("document_id"))
     return describe(named).withColumn("status", F.when(F.col("content_hash").isNull(), "unreadable").otherwise("collected"))

@@ -17,8 +17,8 @@ def class_stats(rows: DataFrame, by: str, tokens: Column) -> DataFrame:
     """Count, extremes, mean and exclusive quantiles of token counts by class.
 
     Values travel as a histogram (count per class and length), which combines before it moves, so a class
-    of a third of all rows brings only its distinct lengths together. Below four values quantiles are the
-    maximum.
+    of a third of all rows brings only its distinct lengths together. Below four values quantiles but the
+    median are the maximum.
     """
     hist = rows.select(F.col(by), tokens.alias("v")).groupBy(by, "v").agg(F.count(F.lit(1)).alias("c"))
     ranked = hist.withColumn("s", F.sum("c").over(Window.partitionBy(by).orderBy("v"))).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
@@ -29,8 +29,9 @@ def class_stats(rows: DataFrame, by: str, tokens: Column) -> DataFrame:
 
     def quantile(k: str, p: float) -> Column:
         low, high = F.col(f"{k}_0").cast("double"), F.col(f"{k}_1").cast("double")
-        value = low + (F.lit(p) * (F.col("n") + 1) - place[k]) * (high - low)
-        return F.round(F.when(F.col("n") < 4, F.col("most").cast("double")).otherwise(value), 6).alias(k)
+        value = F.coalesce(low + (F.lit(p) * (F.col("n") + 1) - place[k]) * (high - low), low)
+        few = (F.col("n") < 4) & F.lit(k != "median_tokens")
+        return F.round(F.when(few, F.col("most").cast("double")).otherwise(value), 6).alias(k)
 
     return per.select(by, F.col("n").alias("segment_count"), F.col("least").alias("min_tokens"), F.col("most").alias("max_tokens"), F.round(F.col("total") / F.col("n"), 6).alias("mean_tokens"), *(quantile(k, p) for k, p in marks.items()))
 

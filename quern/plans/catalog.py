@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import annotations, documents, engine, pages, planning, streams  # noqa: F401
+from quern.plans import annotations, documents, engine, pages, planning, reports, streams  # noqa: F401
 from quern.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -16,7 +16,7 @@ COUNT = f"len(regexp_extract_all(text, '[^{PY_SPACE}]+'))"
 
 
 def _sql_stats(by: str) -> str:
-    q = lambda p: f"round(CASE WHEN n < 4 THEN most::DOUBLE ELSE v[j{p}] + ({p / 100}::DOUBLE * (n + 1) - j{p}) * (v[j{p} + 1] - v[j{p}]) END, 6)"
+    q = lambda p: f"round(CASE WHEN n < {1 if p == 50 else 4} THEN most::DOUBLE WHEN n = 1 THEN v[1] ELSE v[j{p}] + ({p / 100}::DOUBLE * (n + 1) - j{p}) * (v[j{p} + 1] - v[j{p}]) END, 6)"
     j = ", ".join(f"greatest(1, least(floor({p / 100}::DOUBLE * (n + 1))::INT, n - 1))::INT AS j{p}" for p in (50, 75, 90, 95))
     return f"""st AS (SELECT {by}, n AS segment_count, least AS min_tokens, most AS max_tokens, mean AS mean_tokens, {q(50)} AS median_tokens, {q(75)} AS p75_tokens, {q(90)} AS p90_tokens, {q(95)} AS p95_tokens
 FROM (SELECT *, {j} FROM (SELECT {by}, count(*) AS n, min(t) AS least, max(t) AS most, round(sum(t) / count(*), 6) AS mean, list_sort(list(t::DOUBLE)) AS v FROM (SELECT {by}, {COUNT} AS t FROM documents) GROUP BY 1)))"""

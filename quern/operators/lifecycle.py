@@ -104,8 +104,8 @@ class Refused(RuntimeError):
 
 
 def promote(store: Collections, alias: str, shadow: str, on: str, replayed: bool = True, **about) -> list[tuple[str, str]]:
-    """Gates, then the pointer; again with the same table it changes nothing. A restore must have had its tombstones."""
-    if not replayed:
+    """Gates, then the pointer; again with the same table it changes nothing. A restore must have had its tombstones, by its mark and by the caller's word."""
+    if not replayed or store.awaits_replay(shadow):
         raise Refused("tombstones of the restored table are still to be replayed")
     results = gates(by_class(store.read(shadow), on) if store.exists(shadow) else None, **about)
     if any(s == "failed" for _, s in results):
@@ -119,6 +119,8 @@ def rollback(store: Collections, alias: str, models: set[str], model_of: Callabl
     before = store.record(alias).get("previous")
     if not before or not store.exists(before):
         raise Refused("there is nothing to go back to")
+    if store.awaits_replay(before):
+        raise Refused(f"tombstones of {before} are still to be replayed")
     if model_of(before) not in models:
         raise Refused(f"the model of {before} is not available")
     store.point(alias, before)

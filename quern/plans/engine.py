@@ -146,6 +146,20 @@ def snapshot_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.read("v3")
 
 
+def restored_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot is restored as it was; it goes live only as the table that its tombstones leave of it."""
+    held, docs = store.Collections(spark, scratch(spark, "collections")), table(spark, sf_dir, "documents").select("doc_id", "source")
+    held.write("v1", docs)
+    held.snapshot("v1", "cold")
+    held.restore_raw("cold", "v2")
+    try:
+        lifecycle.promote(held, "kb", "v2", "source")
+    except lifecycle.Refused:
+        held.replay("v2", "v3", table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
+        lifecycle.promote(held, "kb", "v3", "source")
+    return held.read(held.resolve("kb"))
+
+
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "export")
     store.export(table(spark, sf_dir, "documents").select("doc_id", "text"), out, {"kb": "k"}, per_file=500)
@@ -154,10 +168,11 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("doc_id long, text string").json(f"{out}/chunks").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-QUERIES |= {"artifact_roundtrip": artifact_roundtrip, "snapshot_restore": snapshot_restore, "export_roundtrip": export_roundtrip}
+QUERIES |= {"artifact_roundtrip": artifact_roundtrip, "snapshot_restore": snapshot_restore, "restored_live": restored_live, "export_roundtrip": export_roundtrip}
 SQL |= {
     "artifact_roundtrip": "SELECT doc_id, lang, n_chars FROM documents",
     "snapshot_restore": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "restored_live": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "export_roundtrip": "SELECT doc_id, sha256(text) AS digest FROM documents",
 }
 

@@ -116,6 +116,8 @@ class Collections:
     def remove(self, name: str) -> None:
         p, fs = _fs(self.spark, self.path(name))
         fs.delete(p, True)
+        p, fs = _fs(self.spark, self._mark(name))
+        fs.delete(p, False)
 
     def point(self, alias: str, name: str, **about: object) -> None:
         """Create or move a pointer; the one before it is remembered."""
@@ -145,6 +147,26 @@ class Collections:
         """A snapshot as a new table, with every tombstone since replayed before anyone can read it."""
         self.write(name, delete_documents(self.spark.read.parquet(f"{self.root}/snapshots/{label}"), tombstones, key))
 
+    def restore_raw(self, label: str, name: str) -> None:
+        """A snapshot as a new table as it was; it may not go live, as its mark says, which stands before the table does."""
+        if self.exists(name):
+            raise ArtifactError(f"there is a table {name}")
+        write_text(self.spark, self._mark(name), json.dumps({"restored_from": label}))
+        self.write(name, self.spark.read.parquet(f"{self.root}/snapshots/{label}"))
+
+    def replay(self, name: str, into: str, tombstones: DataFrame, key: str = "doc_id") -> int:
+        """A restored table as a new one without what was deleted since; how many documents that were. The old one keeps its mark."""
+        held = self.read(name)
+        gone = held.join(tombstones.select(key).distinct(), key, "left_semi").select(key).distinct().count()
+        self.write(into, delete_documents(held, tombstones, key))
+        return gone
+
+    def awaits_replay(self, name: str) -> bool:
+        return exists(self.spark, self._mark(name))
+
+    def _mark(self, name: str) -> str:
+        return f"{self.root}/unreplayed/{name}.json"
+
 
 def export(points: DataFrame, out: str, about: dict, extras: dict[str, str] | None = None, per_file: int = 10_000) -> DataFrame:
     """Chunks as JSON lines of bounded files, the configuration beside them, and a manifest of every file's SHA-256.

@@ -238,3 +238,26 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         scratch_root(type("Session", (), {"conf": Conf, "sparkContext": Context}))
+
+
+def test_a_restored_table_goes_live_only_after_its_tombstones(spark):
+    held = store.Collections(spark, scratch(spark, "c"))
+    held.write("v1", spark.createDataFrame([(i % 6, "a") for i in range(12)], "doc_id long, kind string"))
+    held.snapshot("v1", "cold")
+    held.restore_raw("cold", "v2")
+    assert held.awaits_replay("v2") and not held.awaits_replay("v1") and held.count("v2") == 12
+    with pytest.raises(lifecycle.Refused):
+        lifecycle.promote(held, "kb", "v2", "kind")
+    with pytest.raises(store.ArtifactError):
+        held.restore_raw("cold", "v1")
+    gone = spark.createDataFrame([(2,), (2,), (5,), (99,)], "doc_id long")
+    assert held.replay("v2", "v3", gone) == 2 and sorted({r[0] for r in held.read("v3").select("doc_id").collect()}) == [0, 1, 3, 4]
+    lifecycle.promote(held, "kb", "v3", "kind")
+    assert held.resolve("kb") == "v3" and held.awaits_replay("v2")
+    # No way back to what still awaits its tombstones; a mark goes with its table.
+    held.point("other", "v2")
+    held.point("other", "v1")
+    with pytest.raises(lifecycle.Refused):
+        lifecycle.rollback(held, "other", {"m"}, lambda _: "m")
+    held.remove("v2")
+    assert not held.awaits_replay("v2") and not held.exists("v2")

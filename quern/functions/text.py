@@ -32,6 +32,13 @@ def shingles(tokens: Column, n: int = 5) -> Column:
     return F.when(F.size(tokens) < n, none).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))))
 
 
+def shingle_hashes(tokens: Column, n: int = 5) -> Column:
+    """64-bit hashes of the distinct runs of n tokens: of the hashes of their tokens, so that no run is written out as a string."""
+    none = F.array().cast("array<long>")
+    runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(*(F.element_at(h, i + k) for k in range(n))))
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: F.when(F.size(h) < n, none).otherwise(F.array_distinct(runs(h))))
+
+
 def normal_block(text: Column) -> Column:
     """Lower-cased, white space collapsed and trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), f"[{PY_SPACE}]+", " "))

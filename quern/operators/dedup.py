@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import ids, text
-from quern.session import materialize, ship
+from quern.session import batch_bytes, materialize, ship, tidy
 
+#: Rows of one partition where these are held together.
+ROWS = 1_000_000
 #: Rows of one key that meet in one cell, of each side; documents of one block when pairs are compared.
 HOT, BLOCK = 1000, 512
 SHINGLE = 5
@@ -50,7 +52,7 @@ def shingle_counts(docs: DataFrame) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n and the hashed shingle set of documents of enough characters (empty below five tokens)."""
-    s = text.let(text.ascii_tokens(F.col("text")), lambda t: F.transform(text.shingles(t, SHINGLE), lambda x: F.xxhash64(x)))
+    s = text.shingle_hashes(text.ascii_tokens(F.col("text")), SHINGLE)
     sets = docs.where(F.length("text") >= min_chars).select("doc_id", s.alias("s"))
     return sets.select("doc_id", F.size("s").alias("n"), "s")
 
@@ -69,55 +71,118 @@ def meetings(rows: DataFrame, key: str, n: str, more: Callable[[str, str], Colum
     return a.join(b, same & more("a", "b")).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
 
 
-def _common(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """Sizes of the intersections and unions of a cell's pairs; each set is there once."""
-    held = {d: np.sort(np.array(s, np.int64)) for d, s in zip(sets.column("doc_id").to_pylist(), sets.column("s").to_pylist(), strict=True)}
-    a, b = pairs.column("doc_a").to_pylist(), pairs.column("doc_b").to_pylist()
-    both = [len(np.intersect1d(held[x], held[y], assume_unique=True)) for x, y in zip(a, b, strict=True)]
-    total = [len(held[x]) + len(held[y]) - c for x, y, c in zip(a, b, both, strict=True)]
-    return pa.table({"doc_a": pa.array(a, pa.int64()), "doc_b": pa.array(b, pa.int64()), "common": pa.array(both, pa.int64()), "total": pa.array(total, pa.int64())})
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of the intersections and unions of pairs; a cell's sets come before its pairs, each once, and go when the next cell begins."""
+    cell, held = None, {}
+    for batch in batches:
+        x, y, a, b = (batch.column(i).to_pylist() for i in range(4))
+        at, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
+        rows = []
+        for i, now in enumerate(zip(x, y, strict=True)):
+            if now != cell:
+                cell, held = now, {}
+            if b[i] is None:
+                held[a[i]] = flat[at[i] : at[i + 1]]
+                continue
+            u, v = held[a[i]], held[b[i]]
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            rows.append((a[i], b[i], both, len(u) + len(v) - both))
+        c = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in c], names=["doc_a", "doc_b", "common", "total"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """doc_a, doc_b, common, total and jaccard of the pairs that reach the threshold.
 
     Documents are dealt into blocks; a pair of blocks that has candidates is a cell, which gets one copy of each of
-    its sets, however many pairs it is in.
+    its sets, however many pairs it is in. Cells follow each other in sorted partitions, so a cell of one pair costs no call of its own.
     """
-    ship(sets.sparkSession)
+    spark = sets.sparkSession
+    ship(spark)
+    batch_bytes(spark)
     pairs = materialize(pairs, "candidate-pairs")
     blocks = max(1, -(-sets.count() // BLOCK))
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     dealt = pairs.withColumn("x", of("doc_a")).withColumn("y", of("doc_b"))
-    needed = dealt.select(F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct().join(sets.select("doc_id", "s"), "doc_id")
-    scored = dealt.groupBy("x", "y").cogroup(needed.groupBy("u", "v")).applyInArrow(_common, "doc_a long, doc_b long, common long, total long")
+    needed = dealt.select("x", "y", F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct().join(sets.select("doc_id", "s"), "doc_id")
+    none = F.lit(None).cast
+    rows = needed.select("x", "y", F.col("doc_id").alias("doc_a"), none("long").alias("doc_b"), "s").unionByName(dealt.select("x", "y", "doc_a", "doc_b", none("array<long>").alias("s")))
+    scored = rows.repartition("x", "y").sortWithinPartitions("x", "y", "doc_b").mapInArrow(_common, "doc_a long, doc_b long, common long, total long")
     return scored.where(F.col("common") >= F.lit(threshold) * F.col("total")).withColumn("jaccard", F.round(F.col("common") / F.col("total"), 6))
 
 
 def edges(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs of distinct texts with Jaccard >= threshold, by exact prefix and position filters.
+    """Pairs of distinct texts with Jaccard >= threshold, by exact prefix and position filters. Sets are compared by 64-bit hashes of shingles."""
+    sets = materialize(shingle_sets(primaries(docs).select("doc_id", "text"), min_chars), "shingle-sets")
+    return verified(candidates(sets, threshold), sets, threshold)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """The columns of a partition's rows."""
+    held = [b for b in batches if b.num_rows]
+    return [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(held[0].num_columns)] if held else []
+
+
+def _batches(names: list[str], columns: list[np.ndarray], keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(keep), 100_000):
+        k = keep[a : a + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in columns], names=names)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, doc_id, n) with the number of documents of their shingle (df), where that is more than one; what is held is one partition of about ``ROWS``."""
+    if columns := _held(batches):
+        order = np.argsort(columns[0])
+        h, d, n = (x[order] for x in columns)
+        times = np.diff(np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]))
+        df = np.repeat(times, times)
+        yield from _batches(["h", "doc_id", "n", "df"], [h, d, n, df], np.flatnonzero(df > 1))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """What is left of each document's prefix after the shingles that no other has, rarest first, and how many of its shingles are still to follow."""
+    if columns := _held(batches):
+        h, d, n, df = columns
+        order = np.lexsort((h, df, d))
+        h, d, n, df = (x[order] for x in (h, d, n.astype(np.int64), df))
+        starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        size = np.diff(np.r_[starts, len(d)])
+        at, alone = np.arange(len(d)) - np.repeat(starts, size), n - np.repeat(size, size)
+        keep = np.flatnonzero(at < n - np.ceil(threshold * n).astype(np.int64) + 1 - alone)
+        yield from _batches(["h", "doc_id", "n", "rest"], [h, d, n.astype(np.int32), (n - alone - at).astype(np.int32)], keep)
+
+
+def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """doc_a < doc_b of every pair of sets (doc_id, n, s) whose Jaccard may reach the threshold.
 
     Shingles stand in order of how many documents have them. A document whose prefix (its rarest n - ceil(t n) + 1
     shingles) lies in no other has no partner. Others send the rest of their prefix to the join; a pair meets where the
-    sizes, and what can still follow the place at which both have a shingle, allow the threshold. Sets are compared by
-    64-bit hashes of shingles.
+    sizes, and what can still follow the place at which both have a shingle, allow the threshold. Shingles move once,
+    to be counted where they meet, and only those that more than one document has move on to their documents.
     """
-    sets = materialize(shingle_sets(primaries(docs).select("doc_id", "text"), min_chars), "shingle-sets")
-    rows = sets.select("doc_id", "n", F.explode("s").alias("h"))
-    df = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    per = rows.join(df, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
-    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1
-    alone = F.col("n") - F.size("shared")
-    left = F.greatest(F.lit(0), prefix - alone)
-    asked = per.select("doc_id", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.least(left, F.size("shared")))).alias("at", "x"))
-    asked = materialize(asked.select("doc_id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), "x.h", "x.df"), "prefixes")
+    ship(sets.sparkSession)
+    parts = max(1, -(-sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // ROWS))
+    rows = sets.select(F.explode("s").alias("h"), "doc_id", "n").repartition(parts, "h").mapInArrow(tidy(_shared), "h long, doc_id long, n int, df long")
+    asked = materialize(rows.repartition(parts, "doc_id").mapInArrow(tidy(lambda b: _prefixes(b, threshold)), "h long, doc_id long, n int, rest int"), "prefixes")
 
     def may(a: str, b: str) -> Column:
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
         return (F.least(na, nb) >= threshold * F.greatest(na, nb)) & (F.least(f"{a}.rest", f"{b}.rest") * (1 + threshold) >= threshold * (na + nb) - 1e-6)
 
     # The first place at which two documents meet allows all that they share; later ones may be refused.
-    return verified(meetings(asked, "h", "df", may), sets, threshold)
+    return meetings(first_of_equals(asked), "h", "times", may)
+
+
+def first_of_equals(asked: DataFrame) -> DataFrame:
+    """Rows (h, doc_id, n, rest) of one shingle for each set of documents that have it, with the number of these (times).
+
+    Near copies share hundreds of shingles, and would meet at each. Of shingles in the same documents the one at which most is
+    still to follow stays; sets of documents are compared by their number and two sums of hashes. Shingles of one document go.
+    """
+    sums = [F.sum(F.shiftright(h, 22)).alias(f"sum{i}") for i, h in enumerate((F.xxhash64("doc_id"), F.xxhash64(F.lit(1), "doc_id")))]
+    by = asked.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.sum("rest").alias("rest"), *sums).where("times > 1")
+    first = by.groupBy("times", "sum0", "sum1").agg(F.max_by("h", F.struct("rest", "h")).alias("h")).select("h", "times")
+    return materialize(asked.join(first, "h"), "meeting-prefixes")
 
 
 def components(links: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:

@@ -71,3 +71,9 @@ def test_membership_has_a_row_for_each_document(docs):
         by.setdefault(r["label"], set()).add(r["node"])
     assert sum(map(len, by.values())) == rows.count() and all(min(m) == k for k, m in by.items())
     assert {r["doc_a"] for r in links.collect()} <= set().union(*by.values())
+
+
+def test_shingles_of_the_same_documents_meet_once(spark):
+    rows = [(h, d, 300, 300 - h) for h in range(100) for d in range(20)] + [(500, d, 300, 9) for d in range(5)] + [(600, 1, 300, 300)]
+    first = dedup.first_of_equals(spark.createDataFrame(rows, "h long, doc_id long, n int, rest int")).collect()
+    assert {(r["h"], r["times"]) for r in first} == {(0, 20), (500, 5)} and len(first) == 25

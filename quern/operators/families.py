@@ -2,7 +2,8 @@
 
 A text is known by its content hash. Stored are its set of shingles, the postings of its prefix, the edges found and its
 family's label, in one ``BucketStore``, so a batch is there whole or not at all. Prefixes follow the order of the
-shingles' hashes, which no later text can change; so postings are only ever added to. A batch reads the buckets of
+shingles' hashes, but the most frequent shingles of the first batch, which are stored too, come last: a line that a tenth of
+all texts have would else bring each two of them together. No later text changes that order; so postings are only ever added to. A batch reads the buckets of
 postings that its own prefixes fall into, compares sets of candidate pairs, and joins families: each family that
 a new edge touches is one node of a small graph, and only members of families whose label falls are written anew.
 
@@ -14,14 +15,60 @@ fewer than five tokens, is in no family; a null text is none; a batch that is ad
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import ids
 from quern.operators import dedup
-from quern.session import materialize
+from quern.session import batch_bytes, discard, materialize, ship, tidy
 from quern.sources.buckets import BucketStore
 
+#: Frequent shingles that stand last in prefixes, at most, and the share of documents (one in so many) that tells them.
+COMMON, SHARE = 65_536, 8
+
+
+def common(sets: DataFrame) -> list[int]:
+    """Shingles that very many sets (id, s) have, rarest first: they stand last in the order of prefixes.
+
+    Every order gives the same pairs, so frequencies come from one document in ``SHARE``, and no more than ``COMMON`` shingles are kept.
+    """
+    seen = sets.where(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0).select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return [r["h"] for r in seen.where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()][::-1]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The first shingles of each set in order of hashes, those of ``last`` after all others, and how many are still to follow."""
+    turn = np.argsort(last)
+    known = last[turn]
+    for batch in batches:
+        sets = batch.column(1)
+        at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        ids, own, n, rest = [], [np.empty(0, np.int64)], [], [np.empty(0, np.int32)]
+        for i, a, b in zip(range(batch.num_rows), at[:-1], at[1:], strict=True):
+            s = np.sort(flat[a:b])
+            k = len(s) - int(np.ceil(threshold * len(s))) + 1 if len(s) else 0
+            place = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+            hot = known[place] == s if len(known) else np.zeros(len(s), bool)
+            s = np.concatenate([s[~hot], last[np.sort(turn[place[hot]])]])[:k]
+            ids.append(np.full(len(s), i))
+            own.append(s)
+            n.append(np.full(len(s), b - a, np.int32))
+            rest.append((b - a - np.arange(len(s))).astype(np.int32))
+        taken = batch.column(0).take(pa.array(np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), taken, pa.array(np.concatenate([np.empty(0, np.int32), *n])), pa.array(np.concatenate(rest))], names=["h", "id", "n", "rest"])
+
+
+def prefixes(sets: DataFrame, threshold: float, last: list[int]) -> DataFrame:
+    """h, id, n and rest of the n - ceil(t n) + 1 first shingles of every set: two sets that reach the threshold share one of theirs."""
+    ship(sets.sparkSession)
+    batch_bytes(sets.sparkSession)
+    late = np.array(last, np.int64)
+    return sets.select("id", "s").mapInArrow(tidy(lambda b: _prefixes(b, threshold, late)), "h long, id long, n int, rest int")
+
 
 class Families:
     """Families below ``root``."""
@@ -50,8 +97,8 @@ class Families:
         sized = dedup.shingle_sets(fresh.select(F.col("node").alias("doc_id"), "text"), self.min_chars).where("n > 0")
         # Sets are compared under numbers: the first 15 digits of the content hash.
         sets = materialize(sized.select(F.conv(F.substring("doc_id", 1, 15), 16, 10).cast("long").alias("id"), "n", F.sort_array("s").alias("s"), F.col("doc_id").alias("node")), "families-sets")
-        length = F.col("n") - F.ceil(F.lit(self.threshold) * F.col("n")).cast("int") + 1
-        posted = materialize(sets.select("id", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("at", "h")).select("h", "id", "n", (F.col("n") - F.col("at")).alias("rest")), "families-postings")
+        discard(own)
+        posted = materialize(prefixes(sets, self.threshold, self._last(change, sets)), "families-postings")
         links = materialize(self._links(change, posted, sets), "families-links")
         change.append("sets", sets).append("postings", posted).append("edges", links)
 
@@ -67,14 +114,27 @@ class Families:
         come = ends.join(labels.select("id"), "id", "left_anti").join(moved, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
         change.upsert("members", fall.unionByName(come).select("id", "label", F.lit(last).cast("long").alias("batch")))
         change.commit()
-        return moved.count()
+        n = moved.count()
+        discard(sets, posted, links, ends, moved)
+        return n
+
+    def _last(self, change, sets: DataFrame) -> list[int]:
+        """The stored frequent shingles, rarest first; of a store with texts but without such a table none."""
+        if "common" in change.tables:
+            return [r["h"] for r in self.store.read("common").orderBy("turn").collect()]
+        if change.tables["sets"].files or not sets.limit(1).count():
+            return []
+        last = common(sets)
+        change.create("common", self.store.spark.createDataFrame(list(zip(last, range(len(last)), strict=True)), "h long, turn long"), "h", "turn", buckets=1)
+        return last
 
     def _links(self, change, posted: DataFrame, sets: DataFrame) -> DataFrame:
         t = self.threshold
         stored = change.touched("postings", posted)
         every = posted.select("h", "id", "n", "rest", F.lit(True).alias("fresh")).unionByName(stored.select("h", "id", "n", "rest", F.lit(False).alias("fresh")))
-        times = every.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-        rows = materialize(every.join(times, "h").withColumnRenamed("id", "doc_id"), "families-meeting")
+        times = every.groupBy("h").agg(F.count(F.lit(1)).alias("n_rows"), F.max("fresh").alias("new")).where("n_rows > 1 AND new").select("h")
+        met = materialize(every.join(times, "h").withColumnRenamed("id", "doc_id"), "families-meeting")
+        rows = dedup.first_of_equals(met)
 
         def may(a: str, b: str):
             na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -83,8 +143,10 @@ class Families:
 
         pairs = materialize(dedup.meetings(rows, "h", "times", may), "families-pairs")
         asked = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("id")).distinct()
-        both = sets.select("id", "s").unionByName(self.store.read("sets").select("id", "s").join(asked, "id", "left_semi"))
-        found = dedup.verified(pairs, materialize(both.select(F.col("id").alias("doc_id"), "s"), "families-compared"), t)
+        both = sets.select("id", "s").unionByName(self.store.read("sets").select("id", "s")).join(asked, "id", "left_semi")
+        compared = materialize(both.select(F.col("id").alias("doc_id"), "s"), "families-compared")
+        found = materialize(dedup.verified(pairs, compared, t), "families-found")
+        discard(met, rows, pairs, compared)
         return found.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "jaccard")
 
     def read(self) -> DataFrame:

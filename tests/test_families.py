@@ -35,3 +35,20 @@ def test_families_equal_a_full_run_after_every_batch(spark):
         assert got == whole(spark.createDataFrame([r for r in seen if r[1] is not None], "doc_id long, text string")) and len(got) > 10
     assert kept.add(spark.createDataFrame(rows[:40], "doc_id long, text string")) == 0
     assert {r["doc_id"]: r["label"] for r in kept.read().collect()} == got and kept.read().count() == len(got)
+
+
+def test_a_line_of_very_many_texts_brings_no_two_of_them_together(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = " ".join(word() for _ in range(12))
+    texts = [f"{' '.join(word() for _ in range(30))} {line}" for _ in range(400)]
+    rows = [*enumerate(texts), *((1000 + i, f"{t} more") for i, t in enumerate(texts[:20]))]
+    met, meetings = [], dedup.meetings
+    monkeypatch.setattr(dedup, "meetings", lambda *a: met.append(meetings(*a)) or met[-1])
+    kept = families.Families(spark, scratch(spark, "families"), buckets=2)
+    n = []
+    verified = dedup.verified
+    monkeypatch.setattr(dedup, "verified", lambda pairs, *a: n.append(pairs.count()) or verified(pairs, *a))
+    for batch in (rows[:200], rows[200:]):
+        kept.add(spark.createDataFrame(batch, "doc_id long, text string"))
+    assert sum(n) < 500 and {r["doc_id"]: r["label"] for r in kept.read().collect()} == whole(spark.createDataFrame(rows, "doc_id long, text string"))

@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quern.session import scratch, ship
 
 BURST = 10
+#: Rows of one frame that a bucket gives.
+FRAME = 10_000
 
 
 def refill(tokens: float, last: float | None, now: float, rate: float, capacity: float) -> tuple[float, bool]:
@@ -24,24 +26,30 @@ def refill(tokens: float, last: float | None, now: float, rate: float, capacity:
 
 def _bucket(rate: float, capacity: float):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """A user's events of a batch come in several frames in any order: they are taken in the order of their times all the same, as two numbers each."""
         tokens, last = state.get if state.exists else (capacity, None)
-        for frame in frames:
-            frame = frame.sort_values(["ts", "event_id"])
-            ok = []
-            for now in (frame["ts"].astype("int64") / 1e9 if frame["ts"].dtype.str.endswith("[ns]") else frame["ts"].map(lambda x: x.timestamp())):
+        rows = pd.concat([f[["t", "event_id"]] for f in frames]).sort_values(["t", "event_id"])
+        for a in range(0, len(rows), FRAME):
+            own, ok = rows.iloc[a : a + FRAME], []
+            for now in own["t"].tolist():
                 tokens, passes = refill(tokens, last, now, rate, capacity)
                 last = now
                 ok.append(passes)
-            state.update((tokens, last))
-            yield pd.DataFrame({"event_id": frame["event_id"], "user_id": key[0], "allowed": ok})
+            yield pd.DataFrame({"event_id": own["event_id"], "user_id": key[0], "allowed": ok})
+        state.update((tokens, last))
 
     return step
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Events with their time in seconds, computed alike in stream and batch."""
+    return events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+
+
 def token_bucket(events: DataFrame, rate: float, burst: int = BURST) -> DataFrame:
     """Streaming limiter: one bucket per user, starting full."""
     step = _bucket(rate, rate * burst)
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    return _timed(events).groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def _fold(batches: Iterator[pa.RecordBatch], rate: float, capacity: float) -> Iterator[pa.RecordBatch]:
@@ -62,8 +70,7 @@ def token_bucket_batch(events: DataFrame, rate: float, burst: int = BURST) -> Da
     """The same in one pass. A user's events are taken in order by one task, as they must be, but never held together."""
     ship(events.sparkSession)
     capacity = float(rate * burst)
-    rows = events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
+    ordered = _timed(events).repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
     return ordered.mapInArrow(lambda b: _fold(b, rate, capacity), "event_id long, user_id long, allowed boolean")
 
 

@@ -174,3 +174,21 @@ def test_topk_takes_any_number_of_queries(spark, monkeypatch, same):
     monkeypatch.setattr(retrieval, "MOST_QUERIES", 16)
     dealt = sorted(map(tuple, retrieval.topk(points, queries, 5, same).select("query_id", "rank", "point_id", "score").collect()))
     assert len(whole) == 300 and dealt == whole
+
+
+def test_a_streamed_bucket_takes_events_in_order_across_frames(spark, tmp_path):
+    """Frames of seven rows, so that users' events come in several, in no order."""
+    from quern.plans.catalog import QUERIES
+
+    rows = [(i * 7919 % 300, i * 7919 % 300 // 3 * 1000 + u) for i in range(300) for u in range(3)]
+    events = spark.createDataFrame(rows, "at long, event_id long").selectExpr("event_id", "event_id % 1000 as user_id", "timestamp_micros(at * 400000000 + 123457) as ts").dropDuplicates(["event_id"])
+    events.repartition(1).write.parquet(str(tmp_path / "events.parquet"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        got = {(r["event_id"], r["allowed"]) for r in QUERIES["stream_token_bucket"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    want = {(r["event_id"], r["allowed"]) for r in QUERIES["token_bucket"](spark, str(tmp_path)).collect()}
+    assert got == want and {ok for _, ok in got} == {True, False}

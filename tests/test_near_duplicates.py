@@ -77,3 +77,10 @@ def test_shingles_of_the_same_documents_meet_once(spark):
     rows = [(h, d, 300, 300 - h) for h in range(100) for d in range(20)] + [(500, d, 300, 9) for d in range(5)] + [(600, 1, 300, 300)]
     first = dedup.first_of_equals(spark.createDataFrame(rows, "h long, doc_id long, n int, rest int")).collect()
     assert {(r["h"], r["times"]) for r in first} == {(0, 20), (500, 5)} and len(first) == 25
+
+
+def test_pairs_that_agree_in_no_band_are_found_too(docs):
+    sets = dedup.shingle_sets(dedup.primaries(docs).select("doc_id", "text"))
+    want = brute({r["doc_id"]: set(r["s"]) for r in sets.collect()}, 0.5)
+    rows = serve.minhash_neighbours(sets, 0.5, bands=1, rows=6).collect()
+    assert {(r["doc_a"], r["doc_b"]) for r in rows} == set(want) and len(rows) == len(want)

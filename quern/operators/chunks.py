@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import ids
-from quern.session import batch_bytes, ship
+from quern.session import batch_bytes, ship, tidy
 
+#: Bytes of texts that a worker cuts at once.
+BATCH = 1 << 20
 # Separators in order of preference.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 # Names of languages, and how a line that starts a unit of code begins in each.
@@ -100,8 +102,9 @@ def chunk(docs: DataFrame, most: int = 512, overlap: int = 64, strategy: str = "
     """Chunks of every whole text; no shuffle. Only code has a strategy of its own."""
     windows("", most, overlap)
     ship(docs.sparkSession)
+    batch_bytes(docs.sparkSession, BATCH)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(lambda b: _chunks(b, most, overlap, strategy, language), "doc_id long, chunk_index int, char_start long, char_end long, text string, token_count long")
+    return rows.mapInArrow(tidy(lambda b: (yield from _chunks(b, most, overlap, strategy, language))), "doc_id long, chunk_index int, char_start long, char_end long, text string, token_count long")
 
 
 #: What a row may say about how its text is cut.
@@ -116,7 +119,7 @@ def by_rule(rows: DataFrame, rule: str = "rule") -> DataFrame:
     languages like other text without overlap.
     """
     ship(rows.sparkSession)
-    batch_bytes(rows.sparkSession)
+    batch_bytes(rows.sparkSession, BATCH)
     rest = [f for f in rows.schema.fields if f.name not in ("text", rule)]
     known = rows.schema[rule].dataType.names
     own = [F.col(f"{rule}.{n}").cast(t).alias(f"_{n}") if n in known else F.lit("unknown").alias(f"_{n}") for n, t in RULE.items()]
@@ -135,7 +138,7 @@ def by_rule(rows: DataFrame, rule: str = "rule") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(x, t) for x, t in zip(c, kinds, strict=True))], names=[*taken.schema.names, "chunk_index", "char_start", "char_end", "text", "token_count"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return rows.select(*(f.name for f in rest), "text", *own).mapInArrow(cut, f"{fields}, {CUT}" if fields else CUT)
+    return rows.select(*(f.name for f in rest), "text", *own).mapInArrow(tidy(cut), f"{fields}, {CUT}" if fields else CUT)
 
 
 def with_ids(chunks: DataFrame, content: DataFrame, config: str, path: Column) -> DataFrame:

@@ -192,3 +192,16 @@ def test_a_streamed_bucket_takes_events_in_order_across_frames(spark, tmp_path):
         spark.conf.set(key, before)
     want = {(r["event_id"], r["allowed"]) for r in QUERIES["token_bucket"](spark, str(tmp_path)).collect()}
     assert got == want and {ok for _, ok in got} == {True, False}
+
+
+def test_texts_are_cut_in_batches_of_bounded_bytes(spark):
+    from quern.operators import chunks
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(64 << 20))
+    try:
+        rows = chunks.chunk(spark.createDataFrame([(1, "a b c. d e"), (2, None)], "doc_id long, text string"), 3, 1).collect()
+        assert int(spark.conf.get(key)) == chunks.BATCH and {r["doc_id"] for r in rows} == {1, 2}
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

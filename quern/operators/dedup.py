@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +18,9 @@ from quern.session import batch_bytes, materialize, ship, tidy
 ROWS = 1_000_000
 #: Rows of one key that meet in one cell, of each side; documents of one block when pairs are compared.
 HOT, BLOCK = 1000, 512
+#: Buckets that blocks are counted in first: far more than a text's blocks times twenty. Characters of known blocks that tasks are given.
+BUCKETS, KNOWN_CHARS = 1 << 16, 16 << 20
+PARAGRAPHS = re.compile(r"\n\s*\n+", re.ASCII)
 SHINGLE = 5
 THRESHOLD = 0.5
 MIN_CHARS = 50
@@ -231,27 +236,65 @@ def roles(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return named.select("doc_id", role.alias("dedup_role"))
 
 
-def blocks(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """doc_id, block and kind of every paragraph and every line, normalised."""
-    paragraphs = docs.select("doc_id", F.explode(F.filter(F.transform(F.split("text", r"\n\s*\n+", -1), lambda p: text.strip(p)), lambda p: p != "")).alias("p"))
-    whole = paragraphs.select("doc_id", F.lit("paragraph").alias("kind"), text.normal_block(F.col("p")).alias("block"))
-    lines = paragraphs.where(F.col("p").contains("\n")).select("doc_id", F.lit("line").alias("kind"), F.explode(F.split("p", "\n", -1)).alias("l")).select("doc_id", "kind", text.normal_block(F.col("l")).alias("block"))
-    return whole.unionByName(lines).where(F.length("block") >= min_chars)
+def _blocks(lowered: str, min_chars: int) -> dict[str, int]:
+    """Every paragraph and every line of a lower-cased text, white space collapsed and trimmed, with how often it is a paragraph."""
+    found: dict[str, int] = {}
+    for p in PARAGRAPHS.split(lowered):
+        block = " ".join(p.split())
+        if len(block) >= min_chars:
+            found[block] = found.get(block, 0) + 1
+        if "\n" in (p := p.strip()):
+            for line in p.split("\n"):
+                block = " ".join(line.split())
+                if len(block) >= min_chars:
+                    found.setdefault(block, 0)
+    return found
 
 
-def boilerplate(docs: DataFrame, fraction: float = 0.30, small_fraction: float = 0.50, small: int = 10, min_total: int = 3, floor: float = 0.05) -> DataFrame:
+def _bucket(block: str) -> int:
+    return zlib.crc32(block.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def _crowds(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+    """A partition's texts by the buckets that their blocks fall into."""
+    times = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for t in batch.column(1):
+            if t.is_valid:
+                times[list({_bucket(b) for b in _blocks(t.as_py(), min_chars)})] += 1
+    at = np.flatnonzero(times)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(times[at])], names=["bucket", "n"])
+
+
+def _crowded(batches: Iterator[pa.RecordBatch], min_chars: int, hot: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """(id, block, as_paragraph) of the blocks in some buckets."""
+    for batch in batches:
+        rows = [(i, b, n) for i, t in enumerate(batch.column(1)) if t.is_valid for b, n in _blocks(t.as_py(), min_chars).items() if _bucket(b) in hot]
+        at, block, n = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(block, pa.string()), pa.array(n, pa.int64())], names=["doc_id", "block", "as_paragraph"])
+
+
+def boilerplate(docs: DataFrame, fraction: float = 0.30, small_fraction: float = 0.50, small: int = 10, min_total: int = 3, floor: float = 0.05, min_chars: int = 20) -> DataFrame:
     """Blocks in a large share of distinct texts, or repeated at least thrice in at least a twentieth.
 
-    Rows combine per document and block first; the number of documents is one literal.
+    No block lies in more texts than its bucket, so those of buckets in too few texts are not looked at again; the
+    others are counted exactly, combined per document first. The number of documents is one literal.
     """
-    one = materialize(primaries(docs).select("doc_id", "text"), "distinct-texts")
+    spark = docs.sparkSession
+    ship(spark)
+    batch_bytes(spark)
+    one = materialize(primaries(docs).select("doc_id", F.lower("text").alias("text")), "distinct-texts")
     n = one.count()
     least = small_fraction if n < small else fraction
-    per = blocks(one).groupBy("block", "doc_id").agg(F.sum((F.col("kind") == "paragraph").cast("long")).alias("as_paragraph"))
+    share = lambda times: F.col(times) / F.lit(n)
+    crowds = one.mapInArrow(tidy(lambda b: _crowds(b, min_chars)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(share("n") >= min(least, floor))
+    hot = frozenset(r["bucket"] for r in crowds.collect())  # BUCKETS at most
+    kind = one.schema["doc_id"].dataType.simpleString()
+    found = one.mapInArrow(tidy(lambda b: _crowded(b, min_chars, hot)), f"doc_id {kind}, block string, as_paragraph long") if hot else spark.createDataFrame([], f"doc_id {kind}, block string, as_paragraph long")
+    per = found.groupBy("block", "doc_id").agg(F.sum("as_paragraph").alias("as_paragraph"))
     by = per.groupBy("block").agg(F.count(F.lit(1)).alias("doc_count"), (F.count(F.lit(1)) + F.sum(F.greatest(F.col("as_paragraph") - 1, F.lit(0)))).alias("total_count"))
-    share = F.col("doc_count") / F.lit(n)
-    keep = (F.lit(n) >= 2) & ((share > least) | ((F.col("total_count") >= min_total) & (share >= floor)))
-    return by.where(keep).select("block", "doc_count", "total_count", F.round(share, 6).alias("doc_fraction"))
+    keep = (F.lit(n) >= 2) & ((share("doc_count") > least) | ((F.col("total_count") >= min_total) & (share("doc_count") >= floor)))
+    return by.where(keep).select("block", "doc_count", "total_count", F.round(share("doc_count"), 6).alias("doc_fraction"))
 
 
 def boilerplate_documents(docs: DataFrame, known: DataFrame, least_lines: int = 3, share: float = 0.70) -> DataFrame:

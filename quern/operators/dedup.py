@@ -297,13 +297,44 @@ def boilerplate(docs: DataFrame, fraction: float = 0.30, small_fraction: float =
     return by.where(keep).select("block", "doc_count", "total_count", F.round(share("doc_count"), 6).alias("doc_fraction"))
 
 
+def _hits(batches: Iterator[pa.RecordBatch], known: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """(id, lines that are not blank, known ones among them, whether the whole is known) of lower-cased texts."""
+    for batch in batches:
+        rows = []
+        for t in batch.column(1).to_pylist():
+            lines = [x for l in (t or "").split("\n") if (x := " ".join(l.split()))]
+            rows.append((len(lines), sum(x in known for x in lines), " ".join(lines) in known))
+        n, k, whole = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(whole, pa.bool_())], names=["id", "n", "k", "whole"])
+
+
+def known_lines(texts: DataFrame, id_col: str, known: DataFrame) -> DataFrame:
+    """Lines that are not blank (n), known blocks among them (k) and whether the whole text is one, by id; texts without such lines give no row.
+
+    Known blocks go to the tasks while they are short together; beyond that lines are joined with them.
+    """
+    spark = texts.sparkSession
+    ship(spark)
+    batch_bytes(spark)
+    known = materialize(known.select("block").distinct(), "known-blocks")
+    lowered = texts.select(id_col, F.lower("text").alias("text"))
+    if known.agg(F.coalesce(F.sum(F.length("block") + 64), F.lit(0))).first()[0] <= KNOWN_CHARS:
+        held = frozenset(r["block"] for r in known.collect())
+        rows = lowered.mapInArrow(lambda b: _hits(b, held), f"id {texts.schema[id_col].dataType.simpleString()}, n long, k long, whole boolean").where("n > 0")
+    else:
+        hit = known.withColumn("hit", F.lit(1))
+        normal = lowered.select(F.col(id_col).alias("id"), F.explode(F.split("text", "\n", -1)).alias("l")).select("id", text.normal_block(F.col("l")).alias("block")).where("block <> ''")
+        whole = lowered.select(F.col(id_col).alias("id"), text.normal_block(F.col("text")).alias("block")).join(known, "block", "left_semi")
+        lines = normal.join(hit, "block", "left").select("id", F.lit(1).alias("n"), F.coalesce("hit", F.lit(0)).alias("k"), F.lit(False).alias("whole"))
+        rows = lines.unionByName(whole.select("id", F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(True).alias("whole")))
+    return rows.groupBy(F.col("id").alias(id_col)).agg(F.sum("n").cast("long").alias("n"), F.sum("k").cast("long").alias("k"), F.max("whole").alias("whole"))
+
+
 def boilerplate_documents(docs: DataFrame, known: DataFrame, least_lines: int = 3, share: float = 0.70) -> DataFrame:
     """Lines per document that are boilerplate blocks, and whether the text counts as boilerplate.
 
     ``known`` is bounded: a block must lie in a twentieth of all texts, so there are at most twenty times
-    a text's blocks of them; Spark broadcasts it only below its size threshold.
+    a text's blocks of them.
     """
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("l")).select("doc_id", text.normal_block(F.col("l")).alias("block")).where("block <> ''")
-    hit = lines.join(known.select("block", F.lit(1).alias("hit")), "block", "left")
-    by = hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_hits"))
-    return by.select("doc_id", "n_lines", F.col("n_hits").cast("long").alias("n_hits"), ((F.col("n_lines") >= least_lines) & (F.col("n_hits") >= share * F.col("n_lines"))).alias("is_boilerplate"))
+    by = known_lines(docs, "doc_id", known)
+    return by.select("doc_id", F.col("n").alias("n_lines"), F.col("k").alias("n_hits"), ((F.col("n") >= least_lines) & (F.col("k") >= share * F.col("n"))).alias("is_boilerplate"))

@@ -71,3 +71,18 @@ def test_boilerplate_is_counted_in_buckets_first(spark, monkeypatch, buckets):
 def test_boilerplate_of_few_or_no_texts(spark):
     one = spark.createDataFrame([(1, "A line that is long enough to count")], DOCS)
     assert dedup.boilerplate(one).count() == 0 and dedup.boilerplate(one.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("chars", [16 << 20, 0])
+def test_lines_meet_known_blocks_without_a_join(spark, monkeypatch, chars):
+    monkeypatch.setattr(dedup, "KNOWN_CHARS", chars)
+    rows = odd_texts(40)
+    known = {"this notice is for all readers", "keep this page to yourself"}
+    got = dedup.boilerplate_documents(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(b,) for b in known], "block string"))
+    n, k = Counter(), Counter()
+    for i, t in rows:
+        for x in (normal(x) for x in (t or "").split("\n")):
+            n[i] += x != ""
+            k[i] += x in known
+    assert {(r.doc_id, r.n_lines, r.n_hits, r.is_boilerplate) for r in got.collect()} == {(i, n[i], k[i], n[i] >= 3 and k[i] >= 0.7 * n[i]) for i in n if n[i]}
+    assert ("Join" in plan(got)) == (chars == 0)

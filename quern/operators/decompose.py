@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions import ids, text
-from quern.operators import annotate, segments
+from quern.functions import ids
+from quern.operators import annotate, dedup, segments
 from quern.session import materialize
 
 # Lines that decide on boilerplate; confidences below which scanned text is left out, or only supports.
@@ -64,21 +64,14 @@ def scanned(found: DataFrame) -> DataFrame:
 
 
 def boilerplate_segments(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Ids of segments whose text is a known block, or of whose three lines or more seven in ten are.
-
-    Texts and lines meet the blocks by a hash of the block and the block itself; only ids come back.
-    """
-    blocks = known.select("block").distinct()
-    whole = found.select("segment_id", text.normal_block(F.col("text")).alias("block")).where("block <> ''").join(blocks, "block", "left_semi").select("segment_id")
-    lines = found.select("segment_id", F.explode(F.filter(F.transform(F.split("text", "\n", -1), lambda p: text.normal_block(p)), lambda p: p != "")).alias("block"))
-    hits = lines.join(blocks.withColumn("known", F.lit(1)), "block", "left").groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("k"))
-    many = hits.where((F.col("n") >= BOILERPLATE_LINES) & (F.col("k") >= BOILERPLATE_SHARE * F.col("n"))).select("segment_id")
-    return whole.unionByName(many).distinct()
+    """Ids of segments whose text is a known block, or of whose three lines or more seven in ten are: one pass over the texts, only ids come back."""
+    hits = dedup.known_lines(found, "segment_id", known)
+    return hits.where(F.col("whole") | ((F.col("n") >= BOILERPLATE_LINES) & (F.col("k") >= BOILERPLATE_SHARE * F.col("n")))).select("segment_id")
 
 
 def retype_boilerplate(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Segments that are boilerplate get its type and tier."""
-    marked = found.join(boilerplate_segments(found, known).withColumn("is_block", F.lit(True)), "segment_id", "left")
+    """Segments that are boilerplate get its type and tier. Their ids are written first, so that few are broadcast."""
+    marked = found.join(materialize(boilerplate_segments(found, known), "boilerplate-segments").withColumn("is_block", F.lit(True)), "segment_id", "left")
     return override(marked, F.col("is_block"), "boilerplate", BLOCK, "boilerplate", F.lit("a block of many documents")).drop("is_block")
 
 

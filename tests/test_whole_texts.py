@@ -86,3 +86,13 @@ def test_lines_meet_known_blocks_without_a_join(spark, monkeypatch, chars):
             k[i] += x in known
     assert {(r.doc_id, r.n_lines, r.n_hits, r.is_boilerplate) for r in got.collect()} == {(i, n[i], k[i], n[i] >= 3 and k[i] >= 0.7 * n[i]) for i in n if n[i]}
     assert ("Join" in plan(got)) == (chars == 0)
+
+
+@pytest.mark.parametrize("chars", [16 << 20, 0])
+def test_segments_meet_known_blocks_without_a_join(spark, monkeypatch, chars):
+    monkeypatch.setattr(dedup, "KNOWN_CHARS", chars)
+    rows = [("a", "Keep  this\nPAGE to yourself"), ("b", "keep this page\nx\ny"), ("c", "one\n\ntwo\none\none"), ("d", "one"), ("e", None), ("f", " \n"), ("g", "one\ntwo\nno")]
+    known = spark.createDataFrame([("keep this page to yourself",), ("one",), ("two",)], "block string")
+    got = decompose.boilerplate_segments(spark.createDataFrame(rows, "segment_id string, text string"), known)
+    assert {r.segment_id for r in got.collect()} == {"a", "c", "d"}
+    assert ("Join" in plan(got)) == (chars == 0)

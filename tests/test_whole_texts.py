@@ -96,3 +96,8 @@ def test_segments_meet_known_blocks_without_a_join(spark, monkeypatch, chars):
     got = decompose.boilerplate_segments(spark.createDataFrame(rows, "segment_id string, text string"), known)
     assert {r.segment_id for r in got.collect()} == {"a", "c", "d"}
     assert ("Join" in plan(got)) == (chars == 0)
+
+
+def test_exclusions_need_no_boilerplate(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "boilerplate", lambda *a, **k: pytest.fail("no block is asked for"))
+    assert __spark_entry__.queries()["region_exclusions"](spark, SF).count() > 0

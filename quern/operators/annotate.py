@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quern.functions import text
 from quern.functions.text import let
+from quern.session import batch_bytes, ship
 
 # Scripts in order of precedence, by character classes, and the share that decides.
 SCRIPTS = [
@@ -17,6 +20,8 @@ SCRIPTS = [
     ("ru", r"[\x{0400}-\x{04ff}]"),
 ]
 SCRIPT_SHARE, SCRIPT_CHARS = 0.30, 500
+#: The first character of any of them.
+SCRIPTS_FROM = "0400"
 
 # Function words by language, in order of precedence; another lexicon may be given instead.
 LEXICON = {
@@ -30,6 +35,7 @@ LEXICON = {
 }
 MIN_WORDS, RATIO = 4, 0.10
 EDGE = r""".,!?;:"'()\-\[\]{}/<>|"""
+EDGE_SIGNS = EDGE.replace("\\", "")
 
 # Injection classes with their weights and patterns (case-blind).
 INJECTION = [
@@ -74,33 +80,35 @@ HINTS = {"code": "code", "list": "list", "figure": "figure_region", "form_field"
 def script(t: Column) -> Column:
     """Language of the script that holds three tenths of the first 500 characters, else null."""
     head = F.substring(t, 1, SCRIPT_CHARS)
-    out = F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    out = none
     for code, pattern in reversed(SCRIPTS):
         out = F.when((F.length(head) > 0) & (F.regexp_count(head, F.lit(pattern)) >= SCRIPT_SHARE * F.length(head)), code).otherwise(out)
-    return out
-
-
-def alpha_tokens(t: Column) -> Column:
-    """Lower-cased words of letters only, after stripping signs from their ends."""
-    words = F.transform(F.split(F.lower(t), f"[{text.PY_SPACE}]+"), lambda w: F.regexp_replace(w, f"^[{EDGE}]+|[{EDGE}]+$", ""))
-    return F.filter(words, lambda w: w.rlike(r"^\p{L}+$"))
+    return F.when(head.rlike(f"[\\x{{{SCRIPTS_FROM}}}-\\x{{10ffff}}]"), out).otherwise(none)
 
 
 def stopword_vote(t: Column, lexicon: dict[str, str] = LEXICON) -> Column:
-    """Language with most distinct function words, if they are a tenth of all words; earlier languages win ties."""
-
-    def body(tokens: Column) -> Column:
-        seen = F.array_distinct(tokens)
-        hits = [F.size(F.array_intersect(seen, F.array(*(F.lit(w) for w in dict.fromkeys(ws.split()))))) for ws in lexicon.values()]
-
-        def best(h: Column) -> Column:
-            top = F.array_max(h)
-            code = F.element_at(F.array(*(F.lit(c) for c in lexicon)), F.array_position(h, top).cast("int"))
-            return F.when((F.size(tokens) >= MIN_WORDS) & (top > 0) & (top >= RATIO * F.size(tokens)), code)
-
-        return let(F.array(*hits), best)
-
-    return let(alpha_tokens(t), body)
+    """Language with most distinct function words, if they are a tenth of all words; earlier languages win ties.
+
+    Words are of letters only, lower-cased, after stripping signs from their ends.
+    """
+    known = {code: frozenset(ws.split()) for code, ws in lexicon.items()}
+
+    def vote(lowered: str) -> str | None:
+        words = [w for x in lowered.split() if (w := x.strip(EDGE_SIGNS)).isalpha()]
+        seen = set(words)
+        top, code = 0, None
+        for c, ws in known.items():
+            if (hits := len(ws & seen)) > top:
+                top, code = hits, c
+        return code if len(words) >= MIN_WORDS and top >= RATIO * len(words) else None
+
+    def votes(lowered: pa.Array) -> pa.Array:
+        return pa.array([vote(x.as_py()) if x.is_valid else None for x in lowered], pa.string())
+
+    ship(SparkSession.active())
+    batch_bytes(SparkSession.active())
+    return F.arrow_udf(votes, StringType())(F.lower(t))
 
 
 def language(t: Column) -> Column:

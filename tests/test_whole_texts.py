@@ -101,3 +101,10 @@ def test_segments_meet_known_blocks_without_a_join(spark, monkeypatch, chars):
 def test_exclusions_need_no_boilerplate(spark, monkeypatch):
     monkeypatch.setattr(dedup, "boilerplate", lambda *a, **k: pytest.fail("no block is asked for"))
     assert __spark_entry__.queries()["region_exclusions"](spark, SF).count() > 0
+
+
+def test_votes_of_function_words(spark):
+    texts = ["The cat (and) the 'dog', of it.", "der, die; das -- und Haus", "the the the the", "one two three four five", "the and of\x1cto", "THE a1 an_x of", None, "", "le la les un il", "İ Σ the and"]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", annotate.stopword_vote(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == ["en", "de", "en", None, "en", None, None, None, "fr", None]
+    assert "array_intersect" not in plan(spark.createDataFrame([("a",)], "t string").select(annotate.language(F.col("t"))))

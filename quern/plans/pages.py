@@ -13,6 +13,7 @@ from quern.functions import text as T
 from quern.operators import chunks as C
 from quern.operators import dedup, html, segments
 from quern.plans.registry import query
+from quern.session import materialize
 
 
 @query("html_regions", "pages")
@@ -59,7 +60,7 @@ def reassembly_digest(docs: DataFrame) -> DataFrame:
 def xrefs(docs: DataFrame) -> DataFrame:
     """References of documents in which every eleventh mentions a section that many segments lie in, one that a single segment has, and one that is not there."""
     planted = F.concat(F.lit("4.2 Setup\n\n"), F.col("text"), F.lit("\n\nThis follows, see section 4.2 for the details.\n\nBut refer to section 9.9 as well.\n\nMore is said, see section 7.3 for all of it.\n\n7.3 Annex"))
-    found = segments.of_documents(docs.withColumn("text", F.when(F.col("doc_id") % 11 == 0, planted).otherwise(F.col("text"))))
+    found = materialize(segments.of_documents(docs.withColumn("text", F.when(F.col("doc_id") % 11 == 0, planted).otherwise(F.col("text")))), "cut-documents")
     return segments.cross_references(segments.candidates(found), found)
 
 

@@ -98,7 +98,7 @@ def test_segments_meet_known_blocks_without_a_join(spark, monkeypatch, chars):
     assert ("Join" in plan(got)) == (chars == 0)
 
 
-@pytest.mark.parametrize("name", ["region_segments", "decompose_segments"])
+@pytest.mark.parametrize("name", ["region_segments", "decompose_segments", "xrefs"])
 def test_texts_are_cut_once(spark, name):
     """What reads the segments reads a written table: no reader cuts the texts again."""
     text = plan(__spark_entry__.queries()[name](spark, SF))

@@ -122,10 +122,34 @@ def edges(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CH
     return verified(candidates(sets, threshold), sets, threshold)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits of which each depends on all of ``x``'s."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _packed(parts: int, key: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Columns of numbers as one row for each part of their keys: what moves are a few long rows, not one for each shingle."""
+    part = (_mixed(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    at = np.flatnonzero(np.diff(part[order], prepend=-1))
+    rows = [pa.array([x.tobytes() for x in np.split(c[order], at[1:])] if len(order) else [], pa.binary()) for c in columns]
+    yield pa.RecordBatch.from_arrays([pa.array(part[order][at]), *rows], names=["part", *NUMBERS[: len(columns)]])
+
+
+#: Columns that move packed, and their kinds.
+NUMBERS, KINDS = ("h", "doc_id", "n", "df"), (np.int64, np.int64, np.int32, np.int64)
+
+
+def _packed_schema(columns: int) -> str:
+    return "part int, " + ", ".join(f"{c} binary" for c in NUMBERS[:columns])
+
+
 def _held(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    """The columns of a partition's rows."""
+    """The columns of a partition's packed rows."""
     held = [b for b in batches if b.num_rows]
-    return [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(held[0].num_columns)] if held else []
+    return [np.concatenate([np.frombuffer(x.as_buffer(), kind) for b in held for x in b.column(i + 1)]) for i, kind in zip(range(held[0].num_columns - 1), KINDS, strict=False)] if held else []
 
 
 def _batches(names: list[str], columns: list[np.ndarray], keep: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -134,14 +158,23 @@ def _batches(names: list[str], columns: list[np.ndarray], keep: np.ndarray) -> I
         yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in columns], names=names)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc_id, n) with the number of documents of their shingle (df), where that is more than one; what is held is one partition of about ``ROWS``."""
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Sets (doc_id, n, s) as packed shingles (h, doc_id, n)."""
+    for batch in batches:
+        if batch.num_rows:
+            n, flat = batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy()
+            yield from _packed(parts, flat, [flat, np.repeat(batch.column(0).to_numpy(), n), np.repeat(n, n)])
+
+
+def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed (h, doc_id, n) with the number of documents of their shingle (df), where that is more than one; what is held is one partition of about ``ROWS``."""
     if columns := _held(batches):
         order = np.argsort(columns[0])
         h, d, n = (x[order] for x in columns)
         times = np.diff(np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]))
         df = np.repeat(times, times)
-        yield from _batches(["h", "doc_id", "n", "df"], [h, d, n, df], np.flatnonzero(df > 1))
+        more = np.flatnonzero(df > 1)
+        yield from _packed(parts, d[more], [h[more], d[more], n[more], df[more]])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -163,12 +196,14 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     Shingles stand in order of how many documents have them. A document whose prefix (its rarest n - ceil(t n) + 1
     shingles) lies in no other has no partner. Others send the rest of their prefix to the join; a pair meets where the
     sizes, and what can still follow the place at which both have a shingle, allow the threshold. Shingles move once,
-    to be counted where they meet, and only those that more than one document has move on to their documents.
+    packed by where they meet, to be counted there, and only those that more than one document has move on to their documents.
     """
     ship(sets.sparkSession)
     parts = max(1, -(-sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // ROWS))
-    rows = sets.select(F.explode("s").alias("h"), "doc_id", "n").repartition(parts, "h").mapInArrow(tidy(_shared), "h long, doc_id long, n int, df long")
-    asked = materialize(rows.repartition(parts, "doc_id").mapInArrow(tidy(lambda b: _prefixes(b, threshold)), "h long, doc_id long, n int, rest int"), "prefixes")
+    batch_bytes(sets.sparkSession)
+    dealt = sets.select(F.col("doc_id").cast("long"), "n", "s").mapInArrow(tidy(lambda b: _dealt(b, parts)), _packed_schema(3))
+    rows = dealt.repartition(parts, "part").mapInArrow(tidy(lambda b: _shared(b, parts)), _packed_schema(4))
+    asked = materialize(rows.repartition(parts, "part").mapInArrow(tidy(lambda b: _prefixes(b, threshold)), "h long, doc_id long, n int, rest int"), "prefixes")
 
     def may(a: str, b: str) -> Column:
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")

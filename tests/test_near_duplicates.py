@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 import random
 
 import pytest
@@ -84,3 +86,17 @@ def test_pairs_that_agree_in_no_band_are_found_too(docs):
     want = brute({r["doc_id"]: set(r["s"]) for r in sets.collect()}, 0.5)
     rows = serve.minhash_neighbours(sets, 0.5, bands=1, rows=6).collect()
     assert {(r["doc_a"], r["doc_b"]) for r in rows} == set(want) and len(rows) == len(want)
+
+
+def test_shingles_move_packed(spark):
+    """A batch's shingles move as one row for each part, and come out as they went in."""
+    sets = [(i, [1, 2**62 + i, -i - 3]) for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets]), pa.array([3] * 500, pa.int32()), pa.array([s for _, s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "s"])
+    packed = list(dedup._dealt(iter([batch, batch.slice(0, 0)]), 7))
+    assert sum(b.num_rows for b in packed) == 7
+    h, d, n = dedup._held(iter(packed))
+    assert sorted(zip(h.tolist(), d.tolist(), strict=True)) == sorted((x, i) for i, s in sets for x in s) and set(n.tolist()) == {3}
+    # Only the shingle that all have goes on to the documents.
+    more = dedup._held(dedup._shared(iter(packed), 3))
+    assert set(more[0].tolist()) == {1} and sorted(more[1].tolist()) == list(range(500)) and set(more[3].tolist()) == {500}
+    assert dedup.candidates(spark.createDataFrame([], "doc_id long, n int, s array<long>"), 0.5).count() == 0

@@ -7,7 +7,8 @@ where earlier ones put it back into the queue.
 
 Beats are combined by job and time slot before they move, so a job with a third of all beats sends its slots. What is kept
 of a job are its open intervals and its last reap: as many as fit between its watermark and its newest beat, whatever the
-number of beats. One timer of a job waits for its first interval to end; when nothing is open and ``forget`` has passed, all of it goes.
+number of beats. Intervals that the watermark has passed go out with the slots that end them; one timer of a job waits for the first that
+it has not passed. When nothing is open and ``forget`` has passed, all of it goes.
 
 Defined cases: beats without a job or a time take no part; equal beats all count; a beat exactly ``timeout`` after the
 last one continues it; late rows are dropped by the watermark and counted in the stream's progress (in slots of a batch); a table
@@ -20,13 +21,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-OUT = "job long, first_beat timestamp, last_beat timestamp, n_beats long, reaped_at timestamp, attempt int, action string"
+# Times are microseconds where Python makes the rows, and timestamps in what is returned.
+OUT = "job long, first_beat long, last_beat long, n_beats long, reaped_at long, attempt int, action string"
+_Reap = Row("job", "first_beat", "last_beat", "n_beats", "reaped_at", "attempt", "action")
 _STATE = "first array<long>, last array<long>, n array<long>, attempt int, before long, timer long"
 
 
@@ -66,55 +68,48 @@ class Reaper(StatefulProcessor):
         self.held = handle.getValueState("held", _STATE)
 
     def _load(self) -> tuple[list[np.ndarray], int, int | None, int | None]:
-        if not self.held.exists():
+        held = self.held.get()
+        if held is None:
             return [np.empty(0, np.int64)] * 3, 0, None, None
-        first, last, n, attempt, before, timer = self.held.get()
+        first, last, n, attempt, before, timer = held
         return [np.asarray(x, np.int64) for x in (first, last, n)], attempt, before, timer
 
-    def _keep(self, open_: list[np.ndarray], attempt: int, before: int | None, timer: int | None) -> None:
-        """Store what is left and wait for its next end, or forget the job when nothing can change any more."""
-        ends = int(open_[1][0]) + self.rule.timeout * 1_000_000 if len(open_[1]) else None if before is None else before + self.rule.forget * 1_000_000
-        at = None if ends is None else ends // 1000
-        if timer is not None and timer != at:
-            self.handle.deleteTimer(timer)
-        if at is not None and timer != at:
-            self.handle.registerTimer(at)
-        self.held.update((*(x.tolist() for x in open_), attempt, before, at))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """A job's slots of a batch come in one call, so what the watermark has passed is reaped at once, without a timer."""
         open_, attempt, before, timer = self._load()
-        frames = [[f[c].to_numpy(np.int64) for c in ("first", "last", "n")] for f in rows]
-        parts = [np.concatenate(x) for x in zip(open_, *frames, strict=True)]
-        self._keep(list(merge(*parts, self.rule.timeout * 1_000_000)), attempt, before, timer)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (first, last, n), attempt, before, _ = self._load()
-        slot = self.rule.slot * 1000
+        slots = np.array([(r["first"], r["last"], r["n"]) for r in rows], np.int64).reshape(-1, 3).T
+        parts = [np.concatenate(x) for x in zip(open_, slots, strict=True)]
+        return self._reap(key[0], merge(*parts, self.rule.timeout * 1_000_000), attempt, before, timer, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        open_, attempt, before, _ = self._load()  # the timer that rings goes by itself
+        return self._reap(key[0], open_, attempt, before, None, timerValues)
+
+    def _reap(self, job: int, intervals, attempt: int, before: int | None, timer: int | None, timerValues) -> Iterator[Row]:
+        """Rows of the intervals that have ended; the rest is stored with a timer for its next end, or the job forgotten when nothing can change any more."""
+        first, last, n = intervals
+        timeout, forget, slot, mark = self.rule.timeout * 1_000_000, self.rule.forget * 1_000_000, self.rule.slot * 1000, timerValues.getCurrentWatermarkInMs()
         # Slots that end after the watermark are still to come.
-        sure = timerValues.getCurrentWatermarkInMs() // slot * slot * 1000
-        ended = int(np.searchsorted(last + self.rule.timeout * 1_000_000, sure, side="left"))
+        sure = mark // slot * slot * 1000
+        ended = int(np.searchsorted(last + timeout, sure, side="left"))
         rows = []
         for a, b, k in zip(first[:ended].tolist(), last[:ended].tolist(), n[:ended].tolist(), strict=True):
-            attempt = 1 if before is None or a - before > self.rule.forget * 1_000_000 else attempt + 1
+            attempt = 1 if before is None or a - before > forget else attempt + 1
             before = b
-            rows.append((key[0], a, b, k, b + self.rule.timeout * 1_000_000, attempt, "failed" if attempt >= self.rule.most else "requeued"))
-        if ended == len(first) and before is not None and before + self.rule.forget * 1_000_000 < sure:
+            rows.append(_Reap(job, a, b, k, b + timeout, attempt, "failed" if attempt >= self.rule.most else "requeued"))
+        at = None
+        if ended < len(first) or before + forget >= sure:
+            # One that is not yet due, so that it does not ring before its slot is whole; what rings at the watermark itself is deleted after its call.
+            at = max((int(last[ended]) + timeout if ended < len(first) else before + forget) // 1000, mark + 1)
+        if timer is not None and timer != at:
+            self.handle.deleteTimer(timer)
+        if at is None:
             self.held.clear()
         else:
-            self._wait([first[ended:], last[ended:], n[ended:]], attempt, before, timerValues)
-        if rows:
-            out = pd.DataFrame(rows, columns=["job", "first_beat", "last_beat", "n_beats", "reaped_at", "attempt", "action"])
-            for c in ("first_beat", "last_beat", "reaped_at"):
-                out[c] = pd.to_datetime(out[c], unit="us")
-            yield out.astype({"attempt": "int32"})
-
-    def _wait(self, open_: list[np.ndarray], attempt: int, before: int | None, timerValues) -> None:
-        """After a timer has gone: a next one that is not yet due, so that it does not ring before its slot is whole."""
-        ends = int(open_[1][0]) + self.rule.timeout * 1_000_000 if len(open_[1]) else before + self.rule.forget * 1_000_000
-        at = max(ends // 1000, timerValues.getCurrentWatermarkInMs())
-        self.handle.registerTimer(at)
-        self.held.update((*(x.tolist() for x in open_), attempt, before, at))
+            if timer != at:
+                self.handle.registerTimer(at)
+            self.held.update((*(x[ended:].tolist() for x in (first, last, n)), attempt, before, at))
+        return iter(rows)
 
     def close(self) -> None:
         pass
@@ -140,7 +135,9 @@ def reaps(beats: DataFrame, job: str, at: str, rule: Rule = Rule()) -> DataFrame
     rocks(beats.sparkSession)
     slots = _slots(beats, job, at).withWatermark("at", f"{rule.late} seconds").groupBy("job", F.window("at", f"{rule.slot} seconds")).agg(*_sums())
     timed = slots.select("job", "first", "last", "n", F.window_time("window").alias("slot_end"))
-    return timed.groupBy("job").transformWithStateInPandas(Reaper(rule), OUT, "append", "eventTime")
+    # Rows, not pandas: a job has few slots in a batch, and a frame for each job costs far more than its rows.
+    made = timed.groupBy("job").transformWithState(Reaper(rule), OUT, "append", "eventTime")
+    return made.withColumns({c: F.timestamp_micros(c) for c in ("first_beat", "last_beat", "reaped_at")})
 
 
 def reaps_batch(beats: DataFrame, job: str, at: str, rule: Rule = Rule()) -> DataFrame:

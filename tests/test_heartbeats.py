@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.session import ship
@@ -80,6 +81,63 @@ def test_rules_that_make_no_sense_stop():
             Rule(**bad)
 
 
+class Held:
+    """The state and timers of one job, and what was asked of them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+
+class Mark:
+    def __init__(self, seconds):
+        self.ms = seconds * 1000
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_what_has_ended_goes_out_with_its_slots():
+    """Each call to the state and each frame costs every job: four calls at most where slots arrive, and no timer that is due already."""
+    slots = lambda *x: iter([Row(job=4, first=a * 10**6, last=b * 10**6, n=n) for a, b, n in x])
+    plain = lambda rows: [(r[0], r[1] // 10**6, r[2] // 10**6, r[3], r[4] // 10**6, *r[5:]) for r in rows]
+    held, job = Held(), heartbeats.Reaper(RULE)
+    job.init(held)
+    got = plain(job.handleInputRows((4,), slots((300, 310, 2), (0, 15, 3), (20, 30, 1), (900, 905, 1)), Mark(930)))
+    assert got == [(4, 0, 30, 4, 90, 1, "requeued"), (4, 300, 310, 2, 370, 2, "failed")]
+    assert held.calls == ["get", "register", "update"] and held.timers == {965_000}
+    held.calls.clear()
+    # Slots that join the open interval; its timer moves.
+    assert plain(job.handleInputRows((4,), slots((940, 950, 1)), Mark(960))) == []
+    assert held.calls == ["get", "delete", "register", "update"] and held.timers == {1_010_000}
+    # The timer rings within a slot: nothing is sure yet, and the next is not due.
+    assert plain(job.handleExpiredTimer((4,), Mark(1015), None)) == [] and max(held.timers) == 1_015_001
+    assert plain(job.handleExpiredTimer((4,), Mark(1040), None)) == [(4, 900, 950, 2, 1010, 3, "failed")] and held.value[4] == 950 * 10**6
+    assert plain(job.handleExpiredTimer((4,), Mark(1600), None)) == [] and held.value is None
+
+
 def test_batch_form_equals_a_walk(spark):
     rnd = random.Random(5)
     beats = [(rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice([None] + [rnd.randrange(0, 6000) + rnd.choice([0, 0.5])] * 20)) for _ in range(700)]
@@ -127,6 +185,15 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert set(plain(spark.read.parquet(str(out)))) == walk(first + [(2, 990), (2, 2000)], RULE)
 
 
+def test_an_interval_that_ends_at_the_watermark_itself_is_reaped(spark, tmp_path):
+    folder, checkpoint, out = tmp_path / "in", tmp_path / "checkpoint", tmp_path / "out"
+    beats = [[(1, 0), (2, 90)], [(2, 5000)]]  # 60 is the first watermark and the end of job 1
+    for i, b in enumerate(beats):
+        put(spark, folder, i, b)
+        run(spark, folder, checkpoint, out)
+    assert set(plain(spark.read.parquet(str(out)))) == walk(sum(beats, []), RULE) and len(walk(sum(beats, []), RULE)) == 2
+
+
 def test_a_silent_job_leaves_no_state(spark, tmp_path):
     folder, checkpoint, out = tmp_path / "in", tmp_path / "checkpoint", tmp_path / "out"
     put(spark, folder, 0, [(1, 0), (2, 100)])

@@ -72,22 +72,32 @@ def scan(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """One row for each file below ``root``: path within it, size, time, hash, ids, media type and routing.
 
     Names and sizes are listed without opening a file. Files that cannot be read stay, with the status
-    ``unreadable`` and no hash.
+    ``unreadable`` and no hash. Contents are hashed in spans (``tree.hashed``) where Arrow opens the file system that the folder
+    lies in; elsewhere Spark reads each file whole, and one over 2 GB stops the job.
     """
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    from quern.sources import tree
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     names = spark.createDataFrame([(n,) for n in reader.load(root).inputFiles()], "file string")
     listed = reader.load(root).select("path", F.col("modificationTime").alias("source_modified_at"), F.col("length").alias("size_bytes"))
-    read = reader.option("ignoreCorruptFiles", "true").load(root).select(F.col("path").alias("read_path"), F.sha2("content", 256).alias("content_hash"))
     inside = F.expr(f"substring(path, {len(base) + 2})")
     # Spark's readers pass over files without a byte: these come back from the list of names.
-    sized = names.join(listed, F.url_decode("file") == F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:///"), "left")
-    bare = F.regexp_replace(F.url_decode("file"), "^([a-z0-9]+):/+", "$1:/")
+    # A list of names has file:///x where paths have file:/x, and both have host and bucket as they are; a plus is no blank.
+    bare = F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "^([A-Za-z0-9+.-]+):///+", "$1:/")
+    sized = names.join(listed, bare == F.col("path"), "left")
     sized = sized.select(F.coalesce("path", bare).alias("path"), "source_modified_at", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"))
-    both = sized.join(read, F.col("path") == F.col("read_path"), "left").withColumn("content_hash", F.when(F.col("size_bytes") == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("content_hash"))).withColumn("source_path", F.regexp_replace(inside, "^/+", ""))
+    own = F.regexp_replace(inside, "^/+", "")
+    if (real := tree.opened_by_arrow(spark, root)) is not None:
+        micros = F.unix_micros("source_modified_at")
+        both = tree.hashed(spark, real, sized.select(own.alias("path"), "size_bytes", (micros * 1000).alias("modified_ns"), F.lit("listed").alias("status")))
+        both = both.withColumnsRenamed({"path": "source_path"}).withColumn("source_modified_at", F.timestamp_micros(F.expr("modified_ns div 1000")))
+    else:
+        read = reader.option("ignoreCorruptFiles", "true").load(root).select(F.col("path").alias("read_path"), F.sha2("content", 256).alias("content_hash"))
+        both = sized.join(read, F.col("path") == F.col("read_path"), "left").withColumn("content_hash", F.when(F.col("size_bytes") == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("content_hash"))).withColumn("source_path", own)
     named = both.select("source_path", "size_bytes", "source_modified_at", "content_hash", F.when(F.col("content_hash").isNotNull(), ids.document_id(F.col("content_hash"))).alias("document_id"))
     return describe(named).withColumn("status", F.when(F.col("content_hash").isNull(), "unreadable").otherwise("collected"))
 

@@ -436,6 +436,28 @@ def test_jaccard_starts_again_with_another_seed(spark, monkeypatch):
     assert sorted(tuple(r) for r in jaccard.join(frame).collect()) == [(1, 4, 1), (2, 4, 1), (3, 1, 3)] and len(seeds) == 2
 
 
+def test_jaccard_keys_are_dealt_in_rounds(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + k) % 997}" for k in range(200)) for i in range(300)]
+    def batches():
+        return iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])
+    held = lambda *turn: [r for b in jaccard._post(batches(), 60, 0, *turn) for r in b.to_pylist()]
+    whole, turns = held(), [held(t, 3) for t in range(3)]
+    size = lambda rows: sum(len(r["keys"]) for r in rows)
+    assert sorted((r["p"], r["keys"]) for t in turns for r in t) == sorted((r["p"], r["keys"]) for r in whole)
+    assert max(map(size, turns)) < size(whole) / 2 and all(r["p"] % 3 == t for t in range(3) for r in turns[t])
+    # Tables above the limit are joined in rounds, with the same rows, and no round's keys stay.
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900 + i, t + " more") for i, t in enumerate(texts[:50])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(tuple(r) for r in jaccard.join(frame).collect())
+    monkeypatch.setattr(jaccard, "LARGE", 0)
+    real, gone, written = jaccard.discard, [], []
+    monkeypatch.setattr(jaccard, "discard", lambda *t: (gone.extend(t), real(*t)))
+    named = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: (written.append(name), named(df, name))[1])
+    assert sorted(tuple(r) for r in jaccard.join(frame).collect()) == want
+    assert written.count("jaccard-shared") == jaccard.ROUNDS and sum("jaccard-shared" in t._written_at for t in gone) == jaccard.ROUNDS
+
+
 def test_jaccard_allocation_covers_budget():
     rng = np.random.default_rng(2)
     for n in (1, 3, 4, 7, 16, 17, 40, 64, 100, 255, 256, 500, 900):

@@ -5,9 +5,11 @@ from __future__ import annotations
 import pyarrow as pa
 
 import random
+import re
 
 import pytest
 
+from quern.functions import shingles
 from quern.operators import dedup, serve
 
 
@@ -100,3 +102,43 @@ def test_shingles_move_packed(spark):
     more = dedup._held(dedup._shared(iter(packed), 3))
     assert set(more[0].tolist()) == {1} and sorted(more[1].tolist()) == list(range(500)) and set(more[3].tolist()) == {500}
     assert dedup.candidates(spark.createDataFrame([], "doc_id long, n int, s array<long>"), 0.5).count() == 0
+
+
+def test_sets_equal_plain_shingles(monkeypatch):
+    texts = ["one two three four five six", "a b c d", "", None, "x1 " * 40, "é a ß b c\td\n\ne-f g", "same same same same same same", "ab cd ef gh ij", "abc d ef gh ij", " ".join(f"t{i}" for i in range(3000))]
+    plain = [w and {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ([] if t is None else re.findall("[a-z0-9]+", t) for t in texts)]
+    for block in (16, 1 << 20):
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        assert [x for ab in shingles.slices(pa.array(texts)) for x in range(*ab)] == list(range(len(texts)))
+        flat, at = shingles.flat_sets(pa.array(["cut off", *texts])[1:], 5)
+        got = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert [len(g) for g in got] == [len(p or ()) for p in plain] and all(g == sorted(set(g)) for g in got)
+    # Equal runs have equal hashes, whatever text they stand in, and different ones do not.
+    assert len({h for g in got for h in g}) == len({r for p in plain for r in p or ()})
+
+
+def test_larger_tables_move_a_third_of_their_shingles_at_a_time(docs, monkeypatch):
+    want = sorted(map(tuple, dedup.edges(docs).collect()))
+    written, real = [], dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", lambda df, name: (written.append((name, out := real(df, name))), out)[1])
+    monkeypatch.setattr(dedup, "LARGE", 0)
+    monkeypatch.setattr(dedup, "ROWS", 500)
+    assert sorted(map(tuple, dedup.edges(docs).collect())) == want and len(want) > 1000
+    names = [n for n, _ in written]
+    assert names.count("shared-shingles") == dedup.ROUNDS
+    # Sets of shingles, which are larger than the texts, are not written.
+    assert not any("array" in t for _, df in written for _, t in df.dtypes)
+    sets = [(i, [3 * i + k for k in range(9)]) for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets]), pa.array([9] * 400, pa.int32()), pa.array([s for _, s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "s"])
+    turns = [list(dedup._dealt(iter([batch]), 12, t, 3)) for t in range(3)]
+    parts = [{p for b in t for p in b.column(0).to_pylist()} for t in turns]
+    assert all(p % 3 == t for t in range(3) for p in parts[t]) and sum(len(dedup._held(iter(t))[0]) for t in turns) == 3600
+
+
+def test_near_copies_share_blocks(spark, monkeypatch):
+    """A document goes to a few cells of its own family, not to one for each partner."""
+    monkeypatch.setattr(dedup, "BLOCK", 10)
+    pairs = spark.createDataFrame([(f * 1000 + i, f * 1000 + j) for f in range(30) for i in range(20) for j in range(i + 1, 20)], "doc_a long, doc_b long")
+    block = {r["doc_id"]: r["block"] for r in dedup._blocks_of_pairs(pairs).collect()}
+    assert len(block) == 600 and len(set(block.values())) <= 60
+    assert all(len({block[f * 1000 + i] for i in range(20)}) <= 2 for f in range(30))

@@ -142,3 +142,17 @@ def test_near_copies_share_blocks(spark, monkeypatch):
     block = {r["doc_id"]: r["block"] for r in dedup._blocks_of_pairs(pairs).collect()}
     assert len(block) == 600 and len(set(block.values())) <= 60
     assert all(len({block[f * 1000 + i] for i in range(20)}) <= 2 for f in range(30))
+
+
+def test_minhash_writes_no_sets(docs, monkeypatch):
+    sets = dedup.shingle_sets(dedup.primaries(docs).select("doc_id", "text"))
+    written = []
+    for module in (serve, dedup):
+        monkeypatch.setattr(module, "materialize", lambda df, name, real=module.materialize: (written.append((name, out := real(df, name))), out)[1])
+    got = {(r["doc_a"], r["doc_b"]) for r in serve.minhash_neighbours(sets).collect()}
+    assert got == set(brute({r["doc_id"]: set(r["s"]) for r in sets.collect()}, 0.5))
+    kinds = dict(written)["minhash-marks"].dtypes
+    assert kinds == [("doc_id", "bigint"), ("n", "int"), ("key", "bigint")] and not any("array" in t for _, df in written for _, t in df.dtypes)
+    # Minimum hashes alone find nearly all.
+    monkeypatch.setattr(dedup, "candidates", lambda live, *_: live.limit(0).selectExpr("doc_id AS doc_a", "doc_id AS doc_b"))
+    assert len({(r["doc_a"], r["doc_b"]) for r in serve.minhash_neighbours(sets).collect()}) >= 0.99 * len(got)

@@ -130,26 +130,82 @@ def _blocks_of_pairs(pairs: DataFrame) -> DataFrame:
     return label.join(parts, "label").select("doc_id", F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """doc_a, doc_b, common, total and jaccard of the pairs that reach the threshold; ``sets`` of other documents may be left out.
+def _in_cells(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (x, y, doc_a, doc_b, s) of pairs and of what is compared for them, in sorted partitions.
 
     Documents are dealt into blocks; a pair of blocks that has candidates is a cell, which gets one copy of each of
     its sets, however many pairs it is in. Cells follow each other in sorted partitions, so a cell of one pair costs no call of its own.
     """
-    spark = sets.sparkSession
-    ship(spark)
-    batch_bytes(spark)
-    pairs = materialize(pairs, "candidate-pairs")
     block = materialize(_blocks_of_pairs(pairs), "pair-blocks")
     of = lambda c, x: block.select(F.col("doc_id").alias(c), F.col("block").alias(x))
     dealt = materialize(pairs.join(of("doc_a", "x"), "doc_a").join(of("doc_b", "y"), "doc_b").select("x", "y", "doc_a", "doc_b"), "dealt-pairs")
     needed = dealt.select("x", "y", F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct().join(sets.select("doc_id", "s"), "doc_id")
     none = F.lit(None).cast
     rows = needed.select("x", "y", F.col("doc_id").alias("doc_a"), none("long").alias("doc_b"), "s").unionByName(dealt.select("x", "y", "doc_a", "doc_b", none("array<long>").alias("s")))
-    scored = rows.repartition("x", "y").sortWithinPartitions("x", "y", "doc_b").mapInArrow(_common, "doc_a long, doc_b long, common long, total long")
+    return rows.repartition("x", "y").sortWithinPartitions("x", "y", "doc_b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """doc_a, doc_b, common, total and jaccard of the pairs that reach the threshold; ``sets`` of other documents may be left out."""
+    spark = sets.sparkSession
+    ship(spark)
+    batch_bytes(spark)
+    scored = _in_cells(materialize(pairs, "candidate-pairs"), sets).mapInArrow(_common, "doc_a long, doc_b long, common long, total long")
     return scored.where(F.col("common") >= F.lit(threshold) * F.col("total")).withColumn("jaccard", F.round(F.col("common") / F.col("total"), 6))
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """A set's size, and whether each of four to eight times as many buckets has an odd number of its hashes, as 64-bit words."""
+    m = 1 << max(6, len(s).bit_length() + 2)
+    odd = np.bincount(s & np.int64(m - 1), minlength=m).astype(np.uint8) & 1
+    return np.r_[np.int64(len(s)), np.packbits(odd).view(np.int64)]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+        own = [_sketch(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        bounds = np.cumsum([0, *map(len, own)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.empty(0, np.int64), *own])))], names=["doc_id", "s"])
+
+
+def _apart(u: np.ndarray, v: np.ndarray) -> int:
+    """Buckets in which two sketches differ: sets differ in no fewer hashes."""
+    u, v = u[1:], v[1:]
+    while len(u) != len(v):
+        u, v = (u, v) if len(u) > len(v) else (v, u)
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return int(np.bitwise_count((u ^ v).view(np.uint64)).sum())  # of signed words it would count those of their absolute values
+
+
+def _near(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow the threshold; rows as for ``_common``."""
+    cell, held = None, {}
+    for batch in batches:
+        x, y, a, b = (batch.column(i).to_pylist() for i in range(4))
+        at, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
+        rows = []
+        for i, now in enumerate(zip(x, y, strict=True)):
+            if now != cell:
+                cell, held = now, {}
+            if b[i] is None:
+                held[a[i]] = flat[at[i] : at[i + 1]]
+                continue
+            u, v = held[a[i]], held[b[i]]
+            if _apart(u, v) * (1 + threshold) <= (1 - threshold) * int(u[0] + v[0]) + 1e-6:
+                rows.append((a[i], b[i]))
+        c = list(zip(*rows, strict=True)) or [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in c], names=["doc_a", "doc_b"])
+
+
+def sieved(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Written pairs without such as cannot reach the threshold, which an eighth to a sixteenth of what their sets hold tells; none that can is lost."""
+    ship(sets.sparkSession)
+    batch_bytes(sets.sparkSession)
+    sketches = sets.select("doc_id", "s").mapInArrow(tidy(_sketches), "doc_id long, s array<long>")
+    return _in_cells(pairs, sketches).mapInArrow(tidy(lambda b: (yield from _near(b, threshold))), "doc_a long, doc_b long")
+
+
 def edges(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs of distinct texts with Jaccard >= threshold, by exact prefix and position filters. Sets are compared by 64-bit hashes of shingles.
 

@@ -15,6 +15,7 @@ fewer than five tokens, is in no family; a null text is none; a batch that is ad
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,12 @@ from quern.functions import ids
 from quern.operators import dedup
 from quern.session import batch_bytes, discard, materialize, ship, tidy
 from quern.sources.buckets import BucketStore
+from quern.sources.store import ArtifactError
 
+#: An empty table that names how shingles are hashed: sets of another kind would meet none of these.
+HASHES = "hashes-2"
+#: Passes over the buckets of postings in which those of larger tables meet.
+ROUNDS = 4
 #: Frequent shingles that stand last in prefixes, at most, and the share of documents (one in so many) that tells them.
 COMMON, SHARE = 65_536, 8
 
@@ -70,6 +76,19 @@ def prefixes(sets: DataFrame, threshold: float, last: list[int]) -> DataFrame:
     return sets.select("id", "s").mapInArrow(tidy(lambda b: _prefixes(b, threshold, late)), "h long, id long, n int, rest int")
 
 
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's postings (h, id, n, rest, fresh) those of shingles that several sets have, a fresh one among them."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        h, fresh = table.column(0).to_numpy(), table.column(4).to_numpy()
+        order = np.argsort(h)
+        first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        times = np.diff(np.r_[first, len(h)])
+        keep = np.sort(order[np.repeat((times > 1) & np.logical_or.reduceat(fresh[order], first), times)])
+        yield from table.take(pa.array(keep)).rename_columns(["h", "doc_id", "n", "rest", "fresh"]).to_batches(100_000)
+
+
 class Families:
     """Families below ``root``."""
 
@@ -83,7 +102,10 @@ class Families:
             change.create("postings", none("h long, id long, n int, rest int"), "h", "id", buckets=buckets)
             change.create("edges", none("a long, b long, jaccard double"), "a", "b", buckets=buckets)
             change.create("members", none("id long, label long, batch long"), "id", "batch", buckets=buckets)
+            change.create(HASHES, none("h long"), "h", "h", buckets=1)
             change.commit()
+        elif HASHES not in self.store.state():
+            raise ArtifactError(f"the families below {root} were built with other hashes of shingles, and have to be built again")
 
     def add(self, docs: DataFrame) -> int:
         """Take in documents (doc_id, text); how many families changed their label."""
@@ -95,12 +117,14 @@ class Families:
         fresh = own.join(known, "node", "left_anti")
         change.upsert("texts", own.select("node", "doc_id", (-F.col("doc_id")).alias("before")))
         sized = dedup.shingle_sets(fresh.select(F.col("node").alias("doc_id"), "text"), self.min_chars).where("n > 0")
-        # Sets are compared under numbers: the first 15 digits of the content hash.
-        sets = materialize(sized.select(F.conv(F.substring("doc_id", 1, 15), 16, 10).cast("long").alias("id"), "n", F.sort_array("s").alias("s"), F.col("doc_id").alias("node")), "families-sets")
+        # Sets are compared under numbers: the first 15 digits of the content hash. What is stored is read again, instead of a second copy.
+        first = not change.tables["sets"].files
+        change.append("sets", sized.select(F.conv(F.substring("doc_id", 1, 15), 16, 10).cast("long").alias("id"), "n", "s", F.col("doc_id").alias("node")))
         discard(own)
-        posted = materialize(prefixes(sets, self.threshold, self._last(change, sets)), "families-postings")
-        links = materialize(self._links(change, posted, sets), "families-links")
-        change.append("sets", sets).append("postings", posted).append("edges", links)
+        sets = self.store.rows(change.added("sets"))
+        change.append("postings", prefixes(sets, self.threshold, self._last(change, sets, first)))
+        links = materialize(self._links(change, sets), "families-links")
+        change.append("edges", links)
 
         labels = self.store.read("members").select("id", "label")
         # Families as nodes: of an edge's ends, a known one stands for its label, a new one for itself.
@@ -115,26 +139,33 @@ class Families:
         change.upsert("members", fall.unionByName(come).select("id", "label", F.lit(last).cast("long").alias("batch")))
         change.commit()
         n = moved.count()
-        discard(sets, posted, links, ends, moved)
+        discard(links, ends, moved)
         return n
 
-    def _last(self, change, sets: DataFrame) -> list[int]:
+    def _last(self, change, sets: DataFrame, first: bool) -> list[int]:
         """The stored frequent shingles, rarest first; of a store with texts but without such a table none."""
         if "common" in change.tables:
             return [r["h"] for r in self.store.read("common").orderBy("turn").collect()]
-        if change.tables["sets"].files or not sets.limit(1).count():
+        if not first or not sets.limit(1).count():
             return []
         last = common(sets)
         change.create("common", self.store.spark.createDataFrame(list(zip(last, range(len(last)), strict=True)), "h long, turn long"), "h", "turn", buckets=1)
         return last
 
-    def _links(self, change, posted: DataFrame, sets: DataFrame) -> DataFrame:
-        t = self.threshold
-        stored = change.touched("postings", posted)
-        every = posted.select("h", "id", "n", "rest", F.lit(True).alias("fresh")).unionByName(stored.select("h", "id", "n", "rest", F.lit(False).alias("fresh")))
-        times = every.groupBy("h").agg(F.count(F.lit(1)).alias("n_rows"), F.max("fresh").alias("new")).where("n_rows > 1 AND new").select("h")
-        met = materialize(every.join(times, "h").withColumnRenamed("id", "doc_id"), "families-meeting")
-        rows = dedup.first_of_equals(met)
+    def _links(self, change, sets: DataFrame) -> DataFrame:
+        """Edges of the change's sets. Postings meet where they are stored, of larger tables some buckets at a time."""
+        t, new, old = self.threshold, change.added("postings"), self.store.state()["postings"]
+        total = sum(s.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for s in (sets, self.store.read("sets")))
+        rounds, parts = (min(ROUNDS, new.buckets), -(-total // dedup.ROWS)) if total > dedup.LARGE else (1, 8)
+        met = []
+        for turn in range(rounds):
+            only = [int(b) for b in new.files if int(b) % rounds == turn]
+            rows = lambda layout, fresh: self.store.rows(layout, only).select("h", "id", "n", "rest", F.lit(fresh).alias("fresh"))  # noqa: B023, E731
+            if only or not turn:
+                every = rows(new, True).unionByName(rows(old, False)).repartition(parts, "h")
+                met.append(materialize(every.mapInArrow(tidy(lambda b: (yield from _meeting(b))), "h long, doc_id long, n int, rest int, fresh boolean"), "families-meeting"))
+        rows = dedup.first_of_equals(functools.reduce(DataFrame.unionByName, met))
+        discard(*met)
 
         def may(a: str, b: str):
             na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -142,11 +173,11 @@ class Families:
             return (F.col(f"{a}.fresh") | F.col(f"{b}.fresh")) & size
 
         pairs = materialize(dedup.meetings(rows, "h", "times", may), "families-pairs")
-        asked = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("id")).distinct()
-        both = sets.select("id", "s").unionByName(self.store.read("sets").select("id", "s")).join(asked, "id", "left_semi")
-        compared = materialize(both.select(F.col("id").alias("doc_id"), "s"), "families-compared")
-        found = materialize(dedup.verified(pairs, compared, t), "families-found")
-        discard(met, rows, pairs, compared)
+        both = sets.select(F.col("id").alias("doc_id"), "s").unionByName(self.store.read("sets").select(F.col("id").alias("doc_id"), "s"))
+        of = lambda p: both.join(dedup.few(dedup.of_pairs(p)), "doc_id", "left_semi")
+        near = materialize(dedup.sieved(pairs, of(pairs), t), "families-near")
+        found = materialize(dedup.verified(near, of(near), t), "families-found")
+        discard(rows, pairs, near)
         return found.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "jaccard")
 
     def read(self) -> DataFrame:

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.session import swept
 from quern.sources.store import ArtifactError, _fs, exists, read_text, write_text
 
 
@@ -55,9 +56,9 @@ class BucketStore:
         return {k: Layout(**v) for k, v in json.loads(read_text(self.spark, f"{self.root}/states/{name}.json"))["tables"].items()} if name else {}
 
     def read(self, table: str, state: str | None = None) -> DataFrame:
-        return self._rows(self.state(state)[table])
+        return self.rows(self.state(state)[table])
 
-    def _rows(self, layout: Layout, only: list[int] | None = None) -> DataFrame:
+    def rows(self, layout: Layout, only: list[int] | None = None) -> DataFrame:
         schema = StructType.fromJson(layout.schema)
         files = [f for b, own in layout.files.items() if only is None or int(b) in only for f in own]
         return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
@@ -102,7 +103,7 @@ class Change:
         t = self.tables[table]
         touched = self._touched(rows, t)
         rest = [c for c in StructType.fromJson(t.schema).names if c != t.key]
-        both = self.store._rows(t, touched).unionByName(rows.select(t.key, *rest))
+        both = self.store.rows(t, touched).unionByName(rows.select(t.key, *rest))
         newest = both.groupBy(t.key).agg(F.max(F.struct(F.col(t.version).alias("_v"), F.struct(*rest).alias("_r"))).alias("x"))
         return self._write(t, newest.select(t.key, *(F.col(f"x._r.{c}").alias(c) for c in rest)), touched)
 
@@ -111,16 +112,22 @@ class Change:
         t = self.tables[table]
         gone = values.select(t.by).distinct()
         touched = self._touched(gone, t)
-        return self._write(t, self.store._rows(t, touched).join(gone, t.by, "left_anti"), touched)
+        return self._write(t, self.store.rows(t, touched).join(gone, t.by, "left_anti"), touched)
 
     def append(self, table: str, rows: DataFrame) -> Change:
         """More rows beside those that are there, whatever their keys; nothing is read or written anew."""
         return self._write(self.tables[table], rows, [])
 
+    def added(self, table: str) -> Layout:
+        """What this change has appended to a table so far, as a table of its own."""
+        t, old = self.tables[table], self.store.state(self.before).get(table)
+        known = {f for own in old.files.values() for f in own} if old else set()
+        return replace(t, files={b: new for b, own in t.files.items() if (new := [f for f in own if f not in known])})
+
     def touched(self, table: str, rows: DataFrame) -> DataFrame:
         """The table's rows in those buckets that ``rows`` fall into."""
         t = self.tables[table]
-        return self.store._rows(t, self._touched(rows, t))
+        return self.store.rows(t, self._touched(rows, t))
 
     def _touched(self, rows: DataFrame, t: Layout) -> list[int]:
         return [r[0] for r in rows.select(self._bucket(t).alias("b")).distinct().collect()]
@@ -132,7 +139,8 @@ class Change:
     def _write(self, t: Layout, rows: DataFrame, touched: list[int]) -> Change:
         out = f"{self.store.root}/data/{uuid.uuid4().hex[:16]}"
         order = StructType.fromJson(t.schema).names
-        rows.select(*order, self._bucket(t).alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(out)
+        with swept(self.store.spark):
+            rows.select(*order, self._bucket(t).alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(out)
         p, fs = _fs(self.store.spark, out)
         made = {s.getPath().getName().removeprefix("bucket=") for s in fs.listStatus(p) if s.isDirectory()}
         for b in map(str, touched):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from quern.operators import dedup, families
 from quern.session import scratch
 
@@ -52,3 +54,31 @@ def test_a_line_of_very_many_texts_brings_no_two_of_them_together(spark, monkeyp
     for batch in (rows[:200], rows[200:]):
         kept.add(spark.createDataFrame(batch, "doc_id long, text string"))
     assert sum(n) < 500 and {r["doc_id"]: r["label"] for r in kept.read().collect()} == whole(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_postings_meet_some_buckets_at_a_time_and_nothing_is_left_beside_the_store(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(40)]
+    rows = [(i, " ".join([*base[: 40 - i % 7], *(word() for _ in range(i % 7))])) for i in range(60)] + [(100 + i, " ".join(word() for _ in range(30))) for i in range(60)]
+    monkeypatch.setattr(dedup, "LARGE", 0)
+    written = []
+    for module in (families, dedup):
+        monkeypatch.setattr(module, "materialize", lambda df, name, real=module.materialize: (written.append((name, out := real(df, name))), out)[1])
+    kept = families.Families(spark, scratch(spark, "families"), buckets=6)
+    for batch in (rows[:70], rows[70:]):
+        kept.add(spark.createDataFrame(batch, "doc_id long, text string"))
+    names = [n for n, _ in written]
+    assert names.count("families-meeting") == 2 * families.ROUNDS and not any("array" in t for _, df in written for _, t in df.dtypes)
+    assert {r["doc_id"]: r["label"] for r in kept.read().collect()} == whole(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_a_store_of_other_hashes_is_refused(spark):
+    root = scratch(spark, "families")
+    families.Families(spark, root, buckets=1)
+    families.Families(spark, root, buckets=1)
+    change = families.BucketStore(spark, root).begin()
+    del change.tables[families.HASHES]
+    change.commit()
+    with pytest.raises(families.ArtifactError):
+        families.Families(spark, root, buckets=1)

@@ -7,6 +7,8 @@ import pyarrow as pa
 import random
 import re
 
+import numpy as np
+
 import pytest
 
 from quern.functions import shingles
@@ -156,3 +158,20 @@ def test_minhash_writes_no_sets(docs, monkeypatch):
     # Minimum hashes alone find nearly all.
     monkeypatch.setattr(dedup, "candidates", lambda live, *_: live.limit(0).selectExpr("doc_id AS doc_a", "doc_id AS doc_b"))
     assert len({(r["doc_a"], r["doc_b"]) for r in serve.minhash_neighbours(sets).collect()}) >= 0.99 * len(got)
+
+
+def test_sketches_refuse_no_pair_that_reaches_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+    sets, pairs = {}, []
+    for i in range(300):
+        a = draw(int(rng.integers(1, 300)))
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.random()], draw(int(rng.integers(1, 1 + len(a))))])
+        sets |= {2 * i: a, 2 * i + 1: b}
+        pairs += [(2 * i, 2 * i + 1)] + [(2 * i - 1, 2 * i)] * (i > 0)
+        both, apart = len(np.intersect1d(a, b)), dedup._apart(dedup._sketch(a), dedup._sketch(b))
+        assert apart <= len(a) + len(b) - 2 * both
+    reach = {(a, b) for a, b in pairs if 2 * (k := len(np.intersect1d(sets[a], sets[b]))) >= len(sets[a]) + len(sets[b]) - k}
+    frame = spark.createDataFrame([(i, s.tolist()) for i, s in sets.items()], "doc_id long, s array<long>")
+    left = {(r["doc_a"], r["doc_b"]) for r in dedup.sieved(dedup.materialize(spark.createDataFrame(pairs, "doc_a long, doc_b long"), "pairs"), frame, 0.5).collect()}
+    assert reach <= left and len(reach) > 30 and len(left) < 2 * len(reach)
